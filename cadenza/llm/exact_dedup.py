@@ -30,7 +30,7 @@ def frequent_winners(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
     """
     # As text: the counters compare keys by equals(), which byte arrays don't have.
     named = rows.select(F.hex("digest").alias("hex")).stat.freqItems(["hex"], support)
-    candidates = named.select(F.unhex(F.explode("hex_freqItems")).alias("digest"))
+    candidates = named.select(F.explode("hex_freqItems").alias("hex")).select(F.unhex("hex").alias("digest"))
     counted = (
         rows.join(F.broadcast(candidates), "digest", "left_semi")
         .groupBy("digest")
