@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup as op3
+from . import topk_search as op10
 from .common import table
 
 
@@ -14,9 +16,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup,)}
+    return {f.__name__: f for f in (op3_exact_dedup, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": op3.SQL}
+    return {"op3_exact_dedup": op3.SQL, "op10_topk_search": op10.SQL}
