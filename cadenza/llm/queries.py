@@ -7,22 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup as op3
-from . import topk_search as op10
+from . import exact_dedup, langid, mixing, packing, simhash, topk_search, toxicity
 from .common import table
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op3.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_language(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op10_topk_search)}
+    own = (
+        op3_exact_dedup,
+        op4_pattern_packing,
+        op5_toxicity,
+        op6_source_mixing,
+        op8_language_id,
+        op9_simhash,
+        op10_topk_search,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": op3.SQL, "op10_topk_search": op10.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op10_topk_search": topk_search.SQL}
