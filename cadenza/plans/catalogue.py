@@ -1,4 +1,4 @@
-"""Every query of the reference-style operators with its SQL twin."""
+"""Every query outside the corpus operators, with its SQL twin where there is one."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import models, sequences, texts
+
+ALL = {**models.QUERIES, **sequences.QUERIES, **texts.QUERIES}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql is not None}
