@@ -19,9 +19,9 @@ from .common import checkpoint, fold
 from .langid import bounded_sample, slices
 
 #: Hash buckets (a power of two), sampled rows of either label, passes over the sample.
-BUCKETS, SAMPLE, PASSES = 1 << 20, 3000, 3
+BUCKETS, SAMPLE, PASSES = 1 << 20, 4000, 5
 #: FTRL-proximal's learning rate, smoothing, L1 and L2 strengths.
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 #: Fold of the rows that nothing is learned from; score from which a text is predicted toxic.
 MODULUS, HELD_OUT, LIMIT = 4, 2, 0.3
 
@@ -29,23 +29,29 @@ _WORDLY = np.zeros(256, dtype=bool)
 _WORDLY[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True  # digits, lower case, other scripts
 
 
+def hash_runs(data: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and hash of every run of member bytes; data must end with another byte.
+
+    The hash sums the bytes of a run, each times a power of an odd number that goes by its place.
+    """
+    edge = np.diff(member.astype(np.int8), prepend=0)
+    begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(begin):
+        return begin, stop, np.zeros(0, dtype=np.uint64)
+    chars, length = np.flatnonzero(member), stop - begin
+    first = np.cumsum(length) - length
+    place = np.arange(len(chars)) - np.repeat(first, length)
+    power = np.cumprod(np.concatenate([[1], np.full(int(length.max()), 0x100000001B3)]).astype(np.uint64))
+    return begin, stop, np.add.reduceat((data[chars].astype(np.uint64) + np.uint64(1)) * power[place], first)
+
+
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Document number and bucket of every word, pair and skip-pair, repeats included."""
     parts = [t.lower().encode("utf-8", "surrogatepass") + b"\n" for t in texts]
     data = np.frombuffer(b"".join(parts), dtype=np.uint8)
     ends = np.cumsum([len(p) for p in parts])
-    wordly = _WORDLY[data]
-    edge = np.diff(wordly.astype(np.int8), prepend=0)
-    begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(begin):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    begin, _, h = hash_runs(data, _WORDLY[data])
     doc = np.searchsorted(ends, begin, side="right")
-    # The hash of a word: its bytes, each times a power of an odd number that goes by the place in the word.
-    chars = np.flatnonzero(wordly)
-    length = stop - begin
-    place = np.arange(len(chars)) - np.repeat(np.cumsum(length) - length, length)
-    power = np.cumprod(np.concatenate([[1], np.full(int(length.max()), 0x100000001B3)]).astype(np.uint64))
-    h = np.add.reduceat((data[chars].astype(np.uint64) + np.uint64(1)) * power[place], np.cumsum(length) - length)
     out = [(doc, h)]
     for gap, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
         same = doc[:-gap] == doc[gap:]

@@ -1,8 +1,58 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: language ID, exact dedup, near-dedup, mixing, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on the whole of docs. All but the last return the
+columns of documents; the last returns the placed pieces of op4.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cadenza.llm import exact_dedup, langid, mixing, packing, simhash
+from cadenza.llm.common import checkpoint, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose best language covers less than a fifth of their n-grams, go."""
+    return langid.drop_undetermined(docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document of the largest id stays."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component the document of the smallest id stays."""
+    return simhash.drop_near_copies(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become the parts that the mix takes, as often as it takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("exact dedup", exact_copies),
+    ("SimHash near-dedup", near_copies),
+    ("mixing sources to target weights", mixture),
+    ("best-fit packing", packed),
+]
+
+#: Fingerprints, permutations and tokens are beyond SQL; the tests hold run() against the stages' brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = checkpoint(docs)  # the next stage reads its input more than once
+    return docs

@@ -1,0 +1,307 @@
+"""Language, toxicity, quality, PII, mixing, packing and search against brute force, with edge cases."""
+
+import re
+import zlib
+
+import numpy as np
+import pytest
+from cadenza.llm import langid, mixing, packing, pii, quality, topk_search, toxicity
+from cadenza.llm.common import fold
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, score double, g int, times long"
+ODD = [None, "", " \t\n", "12345 !!!", "x" * 50_000, "Ünï\U0001F600 \x00 words", "a", "'s"]
+
+
+def frame(spark, rows, schema=SCHEMA):
+    return spark.createDataFrame([(i, t, la, s, None, "r", 0.5, 1, 2) for i, t, la, s in rows], schema)
+
+
+def test_fold_is_crc32_of_text(spark):
+    ids = [0, 1, 17, 123456789]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(fold(F.col("i"), 4)).collect()]
+    assert got == [zlib.crc32(str(i).encode()) % 4 for i in ids]
+
+
+ENGLISH = "the quick brown fox jumps over the lazy dog and then it went back home to the farm".split()
+GERMAN = "der schnelle braune fuchs springt über den faulen hund und dann ging er wieder nach hause".split()
+
+
+def test_language_and_edges(spark):
+    rng = np.random.default_rng(1)
+    make = lambda words: " ".join(rng.choice(words, 12))
+    rows = [(n, make(ENGLISH if n % 2 else GERMAN), "en" if n % 2 else "de", None) for n in range(200)]
+    rows += [(1000 + n, t, "en", None) for n, t in enumerate(ODD)] + [(None, make(ENGLISH), None, None)]
+    got = langid.predict_language(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    for i, t, la, _ in rows:
+        r = by[i]
+        assert 0 <= r["score"] <= 1
+        if i is not None and i < 1000:
+            assert r["lang_pred"] == la
+            assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in t or ""):
+            assert r["lang_pred"] == "und" and r["score"] == 0
+    assert langid.predict_language(frame(spark, []).limit(0)).count() == 0
+    kept = langid.drop_undetermined(frame(spark, rows))
+    assert kept.columns == frame(spark, []).columns
+    assert kept.filter("doc_id < 1000").count() == 200
+
+
+def test_filters_hold_many_languages():
+    grams = [np.arange(n * 100, n * 100 + 50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in range(70)]
+    filters = langid.Filters([f"l{n:02}" for n in range(70)], grams)
+    at = langid._positions(grams[69])
+    mask = filters.table[1][at[0]] & filters.table[1][at[1]] & filters.table[1][at[2]]
+    assert ((mask >> np.uint64(5)) & np.uint64(1)).all()
+
+
+def labelled(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_learns_and_handles_edges(spark):
+    rng = np.random.default_rng(2)
+    rows, labels = [], []
+    for n in range(400):
+        words = list(rng.choice(ENGLISH, 30))
+        if n % 4 == 0:
+            words[int(rng.integers(30))] = "awful"
+        rows.append((n, " ".join(words), "en", None))
+        labels.append((n, None, int(n % 4 == 0)))
+    rows += [(1000 + n, t, None, None) for n, t in enumerate(ODD)] + [(None, "awful", None, None)]
+    got = {r["doc_id"]: r for r in toxicity.score(frame(spark, rows), labelled(spark, labels + [(None, 1, 1), (5000, 0, 7), (6000, 0, None)])).collect()}
+    held = [r for i, r in got.items() if i is not None and i < 1000 and r["held_out"]]
+    assert len(held) > 50
+    assert all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held)
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == len(rows)
+    assert got[1000]["score"] == got[1001]["score"]
+    none = toxicity.score(frame(spark, rows), labelled(spark, [])).collect()
+    assert all(r["predicted"] == 0 for r in none)
+    assert toxicity.score(frame(spark, []).limit(0), labelled(spark, labels)).count() == 0
+
+
+def test_word_hashes_are_by_word():
+    doc, bucket = toxicity.features(["one two one", "Two, one"])
+    ones = [b for d, b in zip(doc, bucket, strict=True) if d == 0][:3]
+    assert ones[0] == ones[2] != ones[1]
+    assert set(bucket[doc == 1]) & set(ones) == set(ones)
+
+
+def brute_marginals(s, transition):
+    """Marginals of good by enumeration of all label sequences."""
+    n = len(s)
+    weights = {}
+    for labels in np.ndindex(*[2] * n):
+        w = np.exp(sum(s[k] for k in range(n) if labels[k]))
+        for a, b in zip(labels, labels[1:], strict=False):
+            w *= transition[a, b]
+        weights[labels] = w
+    total = sum(weights.values())
+    return [sum(w for labels, w in weights.items() if labels[k]) / total for k in range(n)]
+
+
+def test_forward_backward_matches_enumeration():
+    rng = np.random.default_rng(3)
+    count = np.array([4, 0, 1, 6, 3])
+    first = np.cumsum(count) - count
+    s, transition = rng.normal(size=count.sum()), np.exp(rng.normal(size=(2, 2)))
+    alpha, beta, _ = quality.forward_backward(s, first, count, transition)
+    got = quality.marginals(alpha, beta)
+    for a, n in zip(first, count, strict=True):
+        if n:
+            assert np.allclose(got[a : a + n], brute_marginals(s[a : a + n], transition))
+
+
+def test_quality_learns_and_handles_edges(spark):
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for n in range(300):
+        lines = [" ".join(rng.choice(ENGLISH, 10)) + "." for _ in range(int(rng.integers(1, 6)))]
+        if n % 3 == 0:
+            lines = [x.upper().replace(" ", "!! ") for x in lines]
+        rows.append((n, "\n".join(lines), "en", None))
+        labels.append((n, int(n % 3 != 0), None))
+    rows += [(1000 + n, t, None, None) for n, t in enumerate(ODD)] + [(None, "fine words here.", None, None)]
+    got = {r["doc_id"]: r for r in quality.score(frame(spark, rows), labelled(spark, labels + [(None, 1, 1)])).collect()}
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got.values())
+    held = [r for i, r in got.items() if i is not None and i < 1000 and r["held_out"]]
+    assert all(r["predicted"] == int(r["doc_id"] % 3 != 0) for r in held)
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items() if i is not None)
+    assert {r["score"] for r in quality.score(frame(spark, rows), labelled(spark, [])).collect()} == {0.5}
+    assert quality.score(frame(spark, []).limit(0), labelled(spark, labels)).count() == 0
+
+
+BASE = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in BASE:
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(d) * (1 + n % 2), 10)) for n, d in enumerate(reversed(digits))) % 10 == 0
+            ok = {
+                "email": True,
+                "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else False,
+                "card": 16 <= len(digits) <= 19 and luhn,
+                "phone": 8 <= len(digits) <= 15,
+            }[kind]
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+TRICKY = [
+    "a@b.c_d@e.f and x@@y.z@w.q, foo@bar foo@bar@baz.com -a.b+c%d@e-f.g.h.",
+    "1.2.3.4.5.6.7.8 256.1.1.1 01.002.3.255 1.2.3 1..2.3.4",
+    "4111 1111 1111 1111, 4111-1111-1111-1112 4111  1111 0000 0000 0000 0000 7",
+    "+1 (389) 555-5010 +1 +12 345 +49 30 1234567890123456789 ++1 555 123 4567-",
+    "é\U0001F600 mail é@x.de 😀 1.1.1.1",
+    "1" * 5000 + " " + "a" * 5000 + "@",
+    "9 " * 3000,
+    "x@y.z" * 50,
+]
+
+
+def test_pii_base_spans_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    letters = list("0123456789 .-@+()ab")
+    texts = TRICKY + ODD + ["".join(rng.choice(letters, 60)) for _ in range(300)]
+    got = {r["doc_id"]: r for r in pii.find(frame(spark, [(n, t, None, None) for n, t in enumerate(texts)])).collect()}
+    import hashlib
+
+    for n, t in enumerate(texts):
+        want = brute_spans(t)
+        assert got[n]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), t
+        assert set(want) <= set(got[n]["spans"].split(",")) or not want
+        for k in pii.KINDS:
+            assert got[n][f"n_{k}"] == sum(w.startswith(k + ":") for w in want)
+    assert pii.find(frame(spark, []).limit(0)).count() == 0
+
+
+def test_pii_bootstraps_unseen_identifiers(spark):
+    rows = [(n, f"please write to user{n}@mail.example.com for help", None, None) for n in range(30)]
+    rows += [(100, "please write to jane(at)site2.org for help", None, None), (101, "room 42b is free", None, None)]
+    rows += [(102, None, None, None), (None, "write to me", None, None)]
+    got = {r["doc_id"]: r for r in pii.find(frame(spark, rows)).collect()}
+    assert got[100]["spans"] == "email:16:33" and got[100]["n_added"] == 1 and got[100]["n_email"] == 0
+    assert got[101]["spans"] == "" and got[5]["n_email"] == 1 and len(got) == len(rows)
+
+
+def test_mixing_meets_targets(spark):
+    rng = np.random.default_rng(6)
+    rows = [(n, " ".join(["w"] * int(rng.integers(0, 400))), None, ["a", "b", "c", None, ""][n % 5 if n % 3 else 0]) for n in range(400)]
+    rows += [(1000, None, None, "b"), (1001, " \n ", None, "nowhere"), (1002, "one", None, "tiny"), (1002, "one", None, "tiny"), (None, "x y", None, "a")]
+    out = mixing.mix(frame(spark, rows)).collect()
+    assert len(out) == len(rows)
+    size = {}
+    for _, t, _, s in rows:
+        size[s] = size.get(s, 0) + len((t or "").split())
+    target = mixing.targets(size)
+    assert abs(sum(target.values()) - 1.5 * sum(size.values())) < 1e-6
+    assert all(target[s] <= 2 * size[s] + 1e-9 for s in size)
+    by_id = {i: s for i, _, _, s in rows}
+    taken = {}
+    for r in out:
+        s = by_id[r["doc_id"]]
+        assert r["taken"] <= 2 * r["size"]
+        assert r["source_size"] == size[s] and r["target"] == pytest.approx(target[s])
+        taken[s] = taken.get(s, 0) + r["taken"]
+    for s in size:
+        assert abs(taken[s] - target[s]) <= 96, s
+    assert sorted(map(str, mixing.mix(frame(spark, rows)).collect())) == sorted(map(str, out))
+    assert mixing.mix(frame(spark, []).limit(0)).count() == 0
+
+
+def test_targets_by_hand():
+    assert mixing.targets({"a": 100, "b": 100, None: 100}) == {"a": 200, "b": pytest.approx(250 / 3), None: pytest.approx(500 / 3)}
+    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0}
+
+
+def test_permutation_and_draws():
+    for n in (1, 2, 3, 7, 64, 1000):
+        at = np.arange(n)
+        assert sorted(mixing.permute(at, np.full(n, n), np.full(n, 11))) == list(at)
+    draws = mixing.draw_shards([500, 0, 37, 1], 8, 1)
+    assert draws.sum(axis=0).tolist() == [500, 0, 37, 1]
+
+
+def test_mixed_documents_keep_white_space(spark):
+    rows = [(n, f"  first{n}\n\nsecond\tthird ", None, "a" if n % 2 else "b") for n in range(60)]
+    docs = frame(spark, rows)
+    mixed = mixing.mixed_documents(docs, block=3)
+    assert mixed.columns == docs.columns
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block=3).collect()}
+    for r in mixed.collect():
+        assert len(r["text"].split()) == taken[r["doc_id"]] and r["n_chars"] == len(r["text"])
+    assert mixing.take_text(" a b\nc ", [{"from_word": 0, "to_word": 3, "times": 1}]) == " a b\nc "
+
+
+def test_word_ids_match_the_tokenizer(spark):
+    words = packing.WordIds(packing.default_tokenizer())
+    texts = [t or "" for t in ODD] + ["it's WE'LL don't. 12.5% a1b2", "<|endoftext|> x", "a\x1cb", "é́ é", "日本語 テスト", "İstanbul ΣΑΣ Straße", "—dash–", "can't."]
+    got = list(packing.document_ids(texts, packing.default_tokenizer()))
+    for t, ids in zip(texts, got, strict=True):
+        want = words.tokenizer.encode(t, add_special_tokens=False).ids + [0]
+        assert np.frombuffer(ids, "<u4").tolist() == want, t
+
+
+def test_packing_places_every_piece(spark):
+    rng = np.random.default_rng(7)
+    rows = [(n, " ".join(["dog"] * int(rng.integers(0, 150))), None, None) for n in range(300)] + [(500, None, None, None), (501, "dog " * 700, None, None), (None, "cat", None, None)]
+    out = packing.pack(frame(spark, rows), length=128, with_ids=True).toPandas()
+    want = {i: len((t or "").split()) + 1 for i, t, _, _ in rows}
+    got = out.groupby(out["doc_id"].fillna(-1).astype(int))["length"].sum().to_dict()
+    assert got == {(-1 if i is None else i): n for i, n in want.items()}
+    out = out.sort_values(["sequence_id", "offset"])
+    ends = out["offset"] + out["length"]
+    assert (ends.groupby(out["sequence_id"]).shift().fillna(0) == out["offset"]).all()
+    assert ends.max() <= 128
+    assert out["sequence_id"].nunique() <= 1.02 * -(-sum(want.values()) // 128) + 1
+    long = out[out["doc_id"] == 501].sort_values("piece")
+    assert long["length"].tolist() == [128] * 5 + [61] and long["start"].tolist() == [128 * n for n in range(6)]
+    assert all(zlib.crc32(np.array(ids, "<u4").tobytes()) == c for ids, c in zip(out["ids"], out["ids_crc32"], strict=True))
+    assert packing.pack(frame(spark, []).limit(0)).count() == 0
+
+
+def test_least_squares_is_fitted():
+    histogram = np.zeros(17, dtype=np.int64)
+    histogram[[16, 10, 6, 8, 4]] = [5, 20, 20, 30, 15]
+    rows = packing.patterns(np.flatnonzero(histogram), 16)
+    fitted = packing.fit_counts(rows, histogram, 2000)
+    made = sum(np.bincount(rows[:, k], weights=fitted, minlength=17) for k in range(3))
+    assert np.allclose(made[[16, 10, 6]], [5, 20, 20], atol=0.1) and (fitted >= 0).all()
+
+
+def test_top_k_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(n, [float(x) for x in rng.integers(-3, 4, 5) / 64]) for n in range(700)]  # many ties
+    vectors += [(700, None), (720, [1.0, None, 0.0, 0.0, 0.0]), (740, [float("nan")] * 5), (760, [float("inf")] * 5), (None, [0.5] * 5), (780, [0.1, 0.2])]
+    docs = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, score long, rank int")
+    saved = topk_search.LEAF, topk_search.SHARD, topk_search.BLOCK
+    topk_search.LEAF, topk_search.SHARD, topk_search.BLOCK = 16, 200, 10
+    try:
+        got = topk_search.top_k(docs, F.col("vec_id") % 20 == 0, 20).collect()
+    finally:
+        topk_search.LEAF, topk_search.SHARD, topk_search.BLOCK = saved
+    whole = {i: np.floor(64 * np.array(v, dtype=np.float32).astype(float)).astype(int) for i, v in vectors[:700]}
+    want = set()
+    for q in range(0, 700, 20):
+        best = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:20]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in got} == want
+    assert topk_search.top_k(docs.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_top_k_with_large_numbers(spark):
+    vectors = [(n, [float(n) * 2**40, 1.0]) for n in range(30)]
+    docs = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {(r["rank"], r["vec_id"]) for r in topk_search.top_k(docs, F.col("vec_id") == 20, 3, scale=1 / 2**30).collect()}
+    assert got == {(1, 29), (2, 28), (3, 27)}
