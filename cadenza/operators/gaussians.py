@@ -219,7 +219,7 @@ def compare_arrays(a: DataFrame, b: DataFrame, keys: Sequence[str], atol: float
 
 def percentile_floor(variances: DataFrame, bins: int, share: float) -> DataFrame:
     """dim, floor: the upper edge of the histogram bin where the share of positive variances is first exceeded."""
-    positive = variances.filter(F.col("var") > 0)
+    positive = variances.filter(F.col("var") > 0).select("dim", "var")
     span = positive.groupBy("dim").agg(F.min("var").alias("low"), F.max("var").alias("high"), F.count(F.lit(1)).alias("n"))
     width = (F.col("high") - F.col("low")) / bins
     bin_ = F.least(F.lit(bins - 1), F.floor(F.when(width > 0, (F.col("var") - F.col("low")) / width).otherwise(0.0)).cast("int"))

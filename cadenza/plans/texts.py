@@ -262,9 +262,9 @@ SELECT base_word, CAST(row_number() OVER (PARTITION BY base_word ORDER BY r, pho
         word_position_contexts,
         f"""WITH b AS (SELECT item_id, {WORDS.format('text')} AS ws FROM benchmark),
 t AS (SELECT item_id, unnest(range(len(ws))) AS pos, unnest(ws) AS token FROM b),
-l AS (SELECT item_id, pos, unnest(range(length(token))) AS at, unnest(string_split(token, '')) AS phone, length(token) AS size FROM t),
-n AS (SELECT phone, at, size, coalesce(lag(phone) OVER w, 'SIL') AS l, coalesce(lead(phone) OVER w, 'SIL') AS r FROM l WINDOW w AS (PARTITION BY item_id ORDER BY pos, at))
-SELECT l AS "left", phone, r AS "right", CASE WHEN size = 1 THEN 's' WHEN at = 0 THEN 'b' WHEN at = size - 1 THEN 'e' ELSE 'i' END AS wpos, count(*) AS n FROM n GROUP BY ALL""",
+l AS (SELECT item_id, pos, unnest(range(length(token))) AS place, unnest(string_split(token, '')) AS phone, length(token) AS size FROM t),
+n AS (SELECT phone, place, size, coalesce(lag(phone) OVER w, 'SIL') AS l, coalesce(lead(phone) OVER w, 'SIL') AS r FROM l WINDOW w AS (PARTITION BY item_id ORDER BY pos, place))
+SELECT l AS "left", phone, r AS "right", CASE WHEN size = 1 THEN 's' WHEN place = 0 THEN 'b' WHEN place = size - 1 THEN 'e' ELSE 'i' END AS wpos, count(*) AS n FROM n GROUP BY ALL""",
     ),
     "phone_map_apply": (
         phone_map_apply,
