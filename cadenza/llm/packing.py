@@ -10,11 +10,14 @@ among the pieces of its length, and rank and length name its sequence and offset
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +25,10 @@ from .common import checkpoint
 
 #: Tokens of a sequence, the id that ends a document, and pieces of a rank chunk.
 LENGTH, END, CHUNK = 2048, 0, 262144
-#: Cached words of one Python worker; the cache starts anew when full.
-CACHE = 300_000
+#: Cached words, and as many cached parts, of one Python worker; a full cache starts anew.
+CACHE = 400_000
+#: How the tokenizer splits a word into parts.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def default_tokenizer() -> str:
@@ -32,11 +37,34 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself where it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+class PartIds(dict):
+    """Ids, as little-endian 32-bit numbers, of the parts that the tokenizer's own splitting makes of a text."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model, self.letters = tokenizer.model, byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        plain = part.isascii() and part.isprintable()
+        found = self.model.tokenize(part if plain else "".join(self.letters[b] for b in part.encode()))
+        if len(self) >= CACHE:
+            self.clear()
+        self[part] = ids = array("I", [t.id for t in found]).tobytes()
+        return ids
+
+
 class WordIds(dict):
-    """Little-endian 32-bit ids by word; words between white space are tokenised on their own.
+    """Ids of the words between white space, where the tokenizer splits before anything else.
 
-    The tokenizer splits at white space before anything else, and its normalisation works inside a word,
-    so a text's ids are those of its words in turn.
+    Its normalisation works inside a word, so a text's ids are those of its words in turn. Words of
+    Latin letters and marks are split here and their parts looked up; others go to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -44,22 +72,34 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts = PartIds(self.tokenizer)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > CACHE:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
             self.clear()
-        new = [w for w in words if w not in self]
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self.update(zip(part, self.ids(part), strict=True))
-
-    def whole(self, text: str) -> bool:
-        """Whether the text must be encoded in one call: special tokens or separators Python splits at and the tokenizer doesn't."""
-        return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
+        self[word] = ids = self._split(word)
+        return ids
+
+    def _split(self, word: str) -> bytes:
+        if not word.isascii():
+            if max(word) >= "\u0250":
+                return self.ids(word)
+            word = unicodedata.normalize("NFC", word)
+        word = word.lower()
+        if word.isalpha():
+            return self.parts[word]
+        if word[-1] in ".," and word[:-1].isalpha():
+            return self.parts[word[:-1]] + self.parts[word[-1]]
+        return b"".join(map(self.parts.__getitem__, PARTS.findall(word)))
+
+    def document(self, text: str) -> bytes:
+        # Special tokens, and separators that Python splits at and the tokenizer doesn't, need the whole text.
+        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return self.ids(text)
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _WORKER: dict[str, WordIds] = {}
@@ -69,20 +109,9 @@ def document_ids(texts: list[str | None], path: str) -> Iterator[bytes]:
     """The ids of each text followed by END, as little-endian unsigned 32-bit numbers."""
     if path not in _WORKER:
         _WORKER[path] = WordIds(path)
-    cache = _WORKER[path]
-    end = END.to_bytes(4, "little")
-    at = 0
-    while at < len(texts):  # a slice of about a million characters at a time
-        size, part = 0, []
-        while at < len(texts) and (not part or size + len(texts[at] or "") < 1_000_000):
-            part.append(texts[at] or "")
-            size += len(part[-1])
-            at += 1
-        words = [None if cache.whole(t) else t.split() for t in part]
-        cache.learn({w for ws in words if ws for w in ws})
-        for text, ws in zip(part, words, strict=True):
-            body = cache.ids([text])[0] if ws is None else b"".join(map(cache.__getitem__, ws))
-            yield body + end
+    words, end = _WORKER[path], END.to_bytes(4, "little")
+    for text in texts:
+        yield words.document(text or "") + end
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
