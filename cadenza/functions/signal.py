@@ -29,8 +29,8 @@ def hamming(samples: Column) -> Column:
 
 
 def without_mean(samples: Column) -> Column:
-    mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x) / F.size(samples)
-    return F.transform(samples, lambda x: x - mean)
+    shifted = lambda total: F.transform(samples, lambda x: x - total / F.size(samples))
+    return F.aggregate(samples, F.lit(0.0), lambda a, x: a + x, shifted)
 
 
 def power_spectrum(samples: Column, size: int) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import models, sequences, texts
+from . import models, sequences, texts, validation
 
-ALL = {**models.QUERIES, **sequences.QUERIES, **texts.QUERIES}
+ALL = {**models.QUERIES, **sequences.QUERIES, **texts.QUERIES, **validation.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
