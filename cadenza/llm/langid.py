@@ -41,7 +41,7 @@ def letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def slices(texts: list[str], size: int = 500_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], size: int = 200_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about size characters, so that arrays stay small however long a batch is."""
     a = 0
     while a < len(texts):
@@ -148,10 +148,11 @@ def bounded_sample(rows: DataFrame, group: Column, order: Column, bound: int, to
     """At most bound rows of each group, those of least hash order; totals: group as g, n rows.
 
     A hash threshold first thins each group to about 1.2 times the bound, so that the ranking window
-    sees few rows of any group, however large.
+    sees few rows of any group, however large. totals has one row a group (a label or a language) and is
+    broadcast, so that rows aren't shuffled by group.
     """
     part = F.pmod(order, F.lit(1 << 40)).cast("double") / float(1 << 40)
-    thin = rows.withColumn("g", group).join(totals, "g").filter(part < F.lit(1.2 * bound + 100) / F.col("n"))
+    thin = rows.withColumn("g", group).join(F.broadcast(totals), "g").filter(part < F.lit(1.2 * bound + 100) / F.col("n"))
     rank = F.row_number().over(Window.partitionBy("g").orderBy(order))
     return thin.withColumn("rank_in_g", rank).filter(F.col("rank_in_g") <= bound).drop("rank_in_g", "n")
 
