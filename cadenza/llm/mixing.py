@@ -25,8 +25,8 @@ from .common import WORD, checkpoint, text_or_empty
 WEIGHTS, SHARE, REPEATS = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Words of a block, documents of a chunk, output shards.
 BLOCK, CHUNK, SHARDS = 64, 4096, 64
-#: Slots that one row expands to.
-RUN = 16384
+#: Slots that one row expands to, and about as many as one task takes.
+RUN, SLOTS_OF_TASK = 16384, 1_000_000
 
 
 def count_words(text: Column) -> Column:
@@ -147,7 +147,9 @@ def taken_pieces(docs: DataFrame, block: int = BLOCK, chunk: int = CHUNK, shards
         return pd.Series(permute(slot.to_numpy(np.int64) % n, n, key))
 
     runs = drawn.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(RUN).cast("long"))))
-    each = runs.repartition(F.col("number"), F.col("shard"), F.col("at")).withColumn(
+    # A number of its own: the rows are few before they expand, and would be put into one task.
+    tasks = max(shards, sum(slots) // SLOTS_OF_TASK)
+    each = runs.repartition(tasks, F.col("number"), F.col("shard"), F.col("at")).withColumn(
         "slot", F.explode(F.sequence(F.col("first") + F.col("at"), F.col("first") + F.least(F.col("at") + RUN, F.col("count")) - 1))
     )
     times = each.select("number", block_of("slot", "blocks", "number").alias("index")).groupBy("number", "index").agg(F.count(F.lit(1)).alias("times"))
@@ -165,7 +167,8 @@ def taken_pieces(docs: DataFrame, block: int = BLOCK, chunk: int = CHUNK, shards
         (F.greatest(F.col("start"), F.col("b") * block) - F.col("start")).alias("from_word"),
         (F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block) - F.col("start")).alias("to_word"),
     )
-    return pieces.join(times, ["number", "index"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
+    # Its size follows the corpus, which the plan can't see through the expansion: never broadcast.
+    return pieces.join(times.hint("merge"), ["number", "index"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, chunk: int = CHUNK, shards: int = SHARDS, seed: int = 6) -> DataFrame:
