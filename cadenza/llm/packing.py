@@ -25,8 +25,8 @@ from .common import checkpoint
 
 #: Tokens of a sequence, the id that ends a document, and pieces of a rank chunk.
 LENGTH, END, CHUNK = 2048, 0, 262144
-#: Cached words, and as many cached parts, of one Python worker; a full cache starts anew.
-CACHE = 400_000
+#: Words of a cache generation, and as many parts, of one Python worker.
+CACHE = 80_000
 #: How the tokenizer splits a word into parts.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -44,23 +44,36 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-class PartIds(dict):
+class Recent(dict):
+    """A cache of two generations: a full one becomes the old one, from which what is used again comes back."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        self[key] = found = self.make(key) if found is None else found
+        return found
+
+
+class PartIds(Recent):
     """Ids, as little-endian 32-bit numbers, of the parts that the tokenizer's own splitting makes of a text."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.model, self.letters = tokenizer.model, byte_letters()
 
-    def __missing__(self, part: str) -> bytes:
+    def make(self, part: str) -> bytes:
         plain = part.isascii() and part.isprintable()
         found = self.model.tokenize(part if plain else "".join(self.letters[b] for b in part.encode()))
-        if len(self) >= CACHE:
-            self.clear()
-        self[part] = ids = array("I", [t.id for t in found]).tobytes()
-        return ids
+        return array("I", [t.id for t in found]).tobytes()
 
 
-class WordIds(dict):
+class WordIds(Recent):
     """Ids of the words between white space, where the tokenizer splits before anything else.
 
     Its normalisation works inside a word, so a text's ids are those of its words in turn. Words of
@@ -77,13 +90,7 @@ class WordIds(dict):
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = ids = self._split(word)
-        return ids
-
-    def _split(self, word: str) -> bytes:
+    def make(self, word: str) -> bytes:
         if not word.isascii():
             if max(word) >= "\u0250":
                 return self.ids(word)
