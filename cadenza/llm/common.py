@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The contract's word and its complement: space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most rows of a batch that a Python worker holds; texts may be long.
+BATCH = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """docs, after bounding the rows that the session hands to a Python worker at once; a smaller setting stays."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH:
+        conf.set(name, str(BATCH))
+    return docs
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

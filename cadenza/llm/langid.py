@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, in_small_batches
 
 #: Orders of the n-grams, least share of a language's n-grams of one order, sampled rows of a language.
 ORDERS, MIN_SHARE, SAMPLE = (2, 3, 4), 2e-5, 1500
@@ -159,7 +159,7 @@ def bounded_sample(rows: DataFrame, group: Column, order: Column, bound: int, to
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     """Filters from text and lang of rows outside the held-out fold; null text or lang teaches nothing."""
-    rows = docs.select("doc_id", "text", "lang").filter(
+    rows = in_small_batches(docs).select("doc_id", "text", "lang").filter(
         (fold(F.col("doc_id"), MODULUS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
     totals = rows.groupBy(F.col("lang").alias("g")).agg(F.count(F.lit(1)).alias("n"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, text_or_empty
+from .common import WORD, checkpoint, in_small_batches, text_or_empty
 
 #: Weights in turn, by the source's place in code point order, and the limits of the contract.
 WEIGHTS, SHARE, REPEATS = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -220,7 +220,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, chunk: int = CHUNK, sha
         return pd.Series([take_text(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    joined = docs.join(spans, docs["doc_id"] == spans["mixed_id"])
+    joined = in_small_batches(docs).join(spans, docs["doc_id"] == spans["mixed_id"])
     built = joined.select(*[docs[c] for c in others], build(docs["text"], spans["mixed_spans"]).alias("text"))
     if "n_chars" in docs.columns:
         built = built.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, in_small_batches
 
 #: Tokens of a sequence, the id that ends a document, and pieces of a rank chunk.
 LENGTH, END, CHUNK = 2048, 0, 262144
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = "row string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    out = docs.select(F.col("doc_id").cast("string").alias("row"), "text").mapInPandas(run, schema)
+    out = in_small_batches(docs).select(F.col("doc_id").cast("string").alias("row"), "text").mapInPandas(run, schema)
     return out.select(F.col("row").cast(kind).alias("doc_id"), *out.columns[1:])
 
 

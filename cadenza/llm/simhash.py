@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, keep_ids
+from .common import checkpoint, in_small_batches, keep_ids
 from .components import components
 
 #: Words of a shingle, seed of XXH64 and the largest linked distance.
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"row": batch["row"], "fp": fp})
 
     # The id travels as text, so that nulls and any integer type survive pandas.
-    rows = docs.select(F.col("doc_id").cast("string").alias("row"), "text")
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("string").alias("row"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInPandas(run, "row string, fp long").select(F.col("row").cast(kind).alias("doc_id"), "fp")
 
