@@ -25,7 +25,7 @@ from .common import checkpoint, in_small_batches
 
 #: Tokens of a sequence, the id that ends a document, and pieces of a rank chunk.
 LENGTH, END, CHUNK = 2048, 0, 262144
-#: Words of a cache generation, and as many parts, of one Python worker.
+#: Words and parts of words in a cache generation of one Python worker.
 CACHE = 80_000
 #: How the tokenizer splits a word into parts.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -60,24 +60,12 @@ class Recent(dict):
         return found
 
 
-class PartIds(Recent):
-    """Ids, as little-endian 32-bit numbers, of the parts that the tokenizer's own splitting makes of a text."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.model, self.letters = tokenizer.model, byte_letters()
-
-    def make(self, part: str) -> bytes:
-        plain = part.isascii() and part.isprintable()
-        found = self.model.tokenize(part if plain else "".join(self.letters[b] for b in part.encode()))
-        return array("I", [t.id for t in found]).tobytes()
-
-
 class WordIds(Recent):
     """Ids of the words between white space, where the tokenizer splits before anything else.
 
     Its normalisation works inside a word, so a text's ids are those of its words in turn. Words of
-    Latin letters and marks are split here and their parts looked up; others go to the tokenizer.
+    Latin letters and marks are split here as its own splitting does, and their parts looked up in this
+    same cache; others go to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -85,7 +73,7 @@ class WordIds(Recent):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts = PartIds(self.tokenizer)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -97,10 +85,14 @@ class WordIds(Recent):
             word = unicodedata.normalize("NFC", word)
         word = word.lower()
         if word.isalpha():
-            return self.parts[word]
-        if word[-1] in ".," and word[:-1].isalpha():
-            return self.parts[word[:-1]] + self.parts[word[-1]]
-        return b"".join(map(self.parts.__getitem__, PARTS.findall(word)))
+            return self.part(word)
+        parts = [word[:-1], word[-1]] if word[-1] in ".," and word[:-1].isalpha() else PARTS.findall(word)
+        return self.part(word) if parts == [word] else b"".join(map(self.__getitem__, parts))
+
+    def part(self, part: str) -> bytes:
+        plain = part.isascii() and part.isprintable()
+        found = self.model.tokenize(part if plain else "".join(self.letters[b] for b in part.encode()))
+        return array("I", [t.id for t in found]).tobytes()
 
     def document(self, text: str) -> bytes:
         # Special tokens, and separators that Python splits at and the tokenizer doesn't, need the whole text.
