@@ -16,7 +16,8 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, checkpoint, in_small_batches, text_or_empty
@@ -115,6 +116,12 @@ def _blocks_of(docs: DataFrame, block: int, chunk: int) -> tuple[DataFrame, Data
     return placed, checkpoint(chunks)
 
 
+def _small_table(spark: SparkSession, rows: list[tuple], columns: dict[str, pa.DataType]) -> DataFrame:
+    """rows as a DataFrame by way of Arrow, which takes no Python workers of its own."""
+    named = {c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(columns.items())}
+    return spark.createDataFrame(pa.table(named))
+
+
 def taken_pieces(docs: DataFrame, block: int = BLOCK, chunk: int = CHUNK, shards: int = SHARDS, seed: int = 6) -> DataFrame:
     """Pieces of documents, one for each block a document reaches into, and how often the mix takes them.
 
@@ -136,8 +143,9 @@ def taken_pieces(docs: DataFrame, block: int = BLOCK, chunk: int = CHUNK, shards
         for k in range(shards)
         if counts[k, n]
     ]
-    sources = spark.createDataFrame([(n, s, float(wanted[s])) for n, s in enumerate(names)], "number int, name string, target double")
-    drawn = spark.createDataFrame(plan, "number int, blocks long, shard int, first long, count long")
+    named = [(n, s, float(wanted[s])) for n, s in enumerate(names)]
+    sources = _small_table(spark, named, {"number": pa.int32(), "name": pa.string(), "target": pa.float64()})
+    drawn = _small_table(spark, plan, {"number": pa.int32(), "blocks": pa.int64(), "shard": pa.int32(), "first": pa.int64(), "count": pa.int64()})
 
     @F.pandas_udf("long")
     def block_of(slot: pd.Series, blocks: pd.Series, number: pd.Series) -> pd.Series:
