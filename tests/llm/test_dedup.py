@@ -174,6 +174,21 @@ def test_lines_match_brute_force(spark):
     assert all(r["kept"] == ((r["doc_id"], r["line_no"]) == (r["group_doc_id"], r["group_line_no"])) for r in rows)
 
 
+@pytest.mark.parametrize("union", [5, 10, 20, 40])
+def test_banding_recall_at_the_threshold(spark, union, count=500):
+    rng = random.Random(union)
+    docs = []
+    for n in range(count):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(union)]
+        common, other = words[: union * 4 // 5], words[union * 4 // 5 :]
+        docs += [(2 * n, " ".join(common + other[: len(other) // 2])), (2 * n + 1, " ".join(common + other[len(other) // 2 :]))]
+    signed = line_dedup.signatures(line_dedup.lines_of(frame(spark, docs)))
+    pair = F.shiftright("lid", line_dedup.PLACES + 1).alias("pair")
+    met = line_dedup._buckets(signed).groupBy(pair, "bucket").count().filter("count > 1").select("pair").distinct().count()
+    print(f"union {union}: recall {met / count}")
+    assert met >= 0.99 * count
+
+
 def test_large_buckets_of_lines(spark):
     rng = random.Random(1)
     base = sentence(rng, 40)
