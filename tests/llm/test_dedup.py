@@ -197,6 +197,32 @@ def test_large_buckets_of_lines(spark):
     assert sum(r["kept"] for r in rows) <= 2
 
 
+def test_chains_in_a_crowded_shingle(spark):
+    """All lines meet in one bucket: what the rare shingles link must be all that brute force links."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    base = [word() for _ in range(40)]
+    # The last two match each other; the last but one matches the first, too, the last doesn't.
+    texts = [base, *[[*base, word()] for _ in range(17)], base[5:], base[10:]]
+    # Lines of no match, which make the words that the last two lack frequent.
+    texts += [[*base[:10], *[word() for _ in range(30)]] for _ in range(60)]
+    lines = line_dedup.lines_of(frame(spark, [(n, " ".join(t)) for n, t in enumerate(texts)]))
+    signed = line_dedup.signatures(lines).select("d1", "d2", "lid", *[F.lit(0).cast("long").alias(f"b{b}") for b in range(line_dedup.BANDS)])
+    rows = components(line_dedup.links(lines, signed)).collect()
+    got = {n: n for n in range(len(texts))} | {r["node"] >> line_dedup.PLACES: r["root"] >> line_dedup.PLACES for r in rows}
+    want = {n: n for n in range(len(texts))}
+    sets, changed = [set(t) for t in texts], True
+    near = [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in near:
+            if want[a] != want[b]:
+                want[a] = want[b] = min(want[a], want[b])
+                changed = True
+    assert len(set(want.values())) == 61
+    assert got == want
+
+
 def test_line_ids_and_text(spark):
     docs = frame(spark, [(1, "one two three\n\nkeep me\n"), (2, "keep me\nother line"), (3, None), (-5, "far away"), (1 << 60, "far out")])
     out = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()}
