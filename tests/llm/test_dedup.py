@@ -223,6 +223,16 @@ def test_chains_in_a_crowded_shingle(spark):
     assert got == want
 
 
+def test_lines_of_long_words_are_read_whole(spark):
+    khmer = "សេចក្តីប្រកាសជាសកលស្តីពី"
+    lines = ["https://a.org/x", "https://b.net/y", "Conclusion", "Conclusions", "data:image/png;base64,AAAA", "data:image/gif;base64,BBBB"]
+    lines += ["0123456789abcdef", "01234567ffffffff", khmer + "សិទ្ធិមនុស្ស", khmer + "ច្បាប់អន្តរជាតិទូទៅ", "漢字 https://c.com/p", "漢字 https://d.edu/q"]
+    long = "".join(chr(97 + n * n % 26) + str(n) for n in range(60))
+    lines += [long, long + "z"]
+    rows = line_dedup.line_groups(frame(spark, list(enumerate(lines)))).collect()
+    assert {r["doc_id"]: r["group_doc_id"] for r in rows} == {n: n for n in range(len(lines) - 1)} | {len(lines) - 1: len(lines) - 2}
+
+
 def test_line_ids_and_text(spark):
     docs = frame(spark, [(1, "one two three\n\nkeep me\n"), (2, "keep me\nother line"), (3, None), (-5, "far away"), (1 << 60, "far out")])
     out = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs).collect()}
