@@ -58,11 +58,9 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi") -> DataFrame:
-    """Rows of docs whose key is (left_semi) or isn't (left_anti) in the first column of ids.
-
-    The id column gets a fresh name, so that extra columns of docs can't clash; null equals null.
-    """
-    fresh = f"k_{uuid.uuid4().hex}"
-    ids = ids.select(F.col(ids.columns[0]).alias(fresh))
-    return docs.join(ids, docs[key].eqNullSafe(F.col(fresh)), how)
+def drop_rows(docs: DataFrame, rows: DataFrame, key: dict[str, Column]) -> DataFrame:
+    """docs without the rows whose key (column of rows: expression over docs) is in rows; null equals null."""
+    fresh = {c: f"k_{uuid.uuid4().hex}" for c in key}
+    rows = rows.select(*[F.col(c).alias(k) for c, k in fresh.items()])
+    same = [e.eqNullSafe(F.col(fresh[c])) for c, e in key.items()]
+    return docs.join(rows, same, "left_anti")

@@ -8,10 +8,12 @@ none of them frequent, take an ordinary shuffle. Texts themselves are read once
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, keep_ids, text_or_empty
+from .common import checkpoint, drop_rows, text_or_empty
 
 #: Share of all rows from which a digest counts as frequent. Misra-Gries then holds 1/SUPPORT counters.
 SUPPORT = 0.0005
@@ -69,12 +71,25 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """docs without the rows that exact_dedup drops; every column stays.
+    """docs with one row of each text, that of the largest doc_id; every column stays.
 
-    Rows that repeat both doc_id and text are all kept by this filter if their doc_id is.
+    Rows are told apart by doc_id and text, so rows that share an id only don't share a verdict. Of rows
+    that repeat both any one stays.
     """
-    dropped = exact_dedup(docs, support).filter(~F.col("kept")).select("doc_id")
-    return keep_ids(docs, dropped, how="left_anti")
+    verdicts = checkpoint(exact_dedup(docs, support))
+    digest = F.sha2(text_or_empty(docs["text"]), 256)
+    key = {"doc_id": docs["doc_id"], "text_sha256": digest}
+    dropped = verdicts.filter(~F.col("kept"))
+    repeated = checkpoint(verdicts.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    if repeated.isEmpty():
+        return drop_rows(docs, dropped, key)
+    single = drop_rows(docs, dropped.select("doc_id", "text_sha256").union(repeated.select("doc_id", "text_sha256")), key)
+    k_id, k_sha, k_digest = (f"k_{uuid.uuid4().hex}" for _ in range(3))
+    named = repeated.select(F.col("doc_id").alias(k_id), F.col("text_sha256").alias(k_sha))
+    same = docs["doc_id"].eqNullSafe(F.col(k_id)) & (digest == F.col(k_sha))
+    # A null text and an empty one are equal, so the digest, not the text, tells repeats.
+    one = docs.join(named, same, "left_semi").withColumn(k_digest, digest).dropDuplicates(["doc_id", k_digest]).drop(k_digest)
+    return single.unionByName(one)
 
 
 SQL = """

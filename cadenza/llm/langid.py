@@ -212,12 +212,17 @@ def predict_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def drop_undetermined(docs: DataFrame, sample: int = SAMPLE, least: float = 0.2) -> DataFrame:
-    """docs without the rows whose text has no letter or whose best language covers less than least of its n-grams."""
+    """docs without the rows whose text has no letter or whose best language covers less than least of its n-grams.
+
+    Where nothing could be learned, every text with a letter stays.
+    """
     filters = learn(docs, sample)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     @F.pandas_udf("boolean")
     def known(text: pd.Series) -> pd.Series:
+        if not shared.value.languages:
+            return pd.Series([any(letters()[ord(c)] for c in t or "") for t in text], dtype=bool)
         names, scores = shared.value.predict(text.tolist())
         return pd.Series((np.array(names, dtype=object) != UNDETERMINED) & (scores >= least), dtype=bool)
 

@@ -13,6 +13,7 @@ of about CHUNK documents of one source, and each chunk fills blocks of its own.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -95,16 +96,16 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _blocks_of(docs: DataFrame, block: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+def _blocks_of(docs: DataFrame, block: int, chunk: int, more: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with their place in the source's blocks, and the chunks; both checkpointed."""
-    sized = checkpoint(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")))
+    sized = checkpoint(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), *more))
     rows = sized.groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"))
     # The table of sources, one row each, is joined by Spark's own choice of strategy.
     dealt = sized.join(rows, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "size", "source_size",
+        "doc_id", "source", "size", "source_size", *more,
         F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("rows") / chunk)).alias("chunk"),
     )
-    line = Window.partitionBy("source", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("source", "chunk").orderBy("doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     placed = checkpoint(dealt.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0).cast("long"))))
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = (
@@ -122,14 +123,16 @@ def _small_table(spark: SparkSession, rows: list[tuple], columns: dict[str, pa.D
     return spark.createDataFrame(pa.table(named))
 
 
-def taken_pieces(docs: DataFrame, block: int = BLOCK, chunk: int = CHUNK, shards: int = SHARDS, seed: int = 6) -> DataFrame:
+def taken_pieces(
+    docs: DataFrame, block: int = BLOCK, chunk: int = CHUNK, shards: int = SHARDS, seed: int = 6, more: list[str] = ()
+) -> DataFrame:
     """Pieces of documents, one for each block a document reaches into, and how often the mix takes them.
 
     doc_id, source, size, source_size, target, chunk, start, from_word, to_word (null for documents
-    without words), times.
+    without words), times; and the columns more of docs.
     """
     spark = docs.sparkSession
-    placed, chunks = _blocks_of(docs, block, chunk)
+    placed, chunks = _blocks_of(docs, block, chunk, more)
     # One row per source comes to the driver, never documents.
     have = {r["source"]: r for r in chunks.groupBy("source").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks")).collect()}
     wanted = targets({s: r["words"] for s, r in have.items()})
@@ -167,10 +170,10 @@ def taken_pieces(docs: DataFrame, block: int = BLOCK, chunk: int = CHUNK, shards
     numbered = with_base.join(sources, F.col("source").eqNullSafe(F.col("name")))
     reach = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
     pieces = numbered.select(
-        "doc_id", "source", "size", "source_size", "target", "chunk", "start", "number", "base",
+        "doc_id", "source", "size", "source_size", "target", "chunk", "start", "number", "base", *more,
         F.explode_outer(F.when(F.col("size") > 0, reach)).alias("b"),
     ).select(
-        "doc_id", "source", "size", "source_size", "target", "chunk", "start", "number",
+        "doc_id", "source", "size", "source_size", "target", "chunk", "start", "number", *more,
         (F.col("base") + F.col("b")).alias("index"),
         (F.greatest(F.col("start"), F.col("b") * block) - F.col("start")).alias("from_word"),
         (F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block) - F.col("start")).alias("to_word"),
@@ -218,18 +221,21 @@ def take_text(text: str, spans: list) -> str:
 def mixed_documents(docs: DataFrame, block: int = BLOCK, chunk: int = CHUNK, shards: int = SHARDS, seed: int = 6) -> DataFrame:
     """The mix as documents: the columns of docs, text made of the taken parts, n_chars (if there) its length.
 
-    Documents of which nothing is taken are left out; doc_id must be unique.
+    Documents of which nothing is taken are left out. Rows are told apart by numbers of their own, so doc_id
+    may be null or repeated.
     """
-    pieces = taken_pieces(docs, block, chunk, shards, seed).filter(F.col("times") > 0)
-    spans = pieces.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.collect_list(F.struct("from_word", "to_word", "times")).alias("mixed_spans"))
+    row = f"k_{uuid.uuid4().hex}"
+    docs = checkpoint(docs.withColumn(row, F.monotonically_increasing_id()))  # fixes the numbers
+    pieces = taken_pieces(docs, block, chunk, shards, seed, [row]).filter(F.col("times") > 0)
+    spans = pieces.groupBy(F.col(row).alias("mixed_row")).agg(F.collect_list(F.struct("from_word", "to_word", "times")).alias("mixed_spans"))
 
     @F.pandas_udf("string")
     def build(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([take_text(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    joined = in_small_batches(docs).join(spans, docs["doc_id"] == spans["mixed_id"])
+    others = [c for c in docs.columns if c not in ("text", "n_chars", row)]
+    joined = in_small_batches(docs).join(spans, docs[row] == spans["mixed_row"])
     built = joined.select(*[docs[c] for c in others], build(docs["text"], spans["mixed_spans"]).alias("text"))
     if "n_chars" in docs.columns:
         built = built.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return built.select(docs.columns)
+    return built.select([c for c in docs.columns if c != row])

@@ -24,10 +24,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, in_small_batches, keep_ids
+from .common import checkpoint, drop_rows, in_small_batches, text_or_empty
 from .components import components
 
 #: Words of a shingle, seed of XXH64 and the largest linked distance.
@@ -73,18 +73,22 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
+def _digest(text: Column) -> dict[str, Column]:
+    return {"d1": F.xxhash64(text_or_empty(text)), "d2": F.xxhash64(F.lit(1), text_or_empty(text))}
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, a signed 64-bit number, of every row; null texts count as empty."""
+    """doc_id, d1, d2 (a digest of 128 bits) and fp, a signed 64-bit number, of every row; null texts count as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.fromiter(map(fingerprint, batch["text"]), dtype=np.int64, count=len(batch))
-            yield pd.DataFrame({"row": batch["row"], "fp": fp})
+            yield pd.DataFrame({"row": batch["row"], "d1": batch["d1"], "d2": batch["d2"], "fp": fp})
 
     # The id travels as text, so that nulls and any integer type survive pandas.
-    rows = in_small_batches(docs).select(F.col("doc_id").cast("string").alias("row"), "text")
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("string").alias("row"), *[d.alias(c) for c, d in _digest(F.col("text")).items()], "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, "row string, fp long").select(F.col("row").cast(kind).alias("doc_id"), "fp")
+    return rows.mapInPandas(run, "row string, d1 long, d2 long, fp long").select(F.col("row").cast(kind).alias("doc_id"), "d1", "d2", "fp")
 
 
 def _pairs(fp: np.ndarray, run: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,6 +203,17 @@ def links(groups: DataFrame, crowd: int = CROWD, limit: int = LIMIT) -> DataFram
     return found if out is None else found.union(out)
 
 
+def _grouped(docs: DataFrame, crowd: int) -> DataFrame:
+    """doc_id, d1, d2, fp, component (its least fingerprint) and component_id of every row."""
+    rows = checkpoint(fingerprints(docs))
+    groups = checkpoint(rows.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("rep")))
+    # Fingerprints are the nodes: rows of one id may have several.
+    roots = components(links(groups.filter(F.col("rep").isNotNull()).select("fp", F.col("fp").alias("rep")), crowd))
+    of = checkpoint(groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("component")))
+    ids = of.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return rows.join(of.join(ids, "component").select("fp", "component", "component_id"), "fp")
+
+
 def near_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint, component_id.
 
@@ -208,18 +223,20 @@ def near_groups(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     without doc_id is grouped by its fingerprint; where no row of a fingerprint has an id, component_id
     is null. doc_id must be an integer. An empty table gives an empty result. Other columns are not read.
     """
-    rows = checkpoint(fingerprints(docs))
-    groups = checkpoint(rows.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("rep")))
-    roots = components(links(groups.filter(F.col("rep").isNotNull()), crowd))
-    of = groups.join(roots, groups["rep"] == roots["node"], "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id")
-    )
-    return rows.join(of, "fp").select(
+    return _grouped(docs, crowd).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def drop_near_copies(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; every column stays."""
-    dropped = near_groups(docs, crowd).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return keep_ids(docs, dropped, how="left_anti")
+    """docs with one document of each component, that of the smallest doc_id; every column stays.
+
+    Rows are told apart by doc_id and text, so rows that share an id only don't share a verdict; of the texts
+    of the smallest doc_id that of the least digest stays. Rows without doc_id stay.
+    """
+    rows = checkpoint(_grouped(docs, crowd).filter(F.col("doc_id").isNotNull()))
+    own = F.when(F.col("doc_id") == F.col("component_id"), F.struct("d1", "d2"))
+    kept = rows.groupBy("component").agg(F.min(own).alias("kept"))
+    gone = (F.col("doc_id") != F.col("component_id")) | (F.struct("d1", "d2") != F.col("kept"))
+    dropped = rows.join(kept, "component").filter(gone)
+    return drop_rows(docs, dropped, {"doc_id": docs["doc_id"], **_digest(docs["text"])})

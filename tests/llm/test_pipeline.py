@@ -4,7 +4,8 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from cadenza.llm import mixing, packing
+from cadenza.llm import exact_dedup, langid, mixing, packing, simhash
+from pyspark.sql import functions as F
 
 from .test_dedup import brute_components, brute_fingerprint, edited, sentence
 
@@ -63,6 +64,28 @@ def test_stages(spark, tmp_path):
     assert seen == [n for n, _ in corpus_pipeline.STAGES]
 
 
+def test_stages_keep_rows_of_null_and_repeated_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    got = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    exact = exact_dedup.drop_exact_copies
+    assert got(exact(make([(None, "a"), (9, "a"), (None, "z")]))) == sorted([(9, "a"), (None, "z")], key=str)
+    assert got(exact(make([(1, "a"), (1, "b"), (2, "a")]))) == [(1, "b"), (2, "a")]
+    assert got(exact(make([(1, "a"), (1, "a"), (None, "q"), (None, "q")]))) == [(1, "a"), (None, "q")]
+    unlabelled = make([(None, "a"), (3, "é 1"), (4, "12 !"), (4, "b")]).withColumn("lang", F.lit(None).cast("string"))
+    assert got(langid.drop_undetermined(unlabelled)) == sorted([(None, "a"), (3, "é 1"), (4, "b")], key=str)
+    one, other = "one two three four five", "lonely words stand over here"
+    near = simhash.drop_near_copies
+    assert got(near(make([(5, one), (5, other), (1, one)]))) == [(1, one), (5, other)]
+    long = " ".join(f"w{n}" for n in range(200))
+    rows = [(None, long), (None, "p q r"), (7, long + " end"), (7, "x y"), (8, long), (8, long)]
+    mixed = got(mixing.mixed_documents(make(rows), block=1))
+    assert [i for i, _ in mixed] == [7, 7, 8, 8, None, None]
+    words = {t: len(t.split()) for _, t in rows}
+    for i, t in mixed:
+        assert any(j == i and set(t.split()) <= set(o.split()) and len(t.split()) <= 2 * words[o] for j, o in rows)
+
+
 def test_run_chains_the_stages(spark, tmp_path):
     corpus(spark, str(tmp_path))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
