@@ -19,8 +19,8 @@ from .common import checkpoint, fold
 from .langid import bounded_sample, slices
 from .toxicity import hash_runs
 
-#: Sampled documents of either label, most lines of a sampled document, gradient steps and strength of L2.
-SAMPLE, SAMPLE_LINES, STEPS, L2 = 1500, 400, 200, 1e-3
+#: Sampled documents of either label, gradient steps and strength of L2.
+SAMPLE, STEPS, L2 = 1500, 200, 1e-3
 #: Fold of the rows that nothing is learned from; score from which a text is predicted good.
 MODULUS, HELD_OUT, LIMIT = 5, 0, 0.3
 
@@ -164,13 +164,12 @@ def _adam(gradient, x: np.ndarray, steps: int, rate: float) -> np.ndarray:
 def fit(texts: list[str], labels: np.ndarray, share: float, steps: int = STEPS) -> Model:
     """The field and its calibration; share: of good documents among all labelled ones."""
     lines = Lines(texts)
-    few = lines.count <= SAMPLE_LINES
     y = labels[lines.doc].astype(float)
     sure = lines.x.std(axis=0)
     centre, scale = lines.x.mean(axis=0) if len(lines.x) else 0, np.where(sure > 1e-6, sure, 1.0)
     x = (lines.x - centre) / scale
     both = np.array([max(1, (labels == 0).sum()), max(1, (labels == 1).sum())])
-    of_doc = few / np.maximum(1, lines.count) ** 0.5 / both[labels]
+    of_doc = 1 / np.maximum(1, lines.count) ** 0.5 / both[labels]
     of_doc /= max(1e-12, (of_doc * lines.count).sum())
     weight = of_doc[lines.doc]
     pair = np.flatnonzero(lines.doc[1:] == lines.doc[:-1])

@@ -133,6 +133,15 @@ def test_quality_learns_and_handles_edges(spark):
     assert quality.score(frame(spark, []).limit(0), labelled(spark, labels)).count() == 0
 
 
+def test_quality_learns_from_long_documents():
+    rng = np.random.default_rng(5)
+    texts = ["\n".join(" ".join(rng.choice(ENGLISH, 8)) + "." for _ in range(450)) for _ in range(12)]
+    texts = [t.upper().replace(" ", "!! ") if n % 2 else t for n, t in enumerate(texts)]
+    labels = np.array([1 - n % 2 for n in range(12)])
+    means = quality.fit(texts, labels, 0.5).means(quality.Lines(texts))
+    assert means[labels == 1].min() > 0.6 and means[labels == 0].max() < 0.4
+
+
 BASE = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
