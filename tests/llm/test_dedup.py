@@ -175,8 +175,8 @@ def test_lines_match_brute_force(spark):
 
 
 def test_bands_meet_in_one_minimum_at_most():
-    found = line_dedup.bands(classes=5)
-    assert len(found) == 20 and all(len(set(x)) == 4 for x in found)
+    found = line_dedup.bands(classes=4)
+    assert len(found) == 16 and all(len(set(x)) == 4 for x in found)
     assert all(len(set(x) & set(y)) <= 1 for n, x in enumerate(found) for y in found[:n])
 
 
