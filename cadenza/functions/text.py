@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Vowels of the ARPAbet (fixed values).
-VOWELS = ("AA", "AE", "AH", "AO", "AW", "AX", "AXR", "AY", "EH", "ER", "EY", "IH", "IX", "IY", "OW", "OY", "UH", "UW", "UX")
+VOWELS = ("AA", "AE", "AH", "AO", "AW", "AY", "EH", "ER", "EY", "IH", "IY", "OW", "OY", "UH", "UW")
 EDGE = r"[\p{P}\p{S}\p{Z}]+"
 
 
@@ -29,6 +29,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def strip_edges(word: Column) -> Column:
     """Without punctuation, symbols and separators at either end; inner ones stay."""
     return F.regexp_replace(word, f"^{EDGE}|{EDGE}$", "")
@@ -41,8 +46,9 @@ def normalise(text: Column) -> Column:
 
 
 def strip_markers(text: Column) -> Column:
-    """Without the sentence marks <s> and </s>."""
-    return F.trim(F.regexp_replace(text, r"(?:^\s*<s>\s+)|(?:\s+</s>\s*$)", " "))
+    """Without a leading <s> and a trailing </s>, also where nothing else is there."""
+    bare = F.regexp_replace(strip(text), r"^<s>(?:\s+|$)", "")
+    return F.regexp_replace(bare, r"(?:^|\s+)</s>$", "")
 
 
 def base_word(word: Column) -> Column:
@@ -89,23 +95,25 @@ def escape_textgrid(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-def format_of(line: Column) -> Column:
-    """sphinx, tsv, csv or unknown, from one line."""
-    return (
-        F.when(line.rlike(r"\([^()\s]+\)\s*$"), "sphinx").when(line.contains("\t"), "tsv").when(line.contains(","), "csv").otherwise("unknown")
-    )
+def format_of(text: Column) -> Column:
+    """sphinx, tsv, csv or unknown, of a whole file: its first line that is neither blank nor a comment (#) decides."""
+    line = strip(F.regexp_extract(text, r"(?m)^[^\S\n]*([^\s#][^\n]*)", 1))
+    sphinx = line.startswith("<s>") & line.contains("</s>")
+    return F.when(sphinx, "sphinx").when(line.contains("\t"), "tsv").when(line.contains(","), "csv").otherwise("unknown")
 
 
 def utterance(line: Column) -> Column:
-    """utt_id and text: a trailing (id), else the first word is the id; sentence marks dropped.
+    """utt_id and text: white space and a trailing (id), sentence marks dropped; else the first word is the id.
 
-    Null for blank lines and for lines of one word without an id.
+    Ids in brackets may hold spaces; a bracket that ends a word, as in read(2), is no id. Null for blank
+    lines and for lines of one word without an id.
     """
-    tail = F.regexp_extract(line, r"\(([^()\s]+)\)\s*$", 1)
-    body = strip_markers(F.trim(F.regexp_replace(line, r"\s*\([^()\s]+\)\s*$", "")))
-    lead, rest = F.regexp_extract(F.trim(line), r"^(\S+)\s+", 1), F.regexp_replace(F.trim(line), r"^\S+\s+", "")
+    bare = strip(line)
+    form = r"(?s)^(.*?)\s+\(([^)]+)\)$"
+    tail, body = F.regexp_extract(bare, form, 2), strip_markers(F.regexp_extract(bare, form, 1))
+    lead, rest = F.regexp_extract(bare, r"(?s)^(\S+)\s+(.*)$", 1), F.regexp_extract(bare, r"(?s)^(\S+)\s+(.*)$", 2)
     return F.when(tail != "", F.struct(tail.alias("utt_id"), body.alias("text"))).when(
-        lead != "", F.struct(lead.alias("utt_id"), strip_markers(rest).alias("text"))
+        lead != "", F.struct(lead.alias("utt_id"), rest.alias("text"))
     )
 
 

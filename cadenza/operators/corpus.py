@@ -103,23 +103,37 @@ def corpus_part(rows: DataFrame, pos: str, total: int, part: int, parts: int) ->
     return rows.filter((F.col(pos) >= (part - 1) * size) & upper)
 
 
-def ngrams(texts: DataFrame, key: str, text: str, order: int) -> DataFrame:
-    """gram, n of the word n-grams of one order."""
-    w = T.words(F.col(text))
-    count = F.size("w") - (order - 1)
-    grams = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice("w", i, F.lit(order)), " ")))
-    return texts.select(w.alias("w")).select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+def ngrams(texts: DataFrame, key: str, text: str, *orders: int) -> DataFrame:
+    """gram, n, gram_order of the word n-grams of the given orders: one scan, one aggregation."""
+    def grams(order: int) -> Column:
+        count = F.size("w") - (order - 1)
+        listed = F.transform(F.sequence(F.lit(1), count), lambda i: F.struct(F.array_join(F.slice("w", i, F.lit(order)), " ").alias("gram"), F.lit(order).alias("gram_order")))
+        return F.when(count > 0, listed).otherwise(F.array().cast("array<struct<gram:string,gram_order:int>>"))
+
+    each = texts.select(T.words(F.col(text)).alias("w")).select(F.explode(F.concat(*map(grams, orders))).alias("g"))
+    return each.groupBy("g.gram", "g.gram_order").agg(F.count(F.lit(1)).alias("n")).select("gram", "n", "gram_order")
+
+
+def digest_tree(lines: DataFrame, line: str, width: int = 6) -> DataFrame:
+    """One row: sha256 of the lines as a tree of digests, whatever their order and partitions.
+
+    Lines are bucketed by the first width hex digits of their MD5; a bucket's digest is that of its sorted
+    lines, and 256 digests at a time are digested again, down to one. A bucket has one of 16 ** width of the
+    lines, so no task holds many; lines that repeat meet in one bucket. No lines give the digest of nothing.
+    """
+    level = lines.select(F.substring(F.md5(line), 1, width).alias("b"), F.col(line).alias("h"))
+    for left in [width, *range(width - 2, -1, -2)]:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n")
+        if left:
+            level = level.groupBy(F.substring("b", 1, left).alias("b2")).agg(F.sha2(joined, 256).alias("h")).select(F.col("b2").alias("b"), "h")
+        else:
+            level = level.agg(F.sha2(joined, 256).alias("sha256"))
+    return level
 
 
 def identity(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """One row: SHA-256 over the sorted keys and the hashes of their texts."""
-    each = rows.select(F.struct(F.col(key).cast("string").alias("k"), F.sha2(text, 256).alias("h")).alias("x"))
-    # Two levels: 256 digests of sorted buckets, then one of those.
-    bucket = each.groupBy(F.substring(F.md5("x.k"), 1, 2).alias("b")).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    part = bucket.select("b", F.sha2(F.array_join(F.transform("xs", lambda x: F.concat_ws(":", x["k"], x["h"])), "\n"), 256).alias("h"))
-    return part.agg(F.array_sort(F.collect_list(F.struct("b", "h"))).alias("ps"), F.count(F.lit(1)).alias("buckets")).select(
-        F.sha2(F.array_join(F.transform("ps", lambda p: p["h"]), "\n"), 256).alias("sha256"), "buckets"
-    )
+    """One row: the digest of all keys and the hashes of their texts."""
+    return digest_tree(rows.select(F.concat_ws(":", F.col(key).cast("string"), F.sha2(text, 256)).alias("line")), "line")
 
 
 def overlay(layers: DataFrame) -> DataFrame:

@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 COUNTS = ("hits", "subs", "dels", "ins")
 
 
-def convergence(passes: DataFrame, order: str, total: str, frames: str, threshold: float) -> DataFrame:
-    """delta of the per-frame likelihood to the pass before (signed; null for the first) and whether it stops."""
+def convergence(passes: DataFrame, order: str, total: str, frames: str, threshold: float, least: int = 0) -> DataFrame:
+    """delta of the per-frame likelihood to the pass before (signed; null for the first) and whether it stops.
+
+    After a likelihood of 0 the delta is the sign of the new one. No pass before the least-th stops.
+    """
     line = Window.orderBy(order)  # one row a pass
     mean = F.col(total) / F.col(frames)
     before = F.lag(mean).over(line)
-    delta = F.when(before == 0, 0.0).otherwise(mean - before)
-    return passes.withColumn("delta", delta).withColumn("stop", F.coalesce(F.col("delta") <= threshold, F.lit(False)))
+    delta = F.when(before == 0, F.signum(mean)).otherwise(mean - before)
+    stop = F.coalesce(F.col("delta") <= threshold, F.lit(False)) & (F.col(order) >= least)
+    return passes.withColumn("delta", delta).withColumn("stop", stop)
 
 
 def align(reference: list[str], hypothesis: list[str]) -> list[str]:
@@ -99,33 +103,42 @@ def rates(scores: DataFrame, *by: str) -> DataFrame:
 
 
 def letter_distance(ref: Column, hyp: Column) -> Column:
-    """Edit distance of two arrays of words: each distinct word of the pair becomes one letter."""
+    """Edit distance of two arrays of words: each distinct word of the pair becomes one code point from U+10000.
+
+    There are a million of those; a pair of more distinct words would be an error, not a wrong distance.
+    """
     words = F.array_distinct(F.concat(ref, hyp))
-    letters = lambda x: F.array_join(F.transform(x, lambda w: F.char(F.array_position(words, w) + 64)), "")
+    unit = lambda w: F.lpad(F.hex(F.array_position(words, w) + 0xFFFF), 8, "0")
+    letters = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, unit), "")), "UTF-32")
     return F.levenshtein(letters(ref), letters(hyp))
 
 
-def bootstrap(scores: DataFrame, stratum: str, errors: str, words: str, draws: int, seed: int = 7) -> DataFrame:
+def bootstrap(scores: DataFrame, stratum: str, errors: str, words: str, draws: int, seed: int = 7, blocks: int = 32) -> DataFrame:
     """low, high: percentile interval (95 %) of the pooled error rate, resampling rows within each stratum.
 
-    Rows are first reduced to one array pair per stratum; draws are dealt to tasks, each with its own generator.
+    Rows are counted by stratum, errors and words first. Each stratum draws multinomial counts over these
+    kinds, in blocks of draws dealt to tasks, and the sums of the strata are added by draw: neither rows nor
+    kinds pass through the driver. An empty table gives nulls; draws without words have the rate 0.
     """
-    spark = scores.sparkSession
-    strata = scores.groupBy(stratum).agg(F.array_sort(F.collect_list(F.struct(errors, words))).alias("rows")).orderBy(stratum)
-    data = [(np.array([r[0] for r in x["rows"]], dtype=float), np.array([r[1] for r in x["rows"]], dtype=float)) for x in strata.collect()]
-    shared = spark.sparkContext.broadcast(data)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for n in batch["id"]:
-                rng = np.random.default_rng([seed, int(n)])
-                picks = [(e, w, rng.integers(0, len(e), len(e))) for e, w in shared.value]
-                total = sum(w[i].sum() for _, w, i in picks)
-                out.append(sum(e[i].sum() for e, _, i in picks) / total if total else 0.0)
-            yield pd.DataFrame({"rate": out})
-
-    rates_ = spark.range(draws).mapInPandas(draw, "rate double")
+    kinds = scores.groupBy(F.col(stratum).cast("string").alias("s"), F.col(errors).cast("double").alias("e"), F.col(words).cast("double").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    size = -(-draws // blocks)
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["e", "w"])
+        s, block = rows["s"].iloc[0], int(rows["block"].iloc[0])
+        rng = np.random.default_rng([seed, block, *str(s).encode()])
+        n = rows["n"].to_numpy(np.int64)
+        first = block * size
+        count = max(0, min(size, draws - first))
+        e, w = np.zeros(count), np.zeros(count)
+        for k in range(count):
+            picked = rng.multinomial(int(n.sum()), n / n.sum())
+            e[k], w[k] = picked @ rows["e"].to_numpy(), picked @ rows["w"].to_numpy()
+        return pd.DataFrame({"draw": np.arange(first, first + count), "e": e, "w": w})
+
+    each = kinds.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    drawn = each.groupBy("s", "block").applyInPandas(draw, "draw long, e double, w double")
+    rates_ = drawn.groupBy("draw").agg(F.coalesce(F.try_divide(F.sum("e"), F.sum("w")), F.lit(0.0)).alias("rate"))
     ends = F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975)))
     return rates_.agg(ends.alias("p")).select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
@@ -136,14 +149,55 @@ def paired_gate(scores: DataFrame, stratum: str, errors: str, other: str, words:
     return ends.withColumn("passed", F.col("high") <= 0)
 
 
-def boundary_scores(reference: DataFrame, hypothesis: DataFrame, key: str, tolerance: float) -> DataFrame:
-    """Internal boundaries (key, seq, label, start) matched in order by (key, seq, label): errors within tolerance."""
-    r = reference.select(key, "seq", "label", F.col("start").alias("r"))
-    h = hypothesis.select(key, "seq", "label", F.col("start").alias("h"))
-    both = r.join(h, [key, "seq", "label"], "full_outer").filter("seq > 0")
-    off = F.abs(F.col("r") - F.col("h"))
-    near = F.count(F.when(off <= tolerance, 1))
-    n_r, n_h = F.count("r"), F.count("h")
-    return both.groupBy(key).agg(
-        F.avg(off).alias("mae"), F.median(off).alias("median"), F.try_divide(near, n_r).alias("recall"), F.try_divide(near, n_h).alias("precision")
-    )
+def boundary_scores(reference: DataFrame, hypothesis: DataFrame, key: str, tolerances: tuple[float, ...] = (10.0, 20.0, 25.0, 50.0)) -> DataFrame:
+    """Scores of the internal boundaries of each key, after a deterministic edit alignment of the labels.
+
+    Both tables: key, seq, label, start, end (seconds). A boundary counts as comparable between two matches
+    that follow each other in both sequences; its time is the midpoint of the left end and the right start.
+    key, reference_boundaries, hypothesis_boundaries, comparable, insertions, deletions, substitutions,
+    mean_error_ms and median_error_ms (infinite without comparable ones), and arrays tolerance_ms, recall,
+    precision, f1. Keys of one side only are scored against nothing. An empty label, a time below 0, an end
+    before its start or starts out of order are errors. One key's intervals are one utterance.
+    """
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        bad = (F.coalesce(F.col("label"), F.lit("")) == "") | (F.col("start") < 0) | (F.col("end") < F.col("start"))
+        label = F.when(bad, F.raise_error(F.concat(F.lit(f"bad interval of {name} "), F.col(key).cast("string")))).otherwise(F.col("label"))
+        each = F.struct("seq", label.alias("label"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+        return df.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias(name))
+
+    def score(ref: list, hyp: list) -> list:
+        for side in (ref, hyp):
+            if any(b["start"] < a["start"] for a, b in zip(side, side[1:], strict=False)):
+                raise ValueError("intervals out of order")
+        ops = align([x["label"] for x in ref], [x["label"] for x in hyp])
+        i = j = 0
+        of = {}
+        for op in ops:
+            if op == "C":
+                of[i] = j
+            i, j = i + (op != "I"), j + (op != "D")
+        off = []
+        for n in range(1, len(ref)):
+            a, b = of.get(n - 1), of.get(n)
+            if a is not None and b == a + 1:
+                off.append(abs((ref[n - 1]["end"] + ref[n]["start"]) - (hyp[a]["end"] + hyp[b]["start"])) * 500)
+        n_ref, n_hyp = max(0, len(ref) - 1), max(0, len(hyp) - 1)
+        hits = [sum(x <= t + 1e-9 for x in off) for t in tolerances]
+        recall, precision = ([h / n if n else 0.0 for h in hits] for n in (n_ref, n_hyp))
+        f1 = [2 * p * r / (p + r) if p + r else 0.0 for p, r in zip(precision, recall, strict=True)]
+        middle = [float(np.mean(off)), float(np.median(off))] if off else [float("inf")] * 2
+        return [n_ref, n_hyp, len(off), ops.count("I"), ops.count("D"), ops.count("S"), *middle, list(map(float, tolerances)), recall, precision, f1]
+
+    names = ["reference_boundaries", "hypothesis_boundaries", "comparable", "insertions", "deletions", "substitutions", "mean_error_ms", "median_error_ms"]
+    arrays = ["tolerance_ms", "recall", "precision", "f1"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sides = [[[] if x is None else list(x) for x in batch[c]] for c in ("reference", "hypothesis")]
+            rows = [[k, *score(r, h)] for k, r, h in zip(batch[key], *sides, strict=True)]
+            yield pd.DataFrame(rows, columns=[key, *names, *arrays])
+
+    kind = reference.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, " + ", ".join([f"{c} int" for c in names[:6]] + [f"{c} double" for c in names[6:]] + [f"{c} array<double>" for c in arrays])
+    return listed(reference, "reference").join(listed(hypothesis, "hypothesis"), key, "full_outer").mapInPandas(run, schema)

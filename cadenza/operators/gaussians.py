@@ -218,16 +218,22 @@ def compare_arrays(a: DataFrame, b: DataFrame, keys: Sequence[str], atol: float
 
 
 def percentile_floor(variances: DataFrame, bins: int, share: float) -> DataFrame:
-    """dim, floor: the upper edge of the histogram bin where the share of positive variances is first exceeded."""
+    """dim, floor: the upper edge of the histogram bin where the share of all variances is first exceeded.
+
+    The histogram is of the positive variances; the share is of all, so that where it isn't reached the floor
+    is one bin above the highest. Dimensions without positive variances are left out.
+    """
     positive = variances.filter(F.col("var") > 0).select("dim", "var")
-    span = positive.groupBy("dim").agg(F.min("var").alias("low"), F.max("var").alias("high"), F.count(F.lit(1)).alias("n"))
+    own = F.when(F.col("var") > 0, F.col("var"))
+    span = variances.groupBy("dim").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.count(F.lit(1)).alias("n")).filter("low IS NOT NULL")
     width = (F.col("high") - F.col("low")) / bins
     bin_ = F.least(F.lit(bins - 1), F.floor(F.when(width > 0, (F.col("var") - F.col("low")) / width).otherwise(0.0)).cast("int"))
     counted = positive.join(span, "dim").select("dim", "low", "high", "n", bin_.alias("bin")).groupBy("dim", "low", "high", "n", "bin").agg(F.count(F.lit(1)).alias("c"))
     # At most bins rows a dimension are ranged over.
     line = F.sum("c").over(_line("dim", "bin"))
-    over = counted.withColumn("sum", line).filter(F.col("sum") > share * F.col("n"))
-    return over.groupBy("dim", "low", "high").agg(F.min("bin").alias("bin")).select(
+    over = counted.withColumn("sum", line)
+    first = F.coalesce(F.min(F.when(F.col("sum") > share * F.col("n"), F.col("bin"))), F.lit(bins))
+    return over.groupBy("dim", "low", "high").agg(first.alias("bin")).select(
         "dim", (F.col("low") + (F.col("bin") + 1) * (F.col("high") - F.col("low")) / bins).alias("floor")
     )
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -62,30 +64,42 @@ def variance_normalised(x: str, key: str, c0: str) -> Column:
     return (F.col(x) - mean) / F.sqrt(F.avg(F.col("x2")).over(_whole(key)) - 2 * mean * F.avg(F.col(x)).over(_whole(key)) + mean * mean)
 
 
-def live_mean_normalised(rows: DataFrame, key: str, x: str, start: float = 12.0, window: int = 500, most: int = 800) -> DataFrame:
-    """Running mean: frames with x < 0 don't count; past most frames the sums shrink to window frames.
-
-    The fold is sequential within a key; other keys go on side by side.
+def live_means_of(x: np.ndarray, c0: np.ndarray, mean: float, total: float, n: float, window: int, most: int) -> tuple[np.ndarray, tuple[float, float, float]]:
+    """x less the running mean, and the state after it. Frames whose c0 is below 0 neither change nor count."""
+    out, counts = x.astype(float).copy(), c0 >= 0
+    at = 0
+    while at < len(x):
+        # The mean stands still until more than most frames have counted.
+        due = np.flatnonzero(np.cumsum(counts[at:]) + n > most)
+        end = at + (int(due[0]) + 1 if len(due) else len(x) - at)
+        part = slice(at, end)
+        out[part] -= np.where(counts[part], mean, 0.0)
+        total += float(x[part][counts[part]].sum())
+        n += int(counts[part].sum())
+        if n > most:
+            mean = total / n
+            total, n = mean * window, float(window)
+        at = end
+    return out, (mean, total, n)
+
+
+def live_mean_normalised(
+    rows: DataFrame, key: str, x: str, start: float = 12.0, window: int = 500, most: int = 800, c0: str | None = None
+) -> DataFrame:
+    """key, frame, y: x less the running mean; past most frames the sums shrink to window frames.
+
+    Frames whose c0 (x itself unless named) is below 0 stay as they are and don't count. The frames of a key,
+    one utterance, are one Arrow group; keys go on side by side.
     """
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("frame", F.col(x).alias("x")))).alias("xs"))
-    first = F.struct(
-        F.lit(start).alias("mean"), F.lit(start * window).alias("sum"), F.lit(float(window)).alias("n"),
-        F.array().cast("array<struct<frame:int,y:double>>").alias("out"),
-    )
 
-    def step(a: Column, v: Column) -> Column:
-        counts = v["x"] >= 0
-        total = F.when(counts, a["sum"] + v["x"]).otherwise(a["sum"])
-        n = F.when(counts, a["n"] + 1).otherwise(a["n"])
-        shrink = n > most
-        return F.struct(
-            F.when(shrink, total / n).otherwise(a["mean"]).alias("mean"),
-            F.when(shrink, total / n * window).otherwise(total).alias("sum"),
-            F.when(shrink, F.lit(float(window))).otherwise(n).alias("n"),
-            F.concat(a["out"], F.array(F.struct(v["frame"].cast("int").alias("frame"), (v["x"] - a["mean"]).alias("y")))).alias("out"),
-        )
-
-    return listed.select(key, F.inline(F.aggregate("xs", first, step, lambda a: a["out"])))
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("frame")
+        y, _ = live_means_of(part["x"].to_numpy(float), part["c0"].to_numpy(float), start, start * window, float(window), window, most)
+        return pd.DataFrame({key: part[key], "frame": part["frame"].astype("int32"), "y": y})
+
+    kind = rows.schema[key].dataType.simpleString()
+    named = rows.select(key, "frame", F.col(x).cast("double").alias("x"), F.col(c0 or x).cast("double").alias("c0"))
+    return named.groupBy(key).applyInPandas(run, f"{key} {kind}, frame int, y double")
 
 
 def agc_max(c0: str, key: str) -> Column:

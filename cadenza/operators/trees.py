@@ -76,8 +76,28 @@ def tie(rows: DataFrame, context: str, nodes: list[dict], members: dict[str, lis
     return rows.withColumn("leaf", walk(0))
 
 
-def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """disagreeing_pairs of two partitions of the rows, from three groupings."""
+def agreement(left: DataFrame, right: DataFrame, subject: str, context: str, part: str) -> DataFrame:
+    """One row a subject: how two partitions of its contexts agree, whatever the names of the parts.
+
+    left and right: subject, context, part, one row a context. subject, equal, common, left_only, right_only
+    (contexts), left_parts, right_parts, pairs (of common contexts) and disagreements (pairs together in
+    one partition only). Pairs are counted from groupings, never listed.
+    """
     two = lambda n: n * (n - 1) / 2
-    part = lambda sign, *by: rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).select((sign * two(F.col("n"))).alias("s"))
-    return part(1, a).union(part(1, b)).union(part(-2, a, b)).agg(F.sum("s").alias("disagreeing_pairs"))
+    b = right.select(F.col(subject).alias("s"), F.col(context).alias("c"), F.col(part).alias("q"), F.lit(True).alias("in_right"))
+    a = left.select(F.col(subject).alias("s"), F.col(context).alias("c"), F.col(part).alias("p"), F.lit(True).alias("in_left"))
+    joint = a.join(b, ["s", "c"], "full_outer").withColumn("both", F.col("in_left").isNotNull() & F.col("in_right").isNotNull())
+    cells = joint.groupBy("s", "p", "q", "both").agg(F.count(F.lit(1)).alias("n"), F.count("in_left").alias("l"), F.count("in_right").alias("r"))
+    common = cells.filter("both")
+    each = lambda by, name: common.groupBy("s", by).agg(F.sum("n").alias("n")).groupBy("s").agg(F.sum(two(F.col("n"))).alias(f"{name}_pairs"), F.count(F.lit(1)).alias(f"{name}_parts"))
+    shared = common.groupBy("s").agg(F.sum(two(F.col("n"))).alias("joint_pairs"))
+    sizes = cells.groupBy("s").agg(
+        F.sum(F.when(F.col("both"), F.col("n")).otherwise(0)).alias("common"), F.sum(F.when(~F.col("both"), F.col("l")).otherwise(0)).alias("left_only"),
+        F.sum(F.when(~F.col("both"), F.col("r")).otherwise(0)).alias("right_only"),
+    )
+    known = sizes.join(each("p", "left"), "s", "left").join(each("q", "right"), "s", "left").join(shared, "s", "left").na.fill(0)
+    off = (F.col("left_pairs") + F.col("right_pairs") - 2 * F.col("joint_pairs")).cast("long")
+    return known.select(
+        F.col("s").alias(subject), ((F.col("left_only") == 0) & (F.col("right_only") == 0) & (off == 0)).alias("equal"), "common", "left_only", "right_only",
+        "left_parts", "right_parts", two(F.col("common")).cast("long").alias("pairs"), off.alias("disagreements"),
+    )

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .corpus import digest_tree
+
+#: Positions of a run in the check of a split's order.
+RUN = 65536
+
 
 def with_reason(transcripts: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """key, reason for every id of either side: ok, no features or no transcript."""
@@ -56,8 +61,12 @@ def split_problems(corpus: DataFrame, split: DataFrame, key: str, pos: str) -> D
     """problem, n: ids of a split that repeat, that the corpus lacks, or that come out of the corpus's order."""
     repeated = split.groupBy(key).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.lit("repeated").alias("problem"))
     unknown = split.join(corpus.select(key).distinct(), key, "left_anti").select(F.lit("unknown").alias("problem"))
-    order = split.join(corpus.select(key, F.col(pos).alias("at")), key)
-    behind = order.withColumn("before", F.lag("at").over(Window.orderBy(pos))).filter("at < before").select(F.lit("order").alias("problem"))
+    # Neighbours by runs of positions; across runs by the last of the run before, one row a run.
+    order = split.join(corpus.select(key, F.col(pos).alias("at")), key).withColumn("run", F.floor(F.col(pos) / RUN))
+    ends = order.groupBy("run").agg(F.max_by("at", pos).alias("end")).withColumn("end", F.lag("end").over(Window.orderBy("run")))
+    inside = F.lag("at").over(Window.partitionBy("run").orderBy(pos))
+    before = order.join(ends, "run").withColumn("before", F.coalesce(inside, "end"))
+    behind = before.filter("at < before").select(F.lit("order").alias("problem"))
     return repeated.union(unknown).union(behind).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -124,7 +133,6 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select("path", op.alias("op"), F.col("new").alias("value")).filter("op IS NOT NULL")
 
 
-def fingerprint(settings: DataFrame) -> Column | DataFrame:
-    """sha256 of the settings as sorted path=value lines; settings are one configuration's worth of rows."""
-    line = F.concat_ws("=", "path", F.coalesce("value", F.lit("null")))
-    return settings.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("sha256"))
+def fingerprint(settings: DataFrame) -> DataFrame:
+    """sha256 of the settings (path, value) as path=value lines, in no order; a null value counts as null."""
+    return digest_tree(settings.select(F.concat_ws("=", "path", F.coalesce("value", F.lit("null"))).alias("line")), "line")

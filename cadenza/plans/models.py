@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import gaussians as G
+from ..operators.trees import agreement
 
 DIMS = """dims AS (
   SELECT label, vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x
@@ -173,7 +174,9 @@ def per_dim_compare(spark, sf_dir):
 
 
 def variance_percentile_floor(spark, sf_dir):
-    return _round(G.percentile_floor(G.estimate(_dims(spark, sf_dir), ["label"], floor=None), 20, 0.2), "floor")
+    # Two labels count as unobserved, with variances of zero.
+    model = G.estimate(_dims(spark, sf_dir), ["label"], floor=None).withColumn("var", F.when(F.col("label") > 1, F.col("var")).otherwise(0.0))
+    return _round(G.percentile_floor(model, 20, 0.3), "floor")
 
 
 def zero_codebooks(spark, sf_dir):
@@ -182,11 +185,11 @@ def zero_codebooks(spark, sf_dir):
 
 
 def partition_agreement(spark, sf_dir):
-    assigned = _kmeans(spark, sf_dir, 1)[2].join(_read(spark, sf_dir).select("vec_id", "label"), "vec_id")
-    two = lambda n: n * (n - 1) / 2
-    part = lambda *by: assigned.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(two(F.col("n"))).alias("s"))
-    rows = [part("label").select("s", F.lit(1.0).alias("w")), part("k").select("s", F.lit(1.0).alias("w")), part("label", "k").select("s", F.lit(-2.0).alias("w"))]
-    return rows[0].union(rows[1]).union(rows[2]).agg(F.sum(F.col("s") * F.col("w")).alias("disagreeing_pairs"))
+    """Labels against clusters, within seven subjects; every thirteenth vector has no cluster."""
+    subject = (F.col("vec_id") % 7).alias("subject")
+    labels = _read(spark, sf_dir).select(subject, "vec_id", F.col("label").alias("part"))
+    clusters = _kmeans(spark, sf_dir, 1)[2].select(subject, F.when(F.col("vec_id") % 13 == 0, -F.col("vec_id") - 1).otherwise(F.col("vec_id")).alias("vec_id"), F.col("k").alias("part"))
+    return agreement(labels, clusters, "subject", "vec_id", "part")
 
 
 def em_passes(spark, sf_dir):
@@ -362,12 +365,12 @@ SELECT dim, CASE WHEN dim < 22 THEN 'static' WHEN dim < 44 THEN 'delta' ELSE 'dd
     ),
     "variance_percentile_floor": (
         variance_percentile_floor,
-        f"""WITH {DIMS}, v AS (SELECT label, dim, var_pop(x) AS var FROM dims GROUP BY label, dim), pos AS (SELECT * FROM v WHERE var > 0),
-s AS (SELECT dim, min(var) AS low, max(var) AS high, count(*) AS n FROM pos GROUP BY dim),
+        f"""WITH {DIMS}, v AS (SELECT label, dim, CASE WHEN label > 1 THEN var_pop(x) ELSE 0 END AS var FROM dims GROUP BY label, dim), pos AS (SELECT * FROM v WHERE var > 0),
+s AS (SELECT dim, min(var) FILTER (var > 0) AS low, max(var) AS high, count(*) AS n FROM v GROUP BY dim),
 b AS (SELECT dim, low, high, n, least(19, CAST(floor(CASE WHEN high > low THEN (var - low) / ((high - low) / 20) ELSE 0 END) AS INTEGER)) AS bin FROM pos JOIN s USING (dim)),
 c AS (SELECT dim, low, high, n, bin, count(*) AS c FROM b GROUP BY ALL),
 r AS (SELECT *, sum(c) OVER (PARTITION BY dim ORDER BY bin) AS s FROM c)
-SELECT dim, round(low + (min(bin) + 1) * (high - low) / 20, 6) AS floor FROM r WHERE s > 0.2 * n GROUP BY dim, low, high""",
+SELECT dim, round(low + (coalesce(min(bin) FILTER (s > 0.3 * n), 20) + 1) * (high - low) / 20, 6) AS floor FROM r GROUP BY dim, low, high""",
     ),
     "zero_codebooks": (
         zero_codebooks,
@@ -375,9 +378,17 @@ SELECT dim, round(low + (min(bin) + 1) * (high - low) / 20, 6) AS floor FROM r W
     ),
     "partition_agreement": (
         partition_agreement,
-        f"""WITH {D16}, {ASSIGN}, t AS (SELECT label, k FROM assigned JOIN embeddings USING (vec_id)),
-a AS (SELECT count(*) AS n FROM t GROUP BY label), b AS (SELECT count(*) AS n FROM t GROUP BY k), c AS (SELECT count(*) AS n FROM t GROUP BY label, k)
-SELECT CAST((SELECT sum(n * (n - 1) / 2) FROM a) + (SELECT sum(n * (n - 1) / 2) FROM b) - 2 * (SELECT sum(n * (n - 1) / 2) FROM c) AS DOUBLE) AS disagreeing_pairs""",
+        f"""WITH {D16}, {ASSIGN}, k AS (SELECT vec_id % 7 AS subject, CASE WHEN vec_id % 13 = 0 THEN -vec_id - 1 ELSE vec_id END AS vec_id, k FROM assigned),
+l AS (SELECT vec_id % 7 AS subject, vec_id, label FROM embeddings),
+t AS (SELECT subject, vec_id, label, k FROM l JOIN k USING (subject, vec_id)),
+p AS (SELECT a.subject, count(*) AS pairs, count(*) FILTER ((a.label = b.label) <> (a.k = b.k)) AS disagreements FROM t a JOIN t b ON a.subject = b.subject AND a.vec_id < b.vec_id GROUP BY a.subject),
+s AS (SELECT subject, count(*) AS common, count(DISTINCT label) AS left_parts, count(DISTINCT k) AS right_parts FROM t GROUP BY subject),
+lo AS (SELECT subject, count(*) AS left_only FROM l ANTI JOIN k USING (subject, vec_id) GROUP BY subject),
+ro AS (SELECT subject, count(*) AS right_only FROM k ANTI JOIN l USING (subject, vec_id) GROUP BY subject),
+u AS (SELECT subject FROM l UNION SELECT subject FROM k)
+SELECT subject, coalesce(left_only, 0) = 0 AND coalesce(right_only, 0) = 0 AND coalesce(disagreements, 0) = 0 AS equal, coalesce(common, 0) AS common, coalesce(left_only, 0) AS left_only, coalesce(right_only, 0) AS right_only,
+coalesce(left_parts, 0) AS left_parts, coalesce(right_parts, 0) AS right_parts, coalesce(pairs, 0) AS pairs, coalesce(disagreements, 0) AS disagreements
+FROM u LEFT JOIN s USING (subject) LEFT JOIN p USING (subject) LEFT JOIN lo USING (subject) LEFT JOIN ro USING (subject)""",
     ),
     "em_passes": (em_passes, None),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import sequences as S
+from ..sources import sinks
 
 SEQ = """seq AS (
   SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS frame, event_id, ts, event_type, value
@@ -134,9 +135,10 @@ def frame_to_segment_join(spark, sf_dir):
 
 
 def _intervals(spark, sf_dir):
-    """Every third event as an interval from its second to the event's number of seconds later, at most 1."""
-    seq = _seq(spark, sf_dir).filter("frame % 3 = 0")
-    return seq.select("user_id", (F.col("frame") * 1.0).alias("begin"), (F.col("frame") + 1.0).alias("end"), F.col("event_type").alias("label"), (F.col("frame") + 2.0).alias("xmax"))
+    """Every event as an interval of a second, with gaps of none, one or two seconds between them."""
+    seq = _seq(spark, sf_dir)
+    begin = F.col("frame") * 2.0 + F.col("frame") % 2
+    return seq.select("user_id", begin.alias("begin"), (begin + 1.0).alias("end"), F.col("event_type").alias("label"), (begin + 2.0).alias("xmax"))
 
 
 def interval_gap_fill(spark, sf_dir):
@@ -144,9 +146,9 @@ def interval_gap_fill(spark, sf_dir):
 
 
 def ctm_lines(spark, sf_dir):
-    i = _intervals(spark, sf_dir)
-    frame = lambda x: F.col(x).cast("int").cast("string")
-    return i.select(F.concat_ws(" ", F.col("user_id").cast("string"), F.lit("1"), frame("begin"), (F.col("end") - F.col("begin")).cast("int").cast("string"), "label").alias("line"))
+    """Runs of one event type as CTM lines, a frame being a second."""
+    runs = S.segments(_seq(spark, sf_dir), "user_id", "event_type")
+    return sinks.ctm_lines(runs.select(F.col("user_id").cast("string").alias("utt_id"), "start_frame", "end_frame", F.col("event_type").alias("name")), 1.0)
 
 
 def parameter_counts_with_zeros(spark, sf_dir):
@@ -254,7 +256,7 @@ RUNS = f"""{SEQ}, ch AS (
 runs AS (SELECT user_id, seq_ AS seq, event_type, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS frames FROM rn GROUP BY ALL)"""
 LOW = "low AS (SELECT user_id, frame, value - 10 AS value FROM seq)"
 INTERVALS = f"""{SEQ}, iv AS (
-  SELECT user_id, frame * 1.0::DOUBLE AS "begin", frame + 1.0::DOUBLE AS "end", event_type AS label, frame + 2.0::DOUBLE AS xmax FROM seq WHERE frame % 3 = 0
+  SELECT user_id, frame * 2.0::DOUBLE + frame % 2 AS "begin", frame * 2.0::DOUBLE + frame % 2 + 1 AS "end", event_type AS label, frame * 2.0::DOUBLE + frame % 2 + 2 AS xmax FROM seq
 )"""
 
 QUERIES = {
@@ -286,7 +288,7 @@ SELECT user_id, frame, round((value - mean) / sqrt(avg((value - mean) * (value -
   SELECT user_id, frame, CASE WHEN c > 20 THEN t / c ELSE mean END, CASE WHEN c > 20 THEN t / c * 10 ELSE t END, CASE WHEN c > 20 THEN 10.0 ELSE c END, y
   FROM (
     SELECT low.user_id, low.frame, f.mean, f.total + CASE WHEN low.value >= 0 THEN low.value ELSE 0 END AS t,
-      f.n + CASE WHEN low.value >= 0 THEN 1 ELSE 0 END AS c, low.value - f.mean AS y
+      f.n + CASE WHEN low.value >= 0 THEN 1 ELSE 0 END AS c, low.value - CASE WHEN low.value >= 0 THEN f.mean ELSE 0 END AS y
     FROM f JOIN low ON low.user_id = f.user_id AND low.frame = f.frame + 1
   )
 ) SELECT user_id, CAST(frame AS INTEGER) AS frame, round(y, 5) AS y FROM f WHERE frame >= 0""",
@@ -343,7 +345,7 @@ FROM tri t JOIN h ON t.base = h.base AND t.left_ = h.left_""",
     ),
     "ctm_lines": (
         ctm_lines,
-        f"""WITH {INTERVALS} SELECT concat_ws(' ', user_id, '1', CAST("begin" AS INTEGER), CAST("end" - "begin" AS INTEGER), label) AS line FROM iv""",
+        f"WITH {RUNS} SELECT concat(user_id, ' 1 ', start_frame, '.00 ', frames, '.00 ', event_type) AS line FROM runs",
     ),
     "parameter_counts_with_zeros": (
         parameter_counts_with_zeros,

@@ -14,7 +14,7 @@ def _t(spark, sf_dir, name):
 
 
 def vocabulary(spark, sf_dir):
-    return C.vocabulary(_t(spark, sf_dir, "benchmark"), "item_id", "text")
+    return C.vocabulary(_t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def _lexicon(spark, sf_dir):
@@ -47,17 +47,27 @@ def normalize_transcripts(spark, sf_dir):
 
 
 def transcript_parse(spark, sf_dir):
-    d = _t(spark, sf_dir, "benchmark")
-    line = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("<s> "), F.col("text"), F.lit(" </s> (utt"), F.col("item_id").cast("string"), F.lit(")"))).otherwise(
-        F.concat(F.lit("utt"), F.col("item_id").cast("string"), F.lit(" "), F.col("text"))
+    """Each document's text on one line, in the forms a transcript may have."""
+    d = _t(spark, sf_dir, "documents")
+    number, text = F.col("doc_id").cast("string"), F.regexp_replace("text", r"\s+", " ")
+    form = F.col("doc_id") % 6
+    line = (
+        F.when(form == 0, F.concat(F.lit("<s> "), text, F.lit(" </s> (utt"), number, F.lit(")")))
+        .when(form == 1, F.concat(F.lit("utt"), number, F.lit(" "), text))
+        .when(form == 2, F.concat(F.lit("utt"), number, F.lit(" "), text, F.lit(" read(2)")))
+        .when(form == 3, F.concat(F.lit(" <s> </s> (a session/"), number, F.lit(")  ")))
+        .when(form == 4, F.concat(text, F.lit(" (aside) </s>  (utt"), number, F.lit(")")))
+        .otherwise(F.concat(F.lit("utt"), number))
     )
-    return d.select(T.utterance(line).alias("u")).select("u.*")
+    return d.select("doc_id", T.utterance(line).alias("u")).select("doc_id", "u.*")
 
 
 def prompt_sniff(spark, sf_dir):
+    """Every document as a file; some begin with a comment or with sentence marks."""
     d = _t(spark, sf_dir, "documents")
-    line = F.split("text", "\n")[0]
-    return d.groupBy(T.format_of(line).alias("format")).agg(F.count(F.lit(1)).alias("n"))
+    form = F.col("doc_id") % 5
+    head = F.when(form == 0, "# a, comment\n\n").when(form == 1, "<s> ").when(form == 2, " \n<s> hello </s>\n").when(form == 3, "u1\t").otherwise("")
+    return d.groupBy(T.format_of(F.concat(head, "text")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def lexicon_build(spark, sf_dir):
@@ -84,15 +94,15 @@ def phone_set(spark, sf_dir):
 
 
 def word_position_contexts(spark, sf_dir):
-    """Counts of letters by their place in a word, with neighbours across words, of the benchmark."""
+    """Counts of letters by their place in a word, with neighbours across words, of the documents."""
     from ..operators import sequences as S
 
-    t = C.tokens(_t(spark, sf_dir, "benchmark"), "item_id", "text")
+    t = C.tokens(_t(spark, sf_dir, "documents"), "doc_id", "text")
     letters = F.filter(F.split("token", ""), lambda c: c != "")
-    each = t.select("item_id", "pos", F.posexplode(letters).alias("at", "phone"), F.length("token").alias("size"))
-    each = S.number(each.withColumn("ends", F.col("at") == F.col("size") - 1), "item_id", "pos", "at")
-    placed = S.word_position(each, "item_id", "ends")
-    return S.contexts(placed, "item_id", "phone").groupBy("left", "phone", "right", "wpos").agg(F.count(F.lit(1)).alias("n"))
+    each = t.select("doc_id", "pos", F.posexplode(letters).alias("at", "phone"), F.length("token").alias("size"))
+    each = S.number(each.withColumn("ends", F.col("at") == F.col("size") - 1), "doc_id", "pos", "at")
+    placed = S.word_position(each, "doc_id", "ends")
+    return S.contexts(placed, "doc_id", "phone").groupBy("left", "phone", "right", "wpos").agg(F.count(F.lit(1)).alias("n"))
 
 
 def phone_map_apply(spark, sf_dir):
@@ -102,7 +112,8 @@ def phone_map_apply(spark, sf_dir):
 
 def stress_strip(spark, sf_dir):
     events = _t(spark, sf_dir, "events")
-    phone = F.concat(F.upper(F.substring("event_type", 1, 2)), (F.col("user_id") % 3).cast("string"))
+    bases = F.array(*map(F.lit, ("AX", "AE", "ER", "UX", "K", "IX", "AXR", "OY", "HH")))
+    phone = F.concat(F.get(bases, (F.col("event_id") % 9).cast("int")), (F.col("user_id") % 3).cast("string"))
     return events.select("event_id", T.strip_stress(phone).alias("base"), T.stress(phone).alias("stress"), T.is_vowel(phone).alias("vowel"))
 
 
@@ -126,21 +137,19 @@ def corpus_part(spark, sf_dir):
 
 def ngram_counts(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
-    parts = [C.ngrams(d, "doc_id", "text", n).withColumn("gram_order", F.lit(n)) for n in (1, 2, 3)]
-    return parts[0].union(parts[1]).union(parts[2])
+    return C.ngrams(d, "doc_id", "text", 1, 2, 3)
 
 
 def cer(spark, sf_dir):
-    """Character error rate of the first 100 letters of each benchmark item against the next item's."""
-    b = _t(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 100).alias("t"))
+    """Character error rate of each benchmark item's letters against the next item's."""
+    b = _t(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^A-Za-z ]", "").alias("t"))
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("h"))
     return b.join(other, "item_id").select("item_id", F.round(F.levenshtein("t", "h") / F.length("t"), 6).alias("cer"))
 
 
 def _turns(spark, sf_dir):
-    """The first words of each turn against those of the turn after."""
-    first = F.array_join(F.slice(T.words(F.col("text")), 1, 12), " ")
-    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", first.alias("ref"))
+    """Each turn against the turn after."""
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("ref"))
     other = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp"))
     return c.join(other, ["conv_id", "turn"])
 
@@ -207,12 +216,15 @@ LEX = f"""lex AS (
 OOV = "tok AS (SELECT {key} AS k, unnest(" + WORDS.format("text") + ") AS token FROM {table}), oov AS (SELECT token, count(*) AS n, min(k) AS first_key FROM tok WHERE token NOT IN (SELECT word FROM lex) GROUP BY token)"
 EDGE = "'^[\\pP\\pS\\pZ]+|[\\pP\\pS\\pZ]+$'"
 STRIP = f"regexp_replace({{}}, {EDGE}, '', 'g')"
-TURNS = f"""c AS (SELECT conv_id, turn, array_to_string(list_slice({WORDS.format('text')}, 1, 12), ' ') AS t FROM conversations),
+TURNS = """c AS (SELECT conv_id, turn, text AS t FROM conversations),
 p AS (SELECT a.conv_id, a.turn, a.t AS ref, b.t AS hyp FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
-LETTERS = "array_to_string(list_transform({}, lambda w: chr(CAST(list_position(u, w) + 64 AS INTEGER))), '')"
+TREE = """f6 AS (SELECT left(md5(line), 6) AS b, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM f0 GROUP BY 1),
+f4 AS (SELECT left(b, 4) AS b, sha256(string_agg(h, chr(10) ORDER BY b, h)) AS h FROM f6 GROUP BY 1),
+f2 AS (SELECT left(b, 2) AS b, sha256(string_agg(h, chr(10) ORDER BY b, h)) AS h FROM f4 GROUP BY 1)
+SELECT sha256(string_agg(h, chr(10) ORDER BY b, h)) AS sha256 FROM f2"""
 
 QUERIES = {
-    "vocabulary": (vocabulary, f"SELECT DISTINCT unnest({WORDS.format('text')}) AS token FROM benchmark"),
+    "vocabulary": (vocabulary, f"SELECT DISTINCT unnest({WORDS.format('text')}) AS token FROM documents"),
     "oov_report": (oov_report, f"WITH {LEX}, {OOV.format(key='conv_id', table='conversations')} SELECT * FROM oov"),
     "oov_token_total": (
         oov_token_total,
@@ -234,11 +246,20 @@ UNION ALL SELECT DISTINCT doc_id, 'extra' AS side FROM documents WHERE doc_id NO
         f"""SELECT doc_id, array_to_string(list_filter(list_transform({WORDS.format('lower(nfc_normalize(text))')},
 lambda w: {STRIP.format('w')}), lambda w: w <> ''), ' ') AS text FROM documents""",
     ),
-    "transcript_parse": (transcript_parse, "SELECT 'utt' || item_id AS utt_id, text FROM benchmark"),
+    "transcript_parse": (
+        transcript_parse,
+        r"""WITH t AS (SELECT doc_id, doc_id % 6 AS form, CAST(doc_id AS VARCHAR) AS k, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents),
+l AS (SELECT doc_id, trim(CASE form WHEN 0 THEN '<s> ' || t || ' </s> (utt' || k || ')' WHEN 1 THEN 'utt' || k || ' ' || t WHEN 2 THEN 'utt' || k || ' ' || t || ' read(2)'
+  WHEN 3 THEN ' <s> </s> (a session/' || k || ')  ' WHEN 4 THEN t || ' (aside) </s>  (utt' || k || ')' ELSE 'utt' || k END) AS l FROM t),
+m AS (SELECT doc_id, l, regexp_full_match(l, '(?s)(.*?)\s+\(([^)]+)\)') AS tail, regexp_extract(l, '(?s)^(.*?)\s+\(([^)]+)\)$', 1) AS body FROM l)
+SELECT doc_id, CASE WHEN tail THEN regexp_extract(l, '(?s)^(.*?)\s+\(([^)]+)\)$', 2) WHEN contains(l, ' ') THEN split_part(l, ' ', 1) END AS utt_id,
+CASE WHEN tail THEN regexp_replace(regexp_replace(body, '^<s>(?:\s+|$)', ''), '(?:^|\s+)</s>$', '') WHEN contains(l, ' ') THEN substr(l, strpos(l, ' ') + 1) END AS text FROM m""",
+    ),
     "prompt_sniff": (
         prompt_sniff,
-        r"""WITH l AS (SELECT string_split(text, chr(10))[1] AS line FROM documents)
-SELECT CASE WHEN regexp_matches(line, '\([^()\s]+\)\s*$') THEN 'sphinx' WHEN contains(line, chr(9)) THEN 'tsv' WHEN contains(line, ',') THEN 'csv' ELSE 'unknown' END AS format, count(*) AS n
+        r"""WITH t AS (SELECT CASE doc_id % 5 WHEN 0 THEN '# a, comment' || chr(10) || chr(10) WHEN 1 THEN '<s> ' WHEN 2 THEN ' ' || chr(10) || '<s> hello </s>' || chr(10) WHEN 3 THEN 'u1' || chr(9) ELSE '' END || text AS t FROM documents),
+l AS (SELECT coalesce(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND x[1] <> '#')[1], '') AS line FROM t)
+SELECT CASE WHEN starts_with(line, '<s>') AND contains(line, '</s>') THEN 'sphinx' WHEN contains(line, chr(9)) THEN 'tsv' WHEN contains(line, ',') THEN 'csv' ELSE 'unknown' END AS format, count(*) AS n
 FROM l GROUP BY ALL""",
     ),
     "lexicon_build": (
@@ -260,10 +281,10 @@ SELECT base_word, CAST(row_number() OVER (PARTITION BY base_word ORDER BY r, pho
     "phone_set": (phone_set, f"WITH {LEX} SELECT DISTINCT unnest(string_split(word, '')) AS phone FROM lex UNION SELECT 'SIL'"),
     "word_position_contexts": (
         word_position_contexts,
-        f"""WITH b AS (SELECT item_id, {WORDS.format('text')} AS ws FROM benchmark),
-t AS (SELECT item_id, unnest(range(len(ws))) AS pos, unnest(ws) AS token FROM b),
-l AS (SELECT item_id, pos, unnest(range(length(token))) AS place, unnest(string_split(token, '')) AS phone, length(token) AS size FROM t),
-n AS (SELECT phone, place, size, coalesce(lag(phone) OVER w, 'SIL') AS l, coalesce(lead(phone) OVER w, 'SIL') AS r FROM l WINDOW w AS (PARTITION BY item_id ORDER BY pos, place))
+        f"""WITH b AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents),
+t AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS token FROM b),
+l AS (SELECT doc_id, pos, unnest(range(length(token))) AS place, unnest(string_split(token, '')) AS phone, length(token) AS size FROM t),
+n AS (SELECT phone, place, size, coalesce(lag(phone) OVER w, 'SIL') AS l, coalesce(lead(phone) OVER w, 'SIL') AS r FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos, place))
 SELECT l AS "left", phone, r AS "right", CASE WHEN size = 1 THEN 's' WHEN place = 0 THEN 'b' WHEN place = size - 1 THEN 'e' ELSE 'i' END AS wpos, count(*) AS n FROM n GROUP BY ALL""",
     ),
     "phone_map_apply": (
@@ -272,8 +293,8 @@ SELECT l AS "left", phone, r AS "right", CASE WHEN size = 1 THEN 's' WHEN place
     ),
     "stress_strip": (
         stress_strip,
-        """SELECT event_id, upper(left(event_type, 2)) AS base, CAST(user_id % 3 AS INTEGER) AS stress,
-upper(left(event_type, 2)) IN ('AA','AE','AH','AO','AW','AX','AY','EH','ER','EY','IH','IX','IY','OW','OY','UH','UW','UX') AS vowel FROM events""",
+        """WITH p AS (SELECT event_id, user_id, ['AX', 'AE', 'ER', 'UX', 'K', 'IX', 'AXR', 'OY', 'HH'][event_id % 9 + 1] AS base FROM events)
+SELECT event_id, base, CAST(user_id % 3 AS INTEGER) AS stress, base IN ('AA','AE','AH','AO','AW','AY','EH','ER','EY','IH','IY','OW','OY','UH','UW') AS vowel FROM p""",
     ),
     "split_train_test": (
         split_train_test,
@@ -293,15 +314,11 @@ SELECT gram, count(*) AS n, gram_order FROM g GROUP BY gram, gram_order""",
     ),
     "cer": (
         cer,
-        """WITH b AS (SELECT item_id, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 100) AS t FROM benchmark)
+        """WITH b AS (SELECT item_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS t FROM benchmark)
 SELECT a.item_id, round(levenshtein(a.t, b.t) / length(a.t), 6) AS cer FROM b a JOIN b ON b.item_id = a.item_id + 1""",
     ),
-    "wer_total": (
-        wer_total,
-        f"""WITH {TURNS}, l AS (SELECT conv_id, turn, {WORDS.format('lower(ref)')} AS r, {WORDS.format('lower(hyp)')} AS h FROM p),
-u AS (SELECT *, list_distinct(list_concat(r, h)) AS u FROM l)
-SELECT conv_id, turn, CAST(levenshtein({LETTERS.format('r')}, {LETTERS.format('h')}) AS INTEGER) AS errors FROM u""",
-    ),
+    # DuckDB's levenshtein counts bytes, so whole turns have no SQL: the tests hold them against brute force.
+    "wer_total": (wer_total, None),
     "wer_breakdown": (wer_breakdown, None),
     "wer_check": (wer_check, f"WITH {TURNS} SELECT CAST(0 AS BIGINT) AS differ, count(*) AS n FROM p"),
     "wer_aggregate": (
@@ -314,9 +331,7 @@ round(1 - (hits / (hits + subs + dels)) * (hits / (hits + subs + ins)), 6) AS wi
     "bootstrap_strata": (bootstrap_strata, None),
     "hash_identity": (
         hash_identity,
-        """WITH e AS (SELECT left(md5(CAST(doc_id AS VARCHAR)), 2) AS b, CAST(doc_id AS VARCHAR) AS k, sha256(text) AS h FROM documents),
-p AS (SELECT b, sha256(string_agg(k || ':' || h, chr(10) ORDER BY k, h)) AS h FROM e GROUP BY b)
-SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS sha256, count(*) AS buckets FROM p""",
+        f"WITH f0 AS (SELECT doc_id || ':' || sha256(text) AS line FROM documents), {TREE}",
     ),
     "config_resolve": (
         config_resolve,

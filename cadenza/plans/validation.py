@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import corpus as C
 from ..operators import language as L
 from ..operators import validation as V
-from .texts import LEX, WORDS, _lexicon, _t
+from .texts import LEX, TREE, WORDS, _lexicon, _t
 
 
 def transcript_feature_join(spark, sf_dir):
@@ -48,9 +48,10 @@ def matched_pairs(spark, sf_dir):
 
 
 def split_validation(spark, sf_dir):
+    """A split of all documents in which every tenth id is moved back and every hundredth is unknown."""
     d = _t(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("pos"))
-    split = d.select((F.col("doc_id") % 700).alias("doc_id"), "pos").filter("pos % 10 = 0").union(d.select(F.col("doc_id") + 5000, "pos").filter("pos < 3"))
-    return V.split_problems(d, split, "doc_id", "pos")
+    wrong = F.when(F.col("doc_id") % 100 == 7, -F.col("doc_id") - 1).when(F.col("doc_id") % 10 == 3, F.floor(F.col("doc_id") / 2)).otherwise(F.col("doc_id"))
+    return V.split_problems(d, d.select(wrong.alias("doc_id"), "pos"), "doc_id", "pos")
 
 
 def pronunciation_adjacency(spark, sf_dir):
@@ -60,8 +61,7 @@ def pronunciation_adjacency(spark, sf_dir):
 
 
 def all_triphones(spark, sf_dir):
-    short = _lexicon(spark, sf_dir).filter(F.length("word") <= 5)
-    return V.reachable_triphones(short)
+    return V.reachable_triphones(_lexicon(spark, sf_dir))
 
 
 def segmentation_check(spark, sf_dir):
@@ -151,7 +151,7 @@ CAST(sum(CASE WHEN event_id % 2 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS other_error
     ),
     "split_validation": (
         split_validation,
-        """WITH s AS (SELECT doc_id % 700 AS doc_id, doc_id AS pos FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id + 5000, doc_id FROM documents WHERE doc_id < 3),
+        """WITH s AS (SELECT CASE WHEN doc_id % 100 = 7 THEN -doc_id - 1 WHEN doc_id % 10 = 3 THEN doc_id // 2 ELSE doc_id END AS doc_id, doc_id AS pos FROM documents),
 o AS (SELECT s.pos, d.doc_id AS place, lag(d.doc_id) OVER (ORDER BY s.pos) AS b FROM s JOIN documents d ON d.doc_id = s.doc_id),
 p AS (SELECT 'repeated' AS problem FROM s GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT 'unknown' FROM s WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'order' FROM o WHERE place < b)
 SELECT problem, count(*) AS n FROM p GROUP BY problem""",
@@ -163,7 +163,7 @@ SELECT a.item_id, CAST(a.pos AS INTEGER) AS pos, right(a.word, 1) AS phone, left
     ),
     "all_triphones": (
         all_triphones,
-        f"""WITH {LEX}, s AS (SELECT word, string_split(word, '') AS p, length(word) AS size FROM lex WHERE length(word) <= 5),
+        f"""WITH {LEX}, s AS (SELECT word, string_split(word, '') AS p, length(word) AS size FROM lex),
 e AS (SELECT p, size, unnest(range(size)) AS i FROM s),
 o AS (SELECT DISTINCT p[i + 1] AS base, CASE WHEN i > 0 THEN p[i] END AS l, CASE WHEN i < size - 1 THEN p[i + 2] END AS r, CASE WHEN size = 1 THEN 's' WHEN i = 0 THEN 'b' WHEN i = size - 1 THEN 'e' ELSE 'i' END AS wpos FROM e),
 ls AS (SELECT DISTINCT right(word, 1) AS ph FROM s UNION SELECT 'SIL'), fs AS (SELECT DISTINCT left(word, 1) AS ph FROM s UNION SELECT 'SIL')
@@ -190,7 +190,7 @@ FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR
     ),
     "config_fingerprint": (
         config_fingerprint,
-        "SELECT sha256(string_agg(l, chr(10) ORDER BY l)) AS sha256 FROM (SELECT DISTINCT user_id || '=' || user_id % 3 AS l FROM events)",
+        f"WITH f0 AS (SELECT DISTINCT user_id || '=' || user_id % 3 AS line FROM events), {TREE}",
     ),
     "language_model": (
         language_model,

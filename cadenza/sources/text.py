@@ -30,13 +30,14 @@ def file_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, path: str, form: str = "auto") -> DataFrame:
-    """utt_id, text, line_no of a prompt file: sphinx, leading-id, tsv, csv, or auto by each line.
+    """utt_id, text, line_no of prompt files: sphinx, leading-id, tsv, csv, or auto by each file.
 
     A byte order mark, a blank part or a wrong number of fields raises an error with the line.
     """
-    rows = lines(spark, path).filter(F.trim("line") != "")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), T.format_of(F.col("value")).alias("kind"))
+    rows = lines(spark, path).filter(F.trim("line") != "").join(whole, "file")
     line = F.col("line")
-    kind = T.format_of(line) if form == "auto" else F.lit(form)
+    kind = F.col("kind") if form == "auto" else F.lit(form)
     fields = F.when(kind == "tsv", F.split(line, "\t", 2)).when(kind == "csv", F.split(line, ",", 2))
     parsed = F.when(kind.isin("tsv", "csv"), F.struct(F.trim(fields[0]).alias("utt_id"), F.trim(fields[1]).alias("text"))).otherwise(T.utterance(line))
     bad = line.startswith("﻿") | parsed.isNull() | T.unsafe_id(parsed["utt_id"]) | (F.coalesce(parsed["text"], F.lit("")) == "")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.sequences import live_means_of
+
 
 def live_deltas(frames: DataFrame, key: str, value: str, reach: int = 2) -> DataFrame:
     """key, frame, delta of a stream of (key, frame, value, last): the delta of frame t once t + reach is known.
@@ -51,21 +53,16 @@ def live_deltas(frames: DataFrame, key: str, value: str, reach: int = 2) -> Data
 def live_means(frames: DataFrame, key: str, value: str, start: float = 12.0, window: int = 500, most: int = 800) -> DataFrame:
     """key, frame, y of a stream: value less the running mean; the sums shrink to window frames past most frames.
 
-    Rows of a key must come in the order of frames across batches. Values below 0 don't count.
+    Rows of a key must come in the order of frames across batches. Values below 0 stay as they are and don't count.
     """
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mean, total, n = state.get if state.exists else (start, start * window, float(window))
         rows = pd.concat(list(batches)).sort_values("frame")
-        out = []
-        for f, v in rows[["frame", value]].itertuples(index=False):
-            out.append((name[0], int(f), float(v) - mean))
-            if v >= 0:
-                total, n = total + v, n + 1
-            if n > most:
-                mean, total, n = total / n, total / n * window, float(window)
-        state.update((mean, total, n))
-        yield pd.DataFrame(out, columns=[key, "frame", "y"])
+        x = rows[value].to_numpy(float)
+        y, after = live_means_of(x, x, mean, total, n, window, most)
+        state.update(after)
+        yield pd.DataFrame({key: name[0], "frame": rows["frame"].astype("int32"), "y": y})
 
     kind = frames.schema[key].dataType.simpleString()
     return frames.select(key, "frame", value).groupBy(key).applyInPandasWithState(
