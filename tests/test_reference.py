@@ -22,7 +22,7 @@ def test_catalogue_is_complete():
     assert len(catalogue.queries()) > 80
 
 
-@pytest.mark.parametrize("name", ["alignment_chunks", "bootstrap_strata", "em_passes", "wer_breakdown"])
+@pytest.mark.parametrize("name", ["alignment_chunks", "bootstrap_strata", "em_passes", "wer_breakdown", "wer_total"])
 def test_queries_without_sql_run(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 
@@ -260,3 +260,91 @@ def test_entry_survives_without_the_corpus_operators(tmp_path):
     shutil.copytree(root / "cadenza", tmp_path / "cadenza", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; assert len(e.queries()) > 80 and not [q for q in e.queries() if q.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+@pytest.mark.parametrize(
+    "line, want",
+    [
+        ("utt1 i read(2)", ("utt1", "i read(2)")),
+        ("<s> hello world </s> (utt1)", ("utt1", "hello world")),
+        ("hello world (a session 7)", ("a session 7", "hello world")),
+        ("<s> </s> (u)", ("u", "")),
+        ("  <s> a (b) c </s>  (u)  ", ("u", "a (b) c")),
+        ("u <s> a </s>", ("u", "<s> a </s>")),
+        ("lonely", None),
+        ("   ", None),
+    ],
+)
+def test_transcript_forms(spark, line, want):
+    got = spark.createDataFrame([(line,)], "l string").select(text.utterance(F.col("l")).alias("u")).first()["u"]
+    assert (None if got is None else tuple(got)) == want
+
+
+def test_format_of_files(spark):
+    cases = {"# a,b\n\n<s> x </s> (u)\n": "sphinx", "x (u)\n": "unknown", "\n  u\tx, y\n": "tsv", "u,x\nv\ty\n": "csv", "": "unknown", "# only\n": "unknown", "u1 x\nu,y": "unknown"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.format_of(F.col("t")).alias("f")).collect()
+    assert {r["t"]: r["f"] for r in rows} == cases
+
+
+def test_convergence_after_zero(spark):
+    rows = spark.createDataFrame([(1, 0.0, 10), (2, -20.0, 10), (3, -20.0, 10), (4, 5.0, 10)], "pass int, ll double, n long")
+    got = [(r["delta"], r["stop"]) for r in evaluation.convergence(rows, "pass", "ll", "n", 0.1, 3).orderBy("pass").collect()]
+    assert got == [(None, False), (-1.0, False), (0.0, True), (2.5, False)]
+
+
+def test_letter_distance_of_many_words(spark):
+    rng = np.random.default_rng(8)
+    cases = [([f"w{n}" for n in range(300)], [f"w{n}" if n != 250 else "other" for n in range(300)])]
+    for size in (0, 1, 40, 400):
+        cases.append(([f"w{k}" for k in rng.integers(0, 500, size)], [f"w{k}" for k in rng.integers(0, 500, max(0, size - 3))]))
+    rows = spark.createDataFrame(cases, "a array<string>, b array<string>").select("a", "b", evaluation.letter_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r["d"] for r in rows] == [sum(o != "C" for o in evaluation.align(r["a"], r["b"])) for r in rows]
+    assert rows[0]["d"] == 1
+
+
+def test_live_mean_leaves_low_frames_alone(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(1, 2, 200)
+    rows = spark.createDataFrame([("u", n, float(v)) for n, v in enumerate(x)], "utt string, frame int, x double")
+    got = [r["y"] for r in sequences.live_mean_normalised(rows, "utt", "x", 5.0, 10, 20).orderBy("frame").collect()]
+    mean, total, n, want = 5.0, 50.0, 10, []
+    for v in x:
+        want.append(v - mean if v >= 0 else v)
+        if v >= 0:
+            total, n = total + v, n + 1
+        if n > 20:
+            mean = total / n
+            total, n = mean * 10, 10
+    assert np.allclose(got, want)
+
+
+def test_boundaries_after_an_insertion(spark):
+    schema = "utt string, seq int, label string, start double, end double"
+    ref = [("u", 0, "a", 0.0, 0.1), ("u", 1, "b", 0.1, 0.2), ("u", 2, "c", 0.2, 0.3), ("v", 0, "a", 0.0, 1.0)]
+    hyp = [("u", 0, "x", 0.0, 0.02), ("u", 1, "a", 0.02, 0.115), ("u", 2, "b", 0.115, 0.23), ("u", 3, "c", 0.23, 0.3)]
+    got = {r["utt"]: r for r in evaluation.boundary_scores(spark.createDataFrame(ref, schema), spark.createDataFrame(hyp, schema), "utt").collect()}
+    u = got["u"]
+    assert (u["reference_boundaries"], u["hypothesis_boundaries"], u["comparable"], u["insertions"]) == (2, 3, 2, 1)
+    assert u["mean_error_ms"] == pytest.approx(22.5) and u["median_error_ms"] == pytest.approx(22.5)
+    assert u["recall"] == [0.0, 0.5, 0.5, 1.0] and u["precision"] == pytest.approx([0, 1 / 3, 1 / 3, 2 / 3]) and u["f1"][3] == pytest.approx(0.8)
+    assert got["v"]["mean_error_ms"] == math.inf and got["v"]["deletions"] == 1 and got["v"]["f1"] == [0.0] * 4
+    with pytest.raises(Exception, match="bad interval"):
+        evaluation.boundary_scores(spark.createDataFrame([("u", 0, "", 0.0, 0.1)], schema), spark.createDataFrame(hyp, schema), "utt").collect()
+
+
+def test_partitions_agree_within_subjects(spark):
+    schema = "subject string, context string, part int"
+    left = [("s", "a", 1), ("s", "b", 1), ("s", "c", 2), ("t", "a", 1), ("t", "b", 2), ("u", "a", 1)]
+    right = [("s", "a", 7), ("s", "b", 8), ("s", "c", 8), ("t", "a", 5), ("t", "b", 6), ("w", "a", 1)]
+    rows = {r["subject"]: r for r in trees.agreement(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "subject", "context", "part").collect()}
+    assert (rows["s"]["pairs"], rows["s"]["disagreements"], rows["s"]["equal"]) == (3, 2, False)
+    assert rows["t"]["equal"] and rows["t"]["left_parts"] == 2
+    assert (rows["u"]["left_only"], rows["u"]["equal"], rows["w"]["right_only"]) == (1, False, 1)
+
+
+def test_variance_floor_counts_all_variances(spark):
+    from cadenza.operators import gaussians
+
+    rows = spark.createDataFrame([(0, 0.0)] * 5 + [(0, float(v)) for v in (1, 2, 3, 4, 5)], "dim int, var double")
+    assert gaussians.percentile_floor(rows, 4, 0.2).first()["floor"] == pytest.approx(4.0)
+    assert gaussians.percentile_floor(rows, 4, 0.6).first()["floor"] == pytest.approx(6.0)
