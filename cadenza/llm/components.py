@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Only joins, grouping and union of DataFrames; each round is checkpointed. Minima are combined before their
-shuffle. Nodes of many edges are split off in the joins: the minima of up to HUBS of them, a bounded table,
+shuffle. Nodes of many edges are split off in the joins: the minima of the 2 * HUBS of them that there can be
 are broadcast, so that a component holding a third of all nodes does not land in one task.
 """
 
@@ -12,34 +12,29 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-#: Edges from which a node may be a hub, and the most hubs whose minima are broadcast.
-HUB, HUBS = 64, 4096
+#: A hub has more edges than HUB and than one in HUBS of all.
+HUB, HUBS = 64, 2048
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges (u, v) with m of least (u, m, n), n the edges of u. Hubs don't meet in one task: their minima are broadcast.
-
-    Up to HUBS nodes of more than HUB edges are chosen, those of the most edges; the others take the shuffle.
-    """
-    hubs = checkpoint(least.filter(F.col("n") > HUB).orderBy(F.desc("n")).limit(HUBS).select("u", "m"))
-    if hubs.isEmpty():
-        return edges.join(least.select("u", "m"), "u")
-    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
-    return edges.join(F.broadcast(hubs), "u").unionByName(rest)
+def _with_least(edges: DataFrame, least: DataFrame, hub: float) -> DataFrame:
+    """edges (u, v) with m of least (u, m, n), n the edges of u. Nodes of more than hub edges don't meet in one task: their minima are broadcast."""
+    hubs = F.broadcast(least.filter(F.col("n") > hub).select("u", "m"))
+    rest = edges.join(F.broadcast(least.filter(F.col("n") > hub).select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, hub: float) -> DataFrame:
     """Every larger neighbour v of u is moved to the least of u and its neighbours."""
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return _with_least(both.filter(F.col("v") > F.col("u")), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = checkpoint(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")))
+    return _with_least(both.filter(F.col("v") > F.col("u")), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hub: float) -> DataFrame:
     """u and its smaller neighbours are moved to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = _with_least(down, least).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = checkpoint(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+    moved = _with_least(down, least, hub).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -59,9 +54,11 @@ def components(edges: DataFrame) -> DataFrame:
     named = edges.toDF("u", "v").filter(F.col("u").isNotNull() & F.col("v").isNotNull())
     named = checkpoint(named.distinct())
     links = named.filter(F.col("u") != F.col("v"))
-    state = None
-    while True:
-        links = checkpoint(_small_star(_large_star(links)))
+    state = _state(links)
+    while state[0]:
+        # Each edge counts at both of its nodes, so at most 2 * HUBS nodes are beyond this.
+        hub = max(HUB, state[0] / HUBS)
+        links = checkpoint(_small_star(checkpoint(_large_star(links, hub)), hub))
         now = _state(links)
         if now == state:
             break

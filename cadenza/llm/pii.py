@@ -132,8 +132,8 @@ def _bare(spans: DataFrame) -> DataFrame:
     start = F.col("start") + F.length("sign") + F.length("marks")
     before = F.when(F.col("l1").isin("=", ":", ":=", "=>"), F.col("l2")).when(F.col("l1").rlike("[=:]$"), F.col("l1"))
     name = F.lower(F.trim(F.coalesce(F.nullif("sign", F.lit("")), before), F.lit("\"'`=:>")))
-    parts = parts.withColumn("start", F.when(open_, start).otherwise(F.col("start"))).withColumn("stop", F.when(open_, start + F.length("value")).otherwise(F.col("stop")))
-    parts = parts.withColumn("name", F.nullif(name, F.lit("")))
+    stop = F.when(open_, start + F.length("value")).otherwise(F.col("stop"))
+    parts = parts.withColumns({"start": F.when(open_, start).otherwise(F.col("start")), "stop": stop, "name": F.nullif(name, F.lit(""))})
     secret = (F.coalesce(F.col("name").rlike(SECRET_NAME), F.lit(False)) & (F.length("value") >= LEAST_SECRET)) | F.col("value").rlike(SECRET_FORMAT)
     kind = F.when(~open_, F.col("kind")).when(F.col("value") == "", F.lit(None)).when(secret, SECRET).otherwise(F.col("kind"))
     return parts.withColumn("kind", kind).drop("sign", "rest", "marks")

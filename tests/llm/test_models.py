@@ -210,7 +210,7 @@ def test_pii_learns_patterns_from_what_it_finds(spark):
     new = [f"jane{n}(at)site.org" for n in range(6)]
     rows += [(100 + n, f"now write to {v} please", None, None) for n, v in enumerate(new)]
     rows += [(200 + n, f"the mail box {v} is full", None, None) for n, v in enumerate([*new, "bob9(at)else.org"])]
-    rows += [(300 + n, f"the lunch box nr{n} is full", None, None) for n in range(9)]
+    rows += [(300 + n, f"the lunch bag nr{n} was empty", None, None) for n in range(9)]
     got = {r["doc_id"]: r for r in pii.find(frame(spark, rows)).collect()}
     for i, text, *_ in rows:
         value = next((v for v in [*new, "bob9(at)else.org"] if v in text), None)
