@@ -364,3 +364,17 @@ def test_top_k_with_large_numbers(spark):
     docs = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     got = {(r["rank"], r["vec_id"]) for r in topk_search.top_k(docs, F.col("vec_id") == 20, 3, scale=1 / 2**30).collect()}
     assert got == {(1, 29), (2, 28), (3, 27)}
+
+
+def test_top_k_of_repeated_ids(spark):
+    """Rows that repeat an id are rows of their own; the one that repeats a query's id is a candidate."""
+    vectors = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.5, 0.0]), (3, [0.5, 0.0]), (40, [0.0, 1.0])]
+    docs = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    saved = topk_search.LEAF, topk_search.SHARD, topk_search.GROUP
+    topk_search.LEAF, topk_search.SHARD, topk_search.GROUP = 1, 2, 1
+    try:
+        got = sorted(tuple(r) for r in topk_search.top_k(docs, F.col("vec_id") % 20 == 0, 3).collect())
+    finally:
+        topk_search.LEAF, topk_search.SHARD, topk_search.GROUP = saved
+    near = [(20, 1, 20, 4096), (20, 2, 3, 2048), (20, 3, 3, 2048)]
+    assert got == sorted(2 * near + [(40, 1, 3, 0), (40, 2, 3, 0), (40, 3, 20, 0)])
