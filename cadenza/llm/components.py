@@ -18,9 +18,11 @@ HUB, HUBS = 64, 2048
 
 def _with_least(edges: DataFrame, least: DataFrame, hub: float) -> DataFrame:
     """edges (u, v) with m of least (u, m, n), n the edges of u. Nodes of more than hub edges don't meet in one task: their minima are broadcast."""
-    hubs = F.broadcast(least.filter(F.col("n") > hub).select("u", "m"))
-    rest = edges.join(F.broadcast(least.filter(F.col("n") > hub).select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
-    return edges.join(hubs, "u").unionByName(rest)
+    hubs = least.filter(F.col("n") > hub).select("u", "m")
+    if hubs.isEmpty():
+        return edges.join(least.select("u", "m"), "u")
+    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
+    return edges.join(F.broadcast(hubs), "u").unionByName(rest)
 
 
 def _large_star(edges: DataFrame, hub: float) -> DataFrame:
