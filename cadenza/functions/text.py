@@ -120,3 +120,60 @@ def utterance(line: Column) -> Column:
 def unsafe_id(utt_id: Column) -> Column:
     """Ids that can't be file names: empty, absolute, with backslash, dot parts or a .wav suffix."""
     return (utt_id == "") | utt_id.rlike(r"\\|^/|(^|/)\.\.?(/|$)|\.wav$")
+
+
+def decoder_utterance(line: Column) -> Column:
+    """utt_id and text of the lenient form: the last bracket is the id, sentence marks stay; null without one past the begin."""
+    bare = strip(F.make_valid_utf8(line))
+    form = r"(?s)^(.+)\(([^()]*)\)[^()]*$"
+    start = F.length(F.regexp_extract(bare, form, 1))
+    part = F.struct(strip(F.regexp_extract(bare, form, 2)).alias("utt_id"), strip(F.regexp_extract(bare, form, 1)).alias("text"))
+    return F.when(start > 0, part)
+
+
+def normalise_line(line: Column) -> Column:
+    """line and changed: transcript lines with marks and id have their text normalised, all others stay, stripped."""
+    bare = strip(line)
+    form = r"^<s>\s+(.*?)\s+</s>\s+\(([^)]+)\)"
+    marked = bare.rlike(form) & ~bare.startswith("#")
+    built = F.concat(F.lit("<s> "), normalise(F.regexp_extract(bare, form, 1)), F.lit(" </s> ("), F.regexp_extract(bare, form, 2), F.lit(")"))
+    return F.struct(F.when(marked, built).otherwise(bare).alias("line"), F.coalesce(marked, F.lit(False)).alias("changed"))
+
+
+def to_sphinx(line: Column, form: Column) -> Column:
+    """A transcript line of a form (sphinx, tsv, csv) as <s> text </s> (id); null for lines that hold none.
+
+    csv: the first field is the id, the rest the text; fields may be quoted.
+    """
+    bare = strip(line)
+    tab, comma = F.split(bare, "\t", 2), F.from_csv(line, F.lit("utt_id string, text string"), {"quote": '"', "escape": '"'})
+    built = lambda i, t: F.concat(F.lit("<s> "), strip(t), F.lit(" </s> ("), strip(i), F.lit(")"))
+    unquoted = F.when(line.contains('"'), comma["text"]).otherwise(F.get(F.split(line, ",", 2), F.lit(1)))
+    name = F.when(line.contains('"'), comma["utt_id"]).otherwise(F.get(F.split(line, ",", 2), F.lit(0)))
+    there = (bare != "") & ~bare.startswith("#")
+    return (
+        F.when((form == "sphinx") & there & bare.rlike(r"^<s>\s+.*\s+</s>\s+\([^)]+\)"), bare)
+        .when((form == "tsv") & there & (F.size(tab) == 2), built(F.get(tab, F.lit(0)), F.get(tab, F.lit(1))))
+        .when((form == "csv") & (strip(name) != "") & (strip(unquoted) != ""), built(name, unquoted))
+    )
+
+
+def prompt_text(text: Column) -> Column:
+    """Upper case; anything but letters, digits, _ and inner apostrophes becomes a single space."""
+    kept = F.regexp_replace(F.upper(text), r"[^\p{L}\p{N}_\s']", " ")
+    return F.array_join(words(F.regexp_replace(F.regexp_replace(kept, r"\s+'|'\s+", " "), "^'|'$", "")), " ")
+
+
+def stress_map(vowels: Column, marks: Column) -> Column:
+    """vowel with each mark to vowel."""
+    return F.map_from_entries(F.flatten(F.transform(vowels, lambda v: F.transform(marks, lambda m: F.struct(F.concat(v, m), v)))))
+
+
+def has_variant_suffix(word: Column) -> Column:
+    """Whether a word ends in a number in brackets, after at least one character."""
+    return word.rlike(r"^.+\([0-9]+\)$")
+
+
+def clean_transcript(text: Column) -> Column:
+    """Without blanks, tabs and line ends at either end."""
+    return F.regexp_replace(text, r"^[ \t\n]+|[ \t\n\r]+$", "")

@@ -73,6 +73,15 @@ def phone_set(lexicon: DataFrame, silence: str = "SIL") -> DataFrame:
     return lexicon.select(F.explode("phones").alias("phone")).union(spark.createDataFrame([(silence,)], "phone string")).distinct()
 
 
+def reversed_map(mapping: DataFrame) -> DataFrame:
+    """phone, source: a phone map (pos, source, target) turned around.
+
+    Expansions give an entry a phone; of several sources the last one (pos) wins; deletions are lost.
+    """
+    each = mapping.select("pos", "source", F.explode(T.words(F.col("target"))).alias("phone"))
+    return each.groupBy("phone").agg(F.max_by("source", "pos").alias("source"))
+
+
 def hashed_order(key: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), key.cast("string")))
 

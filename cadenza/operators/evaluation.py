@@ -201,3 +201,17 @@ def boundary_scores(reference: DataFrame, hypothesis: DataFrame, key: str, toler
     kind = reference.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, " + ", ".join([f"{c} int" for c in names[:6]] + [f"{c} double" for c in names[6:]] + [f"{c} array<double>" for c in arrays])
     return listed(reference, "reference").join(listed(hypothesis, "hypothesis"), key, "full_outer").mapInPandas(run, schema)
+
+
+def wer_summary(scores: DataFrame) -> DataFrame:
+    """line_no, line: the totals of scores (COUNTS) and their rates as readable lines."""
+    row = rates(scores)
+    h, s, d, i = (F.col(c) for c in COUNTS)
+    percent = lambda c: F.concat(F.format_string("%.2f", F.col(c) * 100), F.lit("%"))
+    three = lambda c: F.format_string("%.3f", F.col(c))
+    named = [
+        ("Word Error Rate (WER):      ", percent("wer")), ("Match Error Rate (MER):     ", percent("mer")), ("Word Info Lost (WIL):       ", three("wil")),
+        ("Word Info Preserved (WIP):  ", three("wip")), ("", F.lit("")), ("Reference words:  ", h + s + d), ("Hypothesis words: ", h + s + i), ("", F.lit("")),
+        ("Correct (hits):   ", h), ("Substitutions:    ", s), ("Deletions:        ", d), ("Insertions:       ", i), ("Total errors:     ", s + d + i),
+    ]
+    return row.select(F.posexplode(F.array(*[F.concat(F.lit(n), v.cast("string")) for n, v in named])).alias("line_no", "line"))

@@ -238,6 +238,26 @@ def percentile_floor(variances: DataFrame, bins: int, share: float) -> DataFrame
     )
 
 
+def tied_variances(sums: DataFrame, tie: str) -> DataFrame:
+    """tie, dim, n, mean, var of accumulators (tie, dim, n, sum_x, sum_xx) pooled over each tied set."""
+    pooled = sums.groupBy(tie, "dim").agg(F.sum("n").alias("n"), F.sum("sum_x").alias("x"), F.sum("sum_xx").alias("xx"))
+    mean = F.try_divide("x", "n")
+    return pooled.select(tie, "dim", "n", mean.alias("mean"), (F.try_divide("xx", "n") - mean * mean).alias("var"))
+
+
+def flat_start(dims: DataFrame, states: DataFrame, state: str, floor: float = FLOOR) -> DataFrame:
+    """state, dim, mean, var, weight: every state begins with the mean and variance of all frames and one density."""
+    whole = dims.groupBy("dim").agg(F.avg("x").alias("mean"), F.greatest(F.var_pop("x"), F.lit(floor)).alias("var"))
+    # One row a component: small beside the states.
+    return states.select(state).distinct().join(F.broadcast(whole)).select(state, "dim", "mean", "var", F.lit(1.0).alias("weight"))
+
+
+def flat_transitions(topology: DataFrame, states: DataFrame, state: str) -> DataFrame:
+    """state, i, j, p: each model's transitions uniform over what the topology (i, j) allows."""
+    out = topology.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    return states.select(state).distinct().join(F.broadcast(topology.join(out, "i"))).select(state, "i", "j", (1 / F.col("n")).alias("p"))
+
+
 def _line(by: str, order: str):
     from pyspark.sql import Window
 

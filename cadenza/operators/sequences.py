@@ -178,3 +178,47 @@ def framing(signals: DataFrame, key: str, samples: str, width: int, hop: int) ->
     """key, frame, samples of each whole window."""
     starts = F.when(F.size(samples) >= width, F.sequence(F.lit(0), F.size(samples) - width, F.lit(hop))).otherwise(F.array().cast("array<int>"))
     return signals.select(key, samples, F.posexplode(starts).alias("frame", "at")).select(key, "frame", F.slice(samples, F.col("at") + 1, F.lit(width)).alias("samples"))
+
+
+def four_streams(frames: DataFrame, key: str, vec: str, width: int = 13) -> DataFrame:
+    """key, frame, cep, dcep, power, ddcep: the layout of four streams. c0 and its differences are the power stream.
+
+    dcep has the short differences (2 frames either way) and then the long ones (4); edges are repeated.
+    """
+    rest = lambda n: F.slice(shifted(vec, n, key), 2, width - 1)
+    c0 = lambda n: F.get(shifted(vec, n, key), F.lit(0))
+    less = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    second = less(less(rest(3), rest(-1)), less(rest(1), rest(-3)))
+    power = F.array(F.get(vec, F.lit(0)), c0(2) - c0(-2), (c0(3) - c0(-1)) - (c0(1) - c0(-3)))
+    return frames.select(
+        key, "frame", F.slice(vec, 2, width - 1).alias("cep"), F.concat(less(rest(2), rest(-2)), less(rest(4), rest(-4))).alias("dcep"), power.alias("power"), second.alias("ddcep")
+    )
+
+
+def single_stream(frames: DataFrame, key: str, vec: str, width: int = 13) -> DataFrame:
+    """key, frame, feat: cepstra, short differences, power and second differences in one array, 3 * width long."""
+    f = four_streams(frames, key, vec, width)
+    return f.select(key, "frame", F.concat("cep", F.slice("dcep", 1, width - 1), "power", "ddcep").alias("feat"))
+
+
+def estimated_maxima(utterances: DataFrame, stream: str, order: str, top: str, start: float = 0.0) -> DataFrame:
+    """stream, order, estimate: the mean of the maxima (top) of the utterances before, start for the first.
+
+    The history halves when it has 16 utterances. Maxima of -1000 and less count as nothing seen. A stream's
+    utterances, one row each, are one Arrow group.
+    """
+    kinds = {c: utterances.schema[c].dataType.simpleString() for c in (stream, order)}
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        out, total, n, now = [], 0.0, 0, start
+        for x in rows[top].to_numpy(float):
+            out.append(now)
+            if x > -1000.0:
+                total, n = total + x, n + 1
+                now = total / n
+                if n == 16:
+                    total, n = total / 2, 8
+        return pd.DataFrame({stream: rows[stream], order: rows[order], "estimate": out})
+
+    return utterances.select(stream, order, F.col(top).cast("double").alias(top)).groupBy(stream).applyInPandas(run, f"{stream} {kinds[stream]}, {order} {kinds[order]}, estimate double")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .corpus import digest_tree
 
 #: Positions of a run in the check of a split's order.
@@ -136,3 +137,66 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
 def fingerprint(settings: DataFrame) -> DataFrame:
     """sha256 of the settings (path, value) as path=value lines, in no order; a null value counts as null."""
     return digest_tree(settings.select(F.concat_ws("=", "path", F.coalesce("value", F.lit("null"))).alias("line")), "line")
+
+
+def unknown_phones(lexicon: DataFrame, phones: DataFrame) -> DataFrame:
+    """phone, n: phones of pronunciations (phones) that the phone set (phone) lacks, with the number of entries."""
+    used = lexicon.select(F.explode(F.array_distinct("phones")).alias("phone")).groupBy("phone").agg(F.count(F.lit(1)).alias("n"))
+    return used.join(phones.select("phone").distinct(), "phone", "left_anti")
+
+
+def unknown_variants(transcripts: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
+    """key, token: words written with a variant number, word(n), that the lexicon (word) lacks."""
+    each = transcripts.select(key, F.explode(T.words(T.clean_transcript(F.col(text)))).alias("token")).filter(T.has_variant_suffix(F.col("token")))
+    return each.join(lexicon.select(F.col("word").alias("token")).distinct(), "token", "left_anti").select(key, "token").distinct()
+
+
+def segmentation_agrees(transcript: DataFrame, segments: DataFrame, key: str) -> DataFrame:
+    """key, agrees, first_difference (position from 0, -1 if none): phones of transcripts against those of segmentations.
+
+    Both: key, pos, phone. Keys of one side only don't agree.
+    """
+    a = transcript.select(key, "pos", F.col("phone").alias("a"))
+    b = segments.select(key, "pos", F.col("phone").alias("b"))
+    differs = F.min(F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("pos")))
+    return a.join(b, [key, "pos"], "full_outer").groupBy(key).agg(differs.alias("first_difference")).select(
+        key, F.col("first_difference").isNull().alias("agrees"), F.coalesce("first_difference", F.lit(-1)).alias("first_difference")
+    )
+
+
+def unseen(domain: DataFrame, counts: DataFrame, keys: Sequence[str], occupancy: str) -> DataFrame:
+    """keys of the domain whose occupancy is 0 in all of counts, or that counts lacks."""
+    seen = counts.groupBy(*keys).agg(F.max(occupancy).alias("top")).filter(F.col("top") > 0)
+    return domain.select(*keys).distinct().join(seen.select(*keys), list(keys), "left_anti")
+
+
+def copied(rows: DataFrame, mapping: DataFrame, index: str) -> DataFrame:
+    """rows with index replaced by dst for each (src, dst) of the map: a source may be copied many times, or not at all."""
+    return rows.join(mapping.select(F.col("src").alias(index), "dst"), index).select(F.col("dst").alias(index), *[c for c in rows.columns if c != index])
+
+
+def senone_codebooks(senones: DataFrame, mapping: DataFrame) -> DataFrame:
+    """senones (senone, ...) with cb by the map (senone, cb); a senone without an entry is an error."""
+    joined = senones.join(mapping.select("senone", F.col("cb").alias("to")), "senone", "left")
+    cb = F.when(F.col("to").isNull(), F.raise_error(F.concat(F.lit("no codebook for senone "), F.col("senone").cast("string"))).cast("int")).otherwise(F.col("to"))
+    return joined.withColumn("cb", cb).drop("to")
+
+
+def wrong_width(frames: DataFrame, vec: str, width: int = 13) -> DataFrame:
+    return frames.filter(F.coalesce(F.size(vec) != width, F.lit(True)))
+
+
+def interval_problems(intervals: DataFrame, key: str) -> DataFrame:
+    """key, seq, problem of intervals (key, seq, label, start, end): empty label, invalid times, or a start before the last one."""
+    before = F.lag("start").over(Window.partitionBy(key).orderBy("seq"))
+    bad_times = (F.col("start") < 0) | (F.col("end") < F.col("start"))
+    problem = F.when(F.coalesce(F.col("label"), F.lit("")) == "", "empty label").when(bad_times, "invalid times").when(F.col("start") < before, "not ordered")
+    return intervals.withColumn("problem", problem).filter("problem IS NOT NULL").select(key, "seq", "problem")
+
+
+def audio_properties(files: DataFrame) -> DataFrame:
+    """rate, channels, n and problem of audio files (rate, channels): not mono, or more than one rate in the corpus."""
+    counted = files.groupBy("rate", "channels").agg(F.count(F.lit(1)).alias("n"))
+    rates = files.agg(F.countDistinct("rate").alias("rates"))
+    problem = F.when(F.col("channels") != 1, "not mono").when(F.col("rates") > 1, "several rates")
+    return counted.join(F.broadcast(rates)).select("rate", "channels", "n", problem.alias("problem"))
