@@ -41,8 +41,10 @@ def strip_edges(word: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """Lower case, composed, edges of every word stripped, empty words dropped, single spaces."""
-    lowered = F.lower(compose(text))
-    return F.array_join(F.filter(F.transform(words(lowered), strip_edges), lambda w: w != ""), " ")
+    # Over the whole text at once: runs of edge characters after white space, then those before it.
+    edge = r"[\p{P}\p{S}\p{Z}&&[^\s]]"
+    bare = F.regexp_replace(F.lower(compose(text)), rf"(?<!\S){edge}++|(?<!{edge}){edge}++(?!\S)", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"^\s+|\s+$", ""), r"\s+", " ")
 
 
 def strip_markers(text: Column) -> Column:

@@ -112,22 +112,29 @@ def top_n(scores: DataFrame, by: Sequence[str], n: int, key: str = "label") -> D
     return each.select(*by, (F.col("r") + 1).alias("rank"), F.col(f"s.{key}").alias(key), (-F.col("s.loss")).alias("ll"))
 
 
-def posteriors(scores: DataFrame, by: Sequence[str], cut: float | None = None) -> DataFrame:
-    """gamma by frame and density: exp(ll - best) over its sum; densities more than cut below the best get 0."""
-    best = scores.groupBy(*by).agg(F.max("ll").alias("best"))
-    scaled = scores.join(best, list(by)).withColumn("e", F.exp(F.col("ll") - F.col("best")))
-    if cut is not None:
-        scaled = scaled.withColumn("e", F.when(F.col("ll") < F.col("best") - cut, 0.0).otherwise(F.col("e")))
-    total = scaled.groupBy(*by).agg(F.sum("e").alias("total"))
-    return scaled.join(total, list(by)).withColumn("gamma", F.col("e") / F.col("total")).drop("best", "e", "total")
-
-
-def accumulate(dims: DataFrame, gammas: DataFrame, by: Sequence[str], key: str) -> DataFrame:
-    """key, dim, occ, sum_x, sum_xx: posterior-weighted sums."""
+def responsibilities(vectors: DataFrame, model: DataFrame, key: str, vec: str, cut: float | None = None) -> DataFrame:
+    """The columns of vectors but vec and key; v, lp (log of the mean density), key, gamma of every density: no shuffle.
+
+    All scores of a frame stay in its row: exp(ll - best) over its sum, densities more than cut below the best 0.
+    """
+    book = as_arrays(model, [key]).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "mean", "var"))).alias("book"))
+    keep = [c for c in vectors.columns if c not in (vec, key)]
+    scored = vectors.select(*keep, F.transform(vec, lambda x: x.cast("double")).alias("v")).crossJoin(book)
+    ll = F.transform("book", lambda d: log_density(F.col("v"), d["mean"], d["var"]))
+    scored = scored.select(*keep, "v", F.transform("book", lambda d: d["k"]).alias("ks"), ll.alias("ll")).withColumn("best", F.array_max("ll"))
+    whole = F.aggregate(F.transform("ll", lambda x: F.exp(x - F.col("best"))), F.lit(0.0), lambda a, x: a + x)
+    low = F.lit(False) if cut is None else None
+    e = F.transform("ll", lambda x: F.when(low if cut is None else x < F.col("best") - cut, 0.0).otherwise(F.exp(x - F.col("best"))))
+    scored = scored.withColumn("lp", F.log(whole / F.size("ll")) + F.col("best")).withColumn("e", e)
+    scored = scored.withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
+    return scored.select(*keep, "v", "lp", F.inline(F.arrays_zip(F.col("ks").alias(key), F.transform("e", lambda x: x / F.col("total")).alias("gamma"))))
+
+
+def accumulate(gammas: DataFrame, key: str) -> DataFrame:
+    """key, dim, occ, sum_x, sum_xx: posterior-weighted sums of rows (v, key, gamma), combined before the one shuffle."""
     g, x = F.col("gamma"), F.col("x")
-    return gammas.select(*by, key, "gamma").join(dims, list(by)).groupBy(key, "dim").agg(
-        F.sum(g).alias("occ"), F.sum(g * x).alias("sum_x"), F.sum(g * x * x).alias("sum_xx")
-    )
+    each = gammas.filter("gamma > 0").select(key, "gamma", F.posexplode("v").alias("dim", "x"))
+    return each.groupBy(key, "dim").agg(F.sum(g).alias("occ"), F.sum(g * x).alias("sum_x"), F.sum(g * x * x).alias("sum_xx"))
 
 
 def split(model: DataFrame, key: str, n_inc: int, spread: float = 0.2) -> DataFrame:
@@ -146,19 +153,24 @@ def split(model: DataFrame, key: str, n_inc: int, spread: float = 0.2) -> DataFr
     )
 
 
-def nearest(dims: DataFrame, centres: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by, k: the centre (k, dim, c) of least squared distance, ties to the lowest k."""
-    gap = F.col("x") - F.col("c")
-    far = dims.join(centres, "dim").groupBy(*by, "k").agg(F.sum(gap * gap).alias("d2"))
-    return far.groupBy(*by).agg(F.min(F.struct("d2", "k")).alias("best")).select(*by, F.col("best.k").alias("k"), F.col("best.d2").alias("d2"))
+def nearest(vectors: DataFrame, centres: DataFrame) -> DataFrame:
+    """vectors (..., v) with k and d2: the centre (k, dim, c) of least squared distance, ties to the lowest k; no shuffle.
+
+    The centres, of the model's size, are one row that every vector meets.
+    """
+    arrays = centres.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("dim", "c"))).alias("cs")).select("k", F.col("cs.c").alias("c"))
+    book = arrays.agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("book"))
+    far = lambda c: F.aggregate(F.zip_with("v", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    best = F.array_min(F.transform("book", lambda b: F.struct(far(b["c"]).alias("d2"), b["k"].alias("k"))))
+    return vectors.crossJoin(book).withColumn("best", best).select(*vectors.columns, F.col("best.k").alias("k"), F.col("best.d2").alias("d2"))
 
 
-def kmeans(dims: DataFrame, centres: DataFrame, by: Sequence[str], steps: int) -> tuple[DataFrame, DataFrame]:
-    """Lloyd steps: the centres (k, dim, c) after the last one, and the assignment it was made from."""
+def kmeans(vectors: DataFrame, centres: DataFrame, steps: int) -> tuple[DataFrame, DataFrame]:
+    """Lloyd steps over vectors (..., v): the centres (k, dim, c) after the last one, and the assignment it was made from."""
     assigned = None
     for _ in range(steps):
-        assigned = nearest(dims, centres, by)
-        centres = dims.join(assigned.select(*by, "k"), list(by)).groupBy("k", "dim").agg(F.avg("x").alias("c"))
+        assigned = nearest(vectors, centres)
+        centres = assigned.select("k", F.posexplode("v").alias("dim", "x")).groupBy("k", "dim").agg(F.avg("x").alias("c"))
     return centres, assigned
 
 

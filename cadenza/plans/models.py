@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import gaussians as G
+from ..operators.lineage import cut
 from ..operators.trees import agreement
 
 DIMS = """dims AS (
@@ -64,10 +65,13 @@ def closest_state_pair(spark, sf_dir):
     return _round(best.select("m.a", "m.b", "m.bhattacharyya"), "bhattacharyya")
 
 
+def _scored(spark, sf_dir):
+    """The vectors and the labels' Gaussians."""
+    return _read(spark, sf_dir), G.estimate(_dims(spark, sf_dir), ["label"])
+
+
 def _scores(spark, sf_dir):
-    vectors = _read(spark, sf_dir)
-    model = G.estimate(_dims(spark, sf_dir), ["label"])
-    return G.densities(vectors, model, "label", "embedding")
+    return G.densities(*_scored(spark, sf_dir), "label", "embedding")
 
 
 def log_density_scores(spark, sf_dir):
@@ -78,14 +82,18 @@ def topn_densities(spark, sf_dir):
     return _round(G.top_n(_scores(spark, sf_dir), ["vec_id"], 3), "ll", digits=4)
 
 
+def _gammas(spark, sf_dir, cut=None):
+    """The frames' posteriors of the labels' Gaussians, as _scores has their densities."""
+    vectors, model = _scored(spark, sf_dir)
+    return G.responsibilities(vectors, model, "label", "embedding", cut)
+
+
 def posterior_accumulate(spark, sf_dir):
-    gammas = G.posteriors(_scores(spark, sf_dir), ["vec_id"], cut=22.0)
-    dims = _dims(spark, sf_dir, ["vec_id"], first=4)
-    return _round(G.accumulate(dims, gammas, ["vec_id"], "label"), "occ", "sum_x", "sum_xx", digits=5)
+    return _round(G.accumulate(_gammas(spark, sf_dir, cut=22.0), "label"), "occ", "sum_x", "sum_xx", digits=5)
 
 
 def density_counts(spark, sf_dir):
-    gammas = G.posteriors(_scores(spark, sf_dir), ["vec_id"])
+    gammas = _gammas(spark, sf_dir)
     return _round(gammas.groupBy("label").agg(F.sum("gamma").alias("count")), "count", digits=4)
 
 
@@ -95,8 +103,9 @@ def _start(dims, k=5):
 
 
 def _kmeans(spark, sf_dir, steps):
-    dims = _dims(spark, sf_dir, ["vec_id"], first=16)
-    return dims, *G.kmeans(dims, _start(dims), ["vec_id"], steps)
+    dims = _dims(spark, sf_dir, ["vec_id"])
+    vectors = _read(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return dims, *G.kmeans(vectors, _start(dims), steps)
 
 
 def kmeans_step(spark, sf_dir):
@@ -193,31 +202,30 @@ def partition_agreement(spark, sf_dir):
 
 
 def em_passes(spark, sf_dir):
-    """Three EM passes of a 10-density mixture on 4 components: total log-likelihood of each pass, and convergence."""
-    vectors = _read(spark, sf_dir).withColumn("embedding", F.slice("embedding", 1, 4))
-    dims = G.frames(vectors, ["vec_id"], "embedding")
+    """Three EM passes of a 10-density mixture: total log-likelihood of each pass, and convergence."""
+    vectors = _read(spark, sf_dir)
     model = G.estimate(G.frames(vectors, ["label", "vec_id"], "embedding"), ["label"])
     telemetry = None
     for n in range(1, 4):
-        scores = G.densities(vectors, model, "label", "embedding")
-        best = scores.groupBy("vec_id").agg(F.max("ll").alias("best"))
-        # Equal weights: ln p(frame) by log-sum-exp.
-        frame = scores.join(best, "vec_id").groupBy("vec_id", "best").agg((F.log(F.avg(F.exp(F.col("ll") - F.col("best")))) + F.col("best")).alias("lp"))
-        row = frame.agg(F.sum("lp").alias("total_ll"), F.count(F.lit(1)).alias("frames")).select(F.lit(n).alias("pass"), "total_ll", "frames")
+        gammas = G.responsibilities(vectors.select("vec_id", "embedding"), model, "label", "embedding", cut=22.0)
+        # Every density has a row of each frame; the first one stands for the frame.
+        first = F.when(F.col("label") == 0, F.col("lp"))
+        row = cut(gammas.agg(F.sum(first).alias("total_ll"), F.count(first).alias("frames")).select(F.lit(n).alias("pass"), "total_ll", "frames"))
         telemetry = row if telemetry is None else telemetry.union(row)
-        sums = G.accumulate(dims, G.posteriors(scores, ["vec_id"], cut=22.0), ["vec_id"], "label")
+        sums = G.accumulate(gammas, "label")
         mean = F.col("sum_x") / F.col("occ")
         model = sums.filter("occ > 0").select("label", "dim", F.col("occ").alias("n"), mean.alias("mean"), F.greatest(F.col("sum_xx") / F.col("occ") - mean * mean, F.lit(G.FLOOR)).alias("var"))
+        model = cut(model)
     from ..operators.evaluation import convergence
 
     return _round(convergence(telemetry, "pass", "total_ll", "frames", 1e-4), "total_ll", "delta", digits=3)
 
 
-ASSIGN = """start AS (SELECT vec_id AS k, dim, x AS c FROM d16 WHERE vec_id < 5),
-far AS (SELECT d.vec_id, s.k, sum((d.x - s.c) * (d.x - s.c)) AS d2 FROM d16 d JOIN start s USING (dim) GROUP BY ALL),
+ASSIGN = """start AS (SELECT vec_id AS k, dim, x AS c FROM dv WHERE vec_id < 5),
+far AS (SELECT d.vec_id, s.k, sum((d.x - s.c) * (d.x - s.c)) AS d2 FROM dv d JOIN start s USING (dim) GROUP BY ALL),
 assigned AS (SELECT vec_id, arg_min(k, (d2, k)) AS k, min(d2) AS d2 FROM far GROUP BY vec_id)"""
-D16 = """d16 AS (
-  SELECT vec_id, CAST(unnest(range(16)) AS INTEGER) AS dim, CAST(unnest(embedding[1:16]) AS DOUBLE) AS x FROM embeddings
+DV = """dv AS (
+  SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings
 )"""
 SCORES = f"""{MODEL}, scores AS (
   SELECT d.vec_id, m.label, -0.5 * sum((d.x - m.mean) * (d.x - m.mean) / m.var + ln(m.var * 6.283185307179586)) AS ll
@@ -289,28 +297,28 @@ SELECT vec_id, rank, label, round(ll, 4) AS ll FROM r WHERE rank <= 3""",
     "posterior_accumulate": (
         posterior_accumulate,
         f"""WITH {GAMMAS} SELECT g.label AS label, d.dim AS dim, round(sum(gamma), 5) AS occ, round(sum(gamma * x), 5) AS sum_x, round(sum(gamma * x * x), 5) AS sum_xx
-FROM gammas g JOIN dims d USING (vec_id) WHERE d.dim < 4 GROUP BY ALL""",
+FROM gammas g JOIN dims d USING (vec_id) GROUP BY ALL""",
     ),
     "density_counts": (density_counts, f"WITH {GAMMAS} SELECT label, round(sum(soft), 4) AS count FROM gammas GROUP BY label"),
     "kmeans_step": (
         kmeans_step,
-        f"WITH {D16}, {ASSIGN} SELECT k, dim, round(avg(x), 6) AS c FROM d16 JOIN assigned USING (vec_id) GROUP BY k, dim",
+        f"WITH {DV}, {ASSIGN} SELECT k, dim, round(avg(x), 6) AS c FROM dv JOIN assigned USING (vec_id) GROUP BY k, dim",
     ),
     "kmeans_two_steps": (
         kmeans_two_steps,
-        f"""WITH {D16}, {ASSIGN}, again AS (SELECT k, dim, avg(x) AS c FROM d16 JOIN assigned USING (vec_id) GROUP BY k, dim),
-far2 AS (SELECT d.vec_id, s.k, sum((d.x - s.c) * (d.x - s.c)) AS d2 FROM d16 d JOIN again s USING (dim) GROUP BY ALL),
+        f"""WITH {DV}, {ASSIGN}, again AS (SELECT k, dim, avg(x) AS c FROM dv JOIN assigned USING (vec_id) GROUP BY k, dim),
+far2 AS (SELECT d.vec_id, s.k, sum((d.x - s.c) * (d.x - s.c)) AS d2 FROM dv d JOIN again s USING (dim) GROUP BY ALL),
 assigned2 AS (SELECT vec_id, arg_min(k, (d2, k)) AS k FROM far2 GROUP BY vec_id)
-SELECT k, dim, round(avg(x), 6) AS c FROM d16 JOIN assigned2 USING (vec_id) GROUP BY k, dim""",
+SELECT k, dim, round(avg(x), 6) AS c FROM dv JOIN assigned2 USING (vec_id) GROUP BY k, dim""",
     ),
     "kmeans_gaussian_init": (
         kmeans_gaussian_init,
-        f"""WITH {D16}, {ASSIGN} SELECT k, dim, round(count(*) / (SELECT count(*) FROM assigned), 6) AS weight, round(avg(x), 6) AS mean,
-round(greatest(var_pop(x), 1e-4), 6) AS var FROM d16 JOIN assigned USING (vec_id) GROUP BY k, dim""",
+        f"""WITH {DV}, {ASSIGN} SELECT k, dim, round(count(*) / (SELECT count(*) FROM assigned), 6) AS weight, round(avg(x), 6) AS mean,
+round(greatest(var_pop(x), 1e-4), 6) AS var FROM dv JOIN assigned USING (vec_id) GROUP BY k, dim""",
     ),
     "quantisation_distortion": (
         quantisation_distortion,
-        f"WITH {D16}, {ASSIGN} SELECT k, count(*) AS n, round(avg(d2), 6) AS distortion FROM assigned GROUP BY k",
+        f"WITH {DV}, {ASSIGN} SELECT k, count(*) AS n, round(avg(d2), 6) AS distortion FROM assigned GROUP BY k",
     ),
     "gaussian_split": (
         gaussian_split,
@@ -378,7 +386,7 @@ SELECT dim, round(low + (coalesce(min(bin) FILTER (s > 0.3 * n), 20) + 1) * (hig
     ),
     "partition_agreement": (
         partition_agreement,
-        f"""WITH {D16}, {ASSIGN}, k AS (SELECT vec_id % 7 AS subject, CASE WHEN vec_id % 13 = 0 THEN -vec_id - 1 ELSE vec_id END AS vec_id, k FROM assigned),
+        f"""WITH {DV}, {ASSIGN}, k AS (SELECT vec_id % 7 AS subject, CASE WHEN vec_id % 13 = 0 THEN -vec_id - 1 ELSE vec_id END AS vec_id, k FROM assigned),
 l AS (SELECT vec_id % 7 AS subject, vec_id, label FROM embeddings),
 t AS (SELECT subject, vec_id, label, k FROM l JOIN k USING (subject, vec_id)),
 p AS (SELECT a.subject, count(*) AS pairs, count(*) FILTER ((a.label = b.label) <> (a.k = b.k)) AS disagreements FROM t a JOIN t b ON a.subject = b.subject AND a.vec_id < b.vec_id GROUP BY a.subject),
