@@ -204,6 +204,92 @@ def test_pii_bootstraps_unseen_identifiers(spark):
     assert got[101]["spans"] == "" and got[5]["n_email"] == 1 and len(got) == len(rows)
 
 
+def plain_grams(text, orders=(2, 3, 4)):
+    """n-grams by string handling: lower case, runs of what is no letter as one space, only next to letters."""
+    import unicodedata
+
+    shown = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in f" {text.lower()} ")
+    shown = re.sub(" +", " ", shown)
+    if not shown.strip():
+        return []
+    return [shown[n : n + k] for k in orders for n in range(len(shown) - k + 1)]
+
+
+def test_language_counts_match_brute_force():
+    rng = np.random.default_rng(6)
+    make = lambda words: " ".join(rng.choice(words, 15))
+    taught = {"de": [make(GERMAN) for _ in range(5)], "en": [make(ENGLISH) for _ in range(5)], "xx": ["Ünï-ßtraße 42 ÀÉ"]}
+    names = sorted(taught)
+    members = [np.unique(np.concatenate([h for _, _, h in langid.grams(taught[n])])) for n in names]
+    filters = langid.Filters(names, members)
+    known = [{g for t in taught[n] for g in plain_grams(t)} for n in names]
+    texts = [make(GERMAN), make(ENGLISH) + " 12, " + make(GERMAN), "straße\n\tÀÉ!", "", "99 !", "q"]
+    count, total = filters.hits(texts)
+    for n, t in enumerate(texts):
+        grams = plain_grams(t)
+        assert total[n] == len(grams)
+        assert count[n].tolist() == [sum(g in k for g in grams) for k in known]
+    predicted, _ = filters.predict(texts)
+    assert predicted[0] == "de" and predicted[3:5] == ["und", "und"]
+
+
+def test_ftrl_matches_plain_updates():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, 8)).astype(np.int32) for _ in range(60)]
+    labels = np.array([float(3 in r or 7 in r) for r in rows])
+    weights = rng.uniform(0.5, 2.0, 60)
+    got, bias = toxicity.fit(rows, labels, weights, passes=3, seed=9)
+    z, n, order = {}, {}, np.random.default_rng(9)
+
+    def value(k):
+        zk, rate = z.get(k, 0.0), (toxicity.BETA + n.get(k, 0.0) ** 0.5) / toxicity.ALPHA
+        if k == "bias":
+            return -zk / rate
+        return 0.0 if abs(zk) <= toxicity.L1 else (np.sign(zk) * toxicity.L1 - zk) / (rate + toxicity.L2)
+
+    for _ in range(3):
+        for r in order.permutation(60):
+            keys = [*rows[r].tolist(), "bias"]
+            w = {k: value(k) for k in keys}
+            g = (1 / (1 + np.exp(-sum(w.values()))) - labels[r]) * weights[r]
+            for k in keys:
+                z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / toxicity.ALPHA * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    assert bias == pytest.approx(value("bias")) and np.allclose(got[:40], [value(k) for k in range(40)])
+    assert not got[40:].any() and 0 < np.count_nonzero(got) < 40
+
+
+def test_mixing_takes_what_brute_force_takes(spark):
+    """taken of every document, from blocks, draws and permutations followed by hand."""
+    rng = np.random.default_rng(12)
+    sizes = {s: [int(x) for x in rng.integers(0, 90, 30)] for s in ("a", "b", None)}
+    rows, of = [], {}
+    for s, each in sizes.items():
+        for k in each:
+            of[len(rows)] = (s, k)
+            rows.append((len(rows), " ".join(["w"] * k), None, s))
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(frame(spark, rows), block=16, shards=5, seed=4).collect()}
+    names = ["a", "b", None]
+    total = {s: sum(sizes[s]) for s in names}
+    wanted = mixing.targets(total)
+    blocks = {s: -(-total[s] // 16) for s in names}
+    slots = [min(2 * blocks[s], round(wanted[s] * blocks[s] / total[s])) for s in names]
+    assert mixing.draw_shards(slots, 5, 4).sum(axis=0).tolist() == slots
+    want = dict.fromkeys(of, 0)
+    for number, s in enumerate(names):
+        times = [0] * blocks[s]
+        for slot in range(slots[number]):
+            one = lambda x: np.array([x])
+            key = (number * 1_000_003 + slot // blocks[s]) * 7_919 + 4
+            times[int(mixing.permute(one(slot % blocks[s]), one(blocks[s]), one(key))[0])] += 1
+        at = 0
+        for i in sorted(i for i, (t, _) in of.items() if t == s):
+            for word in range(at, at + of[i][1]):
+                want[i] += times[word // 16]
+            at += of[i][1]
+    assert got == want
+
+
 def test_pii_learns_patterns_from_what_it_finds(spark):
     """Seeds give a pattern, its new instances give a second pattern, and that finds what no seed stands near."""
     rows = [(n, f"now write to user{n}@mail.example.com please", None, None) for n in range(30)]
