@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -250,6 +252,130 @@ def percentile_floor(variances: DataFrame, bins: int, share: float) -> DataFrame
     )
 
 
+def compare_models(a: DataFrame, b: DataFrame, keys: Sequence[str], atol: float = 1e-8, rtol: float = 1e-5) -> DataFrame:
+    """One row a component: keys, verdict (equal, close, differs, only left, only right), max_abs of rows (keys, dim, x)."""
+    left = a.select(*keys, "dim", F.col("x").alias("l"), F.lit(True).alias("in_l"))
+    right = b.select(*keys, "dim", F.col("x").alias("r"), F.lit(True).alias("in_r"))
+    both = left.join(right, [*keys, "dim"], "full_outer")
+    off = F.abs(F.col("l") - F.col("r"))
+    summed = both.groupBy(*keys).agg(
+        F.count("in_l").alias("n_l"), F.count("in_r").alias("n_r"), F.count(F.lit(1)).alias("n"), F.max(off).alias("max_abs"),
+        F.bool_and(F.coalesce(F.col("l") == F.col("r"), F.lit(False))).alias("same"), F.bool_and(F.coalesce(off <= atol + rtol * F.abs("r"), F.lit(False))).alias("near"),
+    )
+    verdict = F.when(F.col("n_r") == 0, "only left").when(F.col("n_l") == 0, "only right").when(F.col("same"), "equal").when(F.col("near"), "close").otherwise("differs")
+    return summed.select(*keys, verdict.alias("verdict"), "max_abs")
+
+
+def paired_distances(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """key, bhattacharyya, mahalanobis of each density of a against that of the same key in b (key, dim, mean, var)."""
+    other = b.select(key, "dim", F.col("mean").alias("mb"), F.col("var").alias("vb"))
+    d, both = F.col("mean") - F.col("mb"), (F.col("var") + F.col("vb")) / 2
+    return a.join(other, [key, "dim"]).groupBy(key).agg(
+        F.sum(d * d / both / 8 + 0.5 * F.log(both / F.sqrt(F.col("var") * F.col("vb")))).alias("bhattacharyya"), F.sqrt(F.sum(d * d / both)).alias("mahalanobis")
+    )
+
+
+def distance_summary(distances_: DataFrame, measure: str) -> DataFrame:
+    """One row: n, mean, highest, lowest and population std of a measure."""
+    return distances_.agg(
+        F.count(measure).alias("n"), F.avg(measure).alias("mean"), F.max(measure).alias("highest"), F.min(measure).alias("lowest"), F.stddev_pop(measure).alias("std")
+    )
+
+
+def most_different(distances_: DataFrame, key: str, measure: str, n: int) -> DataFrame:
+    """The n keys of greatest measure, ties to the lower key: a report of fixed length."""
+    return distances_.orderBy(F.desc(measure), key).limit(n)
+
+
+def log_density_full(vectors: DataFrame, model: DataFrame, key: str, vec: str) -> DataFrame:
+    """The columns of vectors but vec, key, ll under full-covariance Gaussians (key, mean array, cov array of rows).
+
+    The model, of its own size, is one row beside every vector; a singular covariance gives minus infinity.
+    """
+    book = model.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "mean", "cov"))).alias("book"))
+    kind = model.schema[key].dataType.simpleString()
+
+    @F.pandas_udf(f"array<struct<{key}:{kind},ll:double>>")
+    def score(vec: pd.Series, book: pd.Series) -> pd.Series:
+        out, known = [], None
+        for v, b in zip(vec, book, strict=True):
+            if known is None:  # the same model in every row
+                known = []
+                for g in b:
+                    cov = np.array([list(r) for r in g["cov"]], dtype=float)
+                    sign, size = np.linalg.slogdet(cov)
+                    known.append((g["k"], np.array(g["mean"], dtype=float), np.linalg.inv(cov) if sign > 0 else None, size))
+            x, row = np.asarray(v, dtype=float), []
+            for k, mean, inverse, size in known:
+                d = x - mean
+                row.append({key: k, "ll": float("-inf") if inverse is None else float(-0.5 * (d @ inverse @ d + size + len(d) * np.log(2 * np.pi)))})
+            out.append(row)
+        return pd.Series(out)
+
+    keep = [c for c in vectors.columns if c not in (vec, key)]
+    v = F.transform(vec, lambda x: x.cast("double"))
+    return vectors.select(*keep, v.alias("v")).crossJoin(book).select(*keep, F.inline(score("v", "book")))
+
+
+def matched_components(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
+    """by, a, b, cost: the one-to-one matching of the densities of two mixtures with the least sum of Bhattacharyya distances.
+
+    a and b: by, component, dim, mean, var; up to 16 components a side, the larger side's rest unmatched.
+    """
+    left = a.select(by, F.col("component").alias("a"), "dim", F.col("mean").alias("ma"), F.col("var").alias("va"))
+    right = b.select(by, F.col("component").alias("b"), "dim", F.col("mean").alias("mb"), F.col("var").alias("vb"))
+    d, both = F.col("ma") - F.col("mb"), (F.col("va") + F.col("vb")) / 2
+    costs = left.join(right, [by, "dim"]).groupBy(by, "a", "b").agg(F.sum(d * d / both / 8 + 0.5 * F.log(both / F.sqrt(F.col("va") * F.col("vb")))).alias("cost"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in costs.schema)
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        table = rows.pivot(index="a", columns="b", values="cost")
+        if table.shape[0] > table.shape[1]:
+            table = table.T
+        cost, names = table.to_numpy(), (list(table.index), list(table.columns))
+        if len(names[1]) > 16:
+            raise ValueError("more than 16 components")
+        best = {0: (0.0, ())}  # by the set of columns used, rows in order
+        for r in range(len(names[0])):
+            new = {}
+            for used, (total, picked) in best.items():
+                for c in range(len(names[1])):
+                    if not used >> c & 1:
+                        candidate = (total + cost[r, c], (*picked, c))
+                        if used | 1 << c not in new or candidate < new[used | 1 << c]:
+                            new[used | 1 << c] = candidate
+            best = new
+        _, picked = min(best.values())
+        pairs = [(names[0][r], names[1][c], cost[r, c]) for r, c in enumerate(picked)]
+        if table.index.name == "b":
+            pairs = [(y, x, z) for x, y, z in pairs]
+        return pd.DataFrame([(rows[by].iloc[0], *p) for p in pairs], columns=[by, "a", "b", "cost"])
+
+    return costs.groupBy(by).applyInPandas(match, schema)
+
+
+def monte_carlo_kl(a: DataFrame, b: DataFrame, samples: int = 10_000, seed: int = 7) -> DataFrame:
+    """One row, kl: the mean of ln a(x) - ln b(x) over samples of the mixture a; mixtures are rows (component, weight, mean array, var array)."""
+    def book(m: DataFrame) -> DataFrame:
+        return m.agg(F.array_sort(F.collect_list(F.struct("component", F.col("weight").cast("double").alias("weight"), "mean", "var"))).alias("g"))
+
+    def log_mixture(g: Column) -> Column:
+        each = F.transform(g, lambda c: F.log(c["weight"]) + log_density(F.col("x"), c["mean"], c["var"]))
+        return F.log(F.aggregate(F.transform(each, lambda v: F.exp(v - F.array_max(each))), F.lit(0.0), lambda s, v: s + v)) + F.array_max(each)
+
+    spark, width = a.sparkSession, F.size(F.get("p", F.lit(0))["mean"])
+    drawn = spark.range(samples).select("id", F.rand(seed).alias("u")).crossJoin(book(a).withColumnRenamed("g", "p"))
+    # The component whose share of the cumulated weights holds u.
+    sums = F.transform("p", lambda c, i: F.aggregate(F.slice("p", F.lit(1), i + 1), F.lit(0.0), lambda s, x: s + x["weight"]))
+    at = F.least(F.size(F.filter(sums, lambda s: s < F.col("u"))), F.size("p") - 1)
+    drawn = drawn.withColumn("c", F.get("p", at))
+    noise = drawn.select("id", "p", "c", F.posexplode(F.sequence(F.lit(1), width)).alias("d", "n")).withColumn("z", F.randn(seed + 1))
+    value = F.get("c.mean", F.col("d")) + F.col("z") * F.sqrt(F.get("c.var", F.col("d")))
+    points = noise.select("id", "p", "d", value.alias("v")).groupBy("id").agg(F.first("p").alias("p"), F.array_sort(F.collect_list(F.struct("d", "v"))).alias("vs"))
+    points = points.select("p", F.col("vs.v").alias("x")).crossJoin(book(b).withColumnRenamed("g", "q"))
+    return points.agg(F.avg(log_mixture(F.col("p")) - log_mixture(F.col("q"))).alias("kl"))
+
+
 def tied_variances(sums: DataFrame, tie: str) -> DataFrame:
     """tie, dim, n, mean, var of accumulators (tie, dim, n, sum_x, sum_xx) pooled over each tied set."""
     pooled = sums.groupBy(tie, "dim").agg(F.sum("n").alias("n"), F.sum("sum_x").alias("x"), F.sum("sum_xx").alias("xx"))

@@ -101,3 +101,15 @@ def agreement(left: DataFrame, right: DataFrame, subject: str, context: str, par
         F.col("s").alias(subject), ((F.col("left_only") == 0) & (F.col("right_only") == 0) & (off == 0)).alias("equal"), "common", "left_only", "right_only",
         "left_parts", "right_parts", two(F.col("common")).cast("long").alias("pairs"), off.alias("disagreements"),
     )
+
+
+def compound(terms: list[list[tuple[str, list[str], bool]]]) -> Column:
+    """A question made of others: any of the terms, each all of its parts (column, members, negated). No term: never; an empty term: always."""
+    answer = F.lit(False)
+    for term in terms:
+        holds = F.lit(True)
+        for column, members, negated in term:
+            own = F.coalesce(F.col(column).isin(*members), F.lit(False)) if members else F.lit(False)
+            holds = holds & (~own if negated else own)
+        answer = answer | holds
+    return answer

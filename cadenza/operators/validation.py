@@ -200,3 +200,21 @@ def audio_properties(files: DataFrame) -> DataFrame:
     rates = files.agg(F.countDistinct("rate").alias("rates"))
     problem = F.when(F.col("channels") != 1, "not mono").when(F.col("rates") > 1, "several rates")
     return counted.join(F.broadcast(rates)).select("rate", "channels", "n", problem.alias("problem"))
+
+
+def first_difference(old: DataFrame, new: DataFrame) -> DataFrame:
+    """path, op, value of the first path at which two tables of settings differ; empty where they don't."""
+    return changes(old, new).orderBy("path").limit(1)
+
+
+def project_problems(transcripts: DataFrame, lexicon: DataFrame, phones: DataFrame, audio: DataFrame, key: str, text: str) -> DataFrame:
+    """problem, item, n: words without a pronunciation, phones outside the phone set, utterances without audio and audio without text.
+
+    transcripts: key, text. lexicon: word, phones. phones: phone. audio: key.
+    """
+    tokens = transcripts.select(F.explode(T.words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = tokens.join(lexicon.select("word").distinct(), "word", "left_anti").select(F.lit("unknown word").alias("problem"), F.col("word").alias("item"), "n")
+    odd = unknown_phones(lexicon, phones).select(F.lit("unknown phone").alias("problem"), F.col("phone").alias("item"), "n")
+    ids = with_reason(transcripts, audio, key).filter("reason <> 'ok'")
+    missing = ids.select(F.when(F.col("reason") == "no features", "no audio").otherwise("no transcript").alias("problem"), F.col(key).cast("string").alias("item"), F.lit(1).cast("long").alias("n"))
+    return words.unionByName(odd).unionByName(missing)

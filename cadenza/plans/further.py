@@ -182,6 +182,43 @@ def stress_map(spark, sf_dir):
     return spark.range(1).select(F.explode(T.stress_map(vowels, F.array(*map(F.lit, "012")))).alias("phone", "base"))
 
 
+def _two_halves(spark, sf_dir):
+    dims = G.frames(_t(spark, sf_dir, "embeddings"), ["label", "vec_id"], "embedding")
+    return [G.estimate(dims.filter(F.col("vec_id") % 2 == n), ["label"]) for n in (0, 1)]
+
+
+def distance_summary(spark, sf_dir):
+    out = G.distance_summary(G.paired_distances(*_two_halves(spark, sf_dir), "label"), "bhattacharyya")
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "highest", "lowest", "std")])
+
+
+def most_different_states(spark, sf_dir):
+    return G.most_different(G.paired_distances(*_two_halves(spark, sf_dir), "label"), "label", "mahalanobis", 3).select("label", F.round("mahalanobis", 6).alias("mahalanobis"))
+
+
+def model_comparison(spark, sf_dir):
+    """The vectors against a copy in which some are missing, changed a little, or changed."""
+    a = G.frames(_t(spark, sf_dir, "embeddings"), ["vec_id"], "embedding")
+    i = F.col("vec_id")
+    moved = F.when((i % 5 == 1) & (F.col("dim") == 3), F.col("x") + 0.5).when(i % 5 == 2, F.col("x") * (1 + 1e-7)).otherwise(F.col("x"))
+    b = a.withColumn("x", moved).withColumn("vec_id", F.when(i % 11 == 0, -i - 1).otherwise(i))
+    return G.compare_models(a, b, ["vec_id"]).select("vec_id", "verdict")
+
+
+def first_config_difference(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    last = lambda kind: e.filter(F.col("event_type") == kind).groupBy(F.col("user_id").cast("string").alias("path")).agg(F.max_by((F.col("event_id") % 3).cast("string"), "event_id").alias("value"))
+    return V.first_difference(last("click"), last("view"))
+
+
+def project_problems(spark, sf_dir):
+    """Documents against the lexicon of the benchmark, a phone set that lacks letters, and audio for every third label."""
+    lexicon = _lexicon(spark, sf_dir)
+    phones = lexicon.select(F.explode("phones").alias("phone")).filter("phone NOT IN ('q', 'x')")
+    audio = _t(spark, sf_dir, "labels").select(F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).otherwise(-F.col("doc_id") - 1).alias("doc_id"))
+    return V.project_problems(_t(spark, sf_dir, "documents"), lexicon, phones, audio, "doc_id", "text")
+
+
 CEP = """v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, list_transform(embedding[1:13], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 e AS (SELECT label, max(frame) AS last FROM v GROUP BY label),
 s AS (SELECT v.label, v.frame, d.d, w.v FROM v JOIN e USING (label), (SELECT unnest(range(-4, 5)) AS d) d JOIN v w ON w.label = v.label AND w.frame = least(greatest(v.frame + d.d, 0), e.last)),
@@ -305,4 +342,36 @@ SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN '<s>
         stress_map,
         """SELECT v || m AS phone, v AS base FROM (SELECT unnest(['AA','AE','AH','AO','AW','AY','EH','ER','EY','IH','IY','OW','OY','UH','UW']) AS v), (SELECT unnest(['0', '1', '2']) AS m)""",
     ),
+    "distance_summary": (
+        distance_summary,
+        f"""WITH {DIMS}, m AS (SELECT vec_id % 2 AS h, label, dim, avg(x) AS mean, greatest(var_pop(x), 1e-4) AS var FROM dims GROUP BY ALL),
+d AS (SELECT a.label, sum(pow(a.mean - b.mean, 2) / ((a.var + b.var) / 2) / 8 + 0.5 * ln((a.var + b.var) / 2 / sqrt(a.var * b.var))) AS d FROM m a JOIN m b USING (label, dim) WHERE a.h = 0 AND b.h = 1 GROUP BY a.label)
+SELECT count(*) AS n, round(avg(d), 6) AS mean, round(max(d), 6) AS highest, round(min(d), 6) AS lowest, round(stddev_pop(d), 6) AS std FROM d""",
+    ),
+    "most_different_states": (
+        most_different_states,
+        f"""WITH {DIMS}, m AS (SELECT vec_id % 2 AS h, label, dim, avg(x) AS mean, greatest(var_pop(x), 1e-4) AS var FROM dims GROUP BY ALL)
+SELECT a.label AS label, round(sqrt(sum(pow(a.mean - b.mean, 2) / ((a.var + b.var) / 2))), 6) AS mahalanobis FROM m a JOIN m b USING (label, dim) WHERE a.h = 0 AND b.h = 1 GROUP BY a.label ORDER BY 2 DESC, 1 LIMIT 3""",
+    ),
+    "model_comparison": (
+        model_comparison,
+        """SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'only left' WHEN vec_id % 5 = 1 THEN 'differs' WHEN vec_id % 5 = 2 THEN 'close' ELSE 'equal' END AS verdict FROM embeddings
+UNION ALL SELECT -vec_id - 1, 'only right' FROM embeddings WHERE vec_id % 11 = 0""",
+    ),
+    "first_config_difference": (
+        first_config_difference,
+        """WITH a AS (SELECT CAST(user_id AS VARCHAR) AS path, CAST(arg_max(event_id, event_id) % 3 AS VARCHAR) AS v FROM events WHERE event_type = 'click' GROUP BY user_id),
+b AS (SELECT CAST(user_id AS VARCHAR) AS path, CAST(arg_max(event_id, event_id) % 3 AS VARCHAR) AS v FROM events WHERE event_type = 'view' GROUP BY user_id)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'add' WHEN b.path IS NULL THEN 'remove' ELSE 'replace' END AS op, b.v AS value
+FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.v <> b.v ORDER BY 1 LIMIT 1""",
+    ),
+    "project_problems": (
+        project_problems,
+        f"""WITH {LEX}, t AS (SELECT unnest({WORDS.format('text')}) AS w FROM documents), au AS (SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE -doc_id - 1 END AS doc_id FROM labels),
+p AS (SELECT DISTINCT word, unnest(string_split(word, '')) AS phone FROM lex)
+SELECT 'unknown word' AS problem, w AS item, count(*) AS n FROM t WHERE w NOT IN (SELECT word FROM lex) GROUP BY w
+UNION ALL SELECT 'unknown phone', phone, count(*) FROM p WHERE phone IN ('q', 'x') GROUP BY phone
+UNION ALL SELECT DISTINCT 'no audio', CAST(doc_id AS VARCHAR), 1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM au)
+UNION ALL SELECT 'no transcript', CAST(doc_id AS VARCHAR), 1 FROM au WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
+    ),
 }

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from cadenza.functions import measures, text
-from cadenza.operators import corpus, sequences, validation
+from cadenza.operators import corpus, gaussians, sequences, trees, validation
 from cadenza.sources import parameters
 from pyspark.sql import functions as F
 
@@ -109,3 +109,40 @@ def test_layout_of_edges(spark):
         second = [(at(n + 3, d) - at(n - 1, d)) - (at(n + 1, d) - at(n - 3, d)) for d in range(13)]
         short = [at(n + 2, d) - at(n - 2, d) for d in range(13)]
         assert got[n] == [at(n, d) for d in range(1, 13)] + short[1:] + [at(n, 0), short[0], second[0]] + second[1:]
+
+
+def test_full_covariance_density(spark):
+    cov = np.array([[2.0, 0.5], [0.5, 1.0]])
+    model = spark.createDataFrame([("a", [1.0, 2.0], cov.tolist()), ("flat", [0.0, 0.0], [[1.0, 1.0], [1.0, 1.0]])], "label string, mean array<double>, cov array<array<double>>")
+    got = {(r["id"], r["label"]): r["ll"] for r in gaussians.log_density_full(spark.createDataFrame([(1, [0.5, 0.0])], "id int, vec array<float>"), model, "label", "vec").collect()}
+    d = np.array([-0.5, -2.0])
+    assert got[1, "a"] == pytest.approx(-0.5 * (d @ np.linalg.inv(cov) @ d + np.log(np.linalg.det(cov)) + 2 * np.log(2 * np.pi)))
+    assert got[1, "flat"] == -np.inf
+
+
+def test_components_are_matched(spark):
+    rng = np.random.default_rng(2)
+    means = rng.normal(size=(5, 3))
+    order = rng.permutation(5)
+    schema = "s string, component int, dim int, mean double, var double"
+    make = lambda rows: spark.createDataFrame([("s", i, d, float(rows[i][d]), 1.0) for i in range(len(rows)) for d in range(3)], schema)
+    got = {(r["a"], r["b"]) for r in gaussians.matched_components(make(means), make(means[order] + 0.01), "s").collect()}
+    assert got == {(int(order[n]), n) for n in range(5)}
+    fewer = {(r["a"], r["b"]) for r in gaussians.matched_components(make(means), make(means[order[:2]]), "s").collect()}
+    assert fewer == {(int(order[n]), n) for n in range(2)}
+
+
+def test_monte_carlo_divergence(spark):
+    schema = "component int, weight double, mean array<double>, var array<double>"
+    a = spark.createDataFrame([(0, 1.0, [0.0, 0.0], [1.0, 1.0])], schema)
+    b = spark.createDataFrame([(0, 1.0, [1.0, 0.0], [1.0, 1.0])], schema)
+    assert gaussians.monte_carlo_kl(a, b, 4000).first()["kl"] == pytest.approx(0.5, abs=0.08)
+    two = spark.createDataFrame([(0, 0.25, [0.0, 0.0], [1.0, 1.0]), (1, 0.75, [3.0, 0.0], [1.0, 2.0])], schema)
+    assert gaussians.monte_carlo_kl(two, two, 500).first()["kl"] == 0.0
+
+
+def test_compound_questions(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None)], "l string, r string")
+    ask = trees.compound([[("l", ["a"], False), ("r", ["x"], False)], [("l", ["b"], False), ("r", ["x"], True)], [("r", ["z"], False)]])
+    assert [r["q"] for r in rows.select(ask.alias("q")).collect()] == [True, True, False]
+    assert [r["q"] for r in rows.select(trees.compound([]).alias("q"), trees.compound([[]]).alias("w")).collect()] == [False] * 3
