@@ -16,27 +16,24 @@ from .common import checkpoint
 HUB, HUBS = 64, 2048
 
 
-def _with_least(edges: DataFrame, least: DataFrame, hub: float) -> DataFrame:
-    """edges (u, v) with m of least (u, m, n), n the edges of u. Nodes of more than hub edges don't meet in one task: their minima are broadcast."""
-    hubs = least.filter(F.col("n") > hub).select("u", "m")
-    if hubs.isEmpty():
-        return edges.join(least.select("u", "m"), "u")
-    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
-    return edges.join(F.broadcast(hubs), "u").unionByName(rest)
-
-
 def _large_star(edges: DataFrame, hub: float) -> DataFrame:
-    """Every larger neighbour v of u is moved to the least of u and its neighbours."""
+    """Every larger neighbour v of u is moved to the least of u and its neighbours.
+
+    Nodes u of more than hub edges don't meet in one task: their minima are broadcast.
+    """
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = checkpoint(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")))
-    return _with_least(both.filter(F.col("v") > F.col("u")), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(least.filter(F.col("n") > hub).select("u", "m"))
+    up = both.filter(F.col("v") > F.col("u"))
+    rest = up.join(hubs, "u", "left_anti").join(least.select("u", "m"), "u")
+    return up.join(hubs, "u").unionByName(rest).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame, hub: float) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are moved to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = checkpoint(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
-    moved = _with_least(down, least, hub).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -60,7 +57,7 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         # Each edge counts at both of its nodes, so at most 2 * HUBS nodes are beyond this.
         hub = max(HUB, state[0] / HUBS)
-        links = checkpoint(_small_star(checkpoint(_large_star(links, hub)), hub))
+        links = checkpoint(_small_star(checkpoint(_large_star(links, hub))))
         now = _state(links)
         if now == state:
             break
