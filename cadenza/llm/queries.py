@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, line_dedup, mixing, packing, pii, quality, simhash, topk_search, toxicity
+from . import exact_dedup, hash_search, langid, line_dedup, merkle, mixing, packing, pii, quality, simhash, topk_search, toxicity, turn_repair
 from .common import table
 
 
@@ -51,6 +51,18 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_search.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_quality,
@@ -63,9 +75,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_language_id,
         op9_simhash,
         op10_topk_search,
+        op11_merkle_manifest,
+        op12_conversation_repair,
+        op13_hash_search,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.SQL, "op10_topk_search": topk_search.SQL}
+    return {
+        "op3_exact_dedup": exact_dedup.SQL,
+        "op10_topk_search": topk_search.SQL,
+        "op11_merkle_manifest": merkle.SQL,
+        "op12_conversation_repair": turn_repair.SQL,
+    }
