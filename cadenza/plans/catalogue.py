@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import further, models, sequences, texts, validation
+from . import further, models, sequences, texts, training, validation
 
-ALL = {**models.QUERIES, **sequences.QUERIES, **texts.QUERIES, **validation.QUERIES, **further.QUERIES}
+ALL = {**models.QUERIES, **sequences.QUERIES, **texts.QUERIES, **validation.QUERIES, **further.QUERIES, **training.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
