@@ -30,8 +30,8 @@ PATTERNS = (
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
-#: Any token with a digit, @ or = may turn out to be an identifier.
-CANDIDATE = r"(?<!\S)[^\s0-9@=]*+[0-9@=]\S*+"
+#: Any token with a digit, @ or = may turn out to be an identifier, but not a sign alone.
+CANDIDATE = r"(?<!\S)(?=[^\s\p{L}\p{N}]*+[\p{L}\p{N}])[^\s0-9@=]*+[0-9@=]\S*+"
 #: A name that the token assigns to, with its sign, and opening marks; closing marks.
 ASSIGNED, OPEN, CLOSE = r"^[A-Za-z][A-Za-z0-9_.-]{0,63}+(?:=>|:=|[=:])(?!//)", r"^[\"'`(\[{<]*+", "\"'`)]}>.,;:!?"
 #: Names whose values are secrets (from LEAST_SECRET characters), and public formats of keys: fixed values.
@@ -92,18 +92,20 @@ def occurrences(docs: DataFrame) -> DataFrame:
     split = rows.select("row_no", "doc_id", *found, *gaps)
 
     def items(n: int) -> Column:
-        zipped = F.arrays_zip(F.col(f"m{n}").alias("m"), F.col(f"g{n}").alias("g"), F.slice(f"g{n}", 2, 1 << 30).alias("h"))
-        there = F.filter(zipped, lambda x: x["m"].isNotNull())
-        return F.transform(
-            there,
-            lambda x: F.struct(
-                F.lit(n).alias("kind"),
-                x["g"]["size"].alias("gap"),
-                x["m"].alias("value"),
-                x["g"]["tail"].alias("tail"),
-                x["h"]["head"].alias("head"),
-            ),
-        )
+        """The matches of one pattern with the text around them, other matches of the pattern included: two words before need two of them."""
+        matches, between = F.col(f"m{n}"), F.col(f"g{n}")
+        near = lambda i: F.substring(F.coalesce(F.get(matches, i), F.lit("")), -CONTEXT, CONTEXT)
+        tail = lambda i: F.coalesce(F.get(between, i)["tail"], F.lit(""))
+
+        def item(value: Column, i: Column) -> Column:
+            before = F.concat(tail(i - 2), near(i - 2), tail(i - 1), near(i - 1), tail(i))
+            after = F.concat(F.get(between, i + 1)["head"], F.substring(F.coalesce(F.get(matches, i + 1), F.lit("")), 1, CONTEXT))
+            return F.struct(
+                F.lit(n).alias("kind"), F.get(between, i)["size"].alias("gap"), value.alias("value"),
+                F.substring(before, -CONTEXT, CONTEXT).alias("tail"), F.substring(after, 1, CONTEXT).alias("head"),
+            )
+
+        return F.transform(matches, item)
 
     each = split.select("row_no", "doc_id", F.posexplode_outer(F.concat(*[items(n) for n in range(len(KINDS) + 1)])).alias("pos", "x"))
     each = each.select("row_no", "doc_id", "pos", "x.*")
@@ -127,7 +129,10 @@ def _bare(spans: DataFrame) -> DataFrame:
     sign = F.when(open_, F.regexp_extract("value", ASSIGNED, 0)).otherwise("")
     rest = F.substring("value", F.length("sign") + 1, 1 << 30)
     marks = F.when(open_, F.regexp_extract("rest", OPEN, 0)).otherwise("")
-    value = F.when(open_, F.rtrim(F.substring("rest", F.length("marks") + 1, 1 << 30), F.lit(CLOSE))).otherwise(F.col("value"))
+    inner = F.substring("rest", F.length("marks") + 1, 1 << 30)
+    # A value in quotes ends at the closing one, whatever follows it.
+    inner = F.when(F.col("marks").rlike("[\"'`]$"), F.split_part(inner, F.right("marks", F.lit(1)), F.lit(1))).otherwise(inner)
+    value = F.when(open_, F.rtrim(inner, F.lit(CLOSE))).otherwise(F.col("value"))
     parts = spans.withColumn("sign", sign).withColumn("rest", rest).withColumn("marks", marks).withColumn("value", value)
     start = F.col("start") + F.length("sign") + F.length("marks")
     before = F.when(F.col("l1").isin("=", ":", ":=", "=>"), F.col("l2")).when(F.col("l1").rlike("[=:]$"), F.col("l1"))
