@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,14 +115,19 @@ def corpus_part(rows: DataFrame, pos: str, total: int, part: int, parts: int) ->
 
 
 def ngrams(texts: DataFrame, key: str, text: str, *orders: int) -> DataFrame:
-    """gram, n, gram_order of the word n-grams of the given orders: one scan, one aggregation."""
-    def grams(order: int) -> Column:
+    """gram, n, gram_order of the word n-grams of the given orders: a scan for each order, one aggregation.
+
+    The grams of one order are exploded as they are made; all orders of a text in one array are slower.
+    """
+
+    def grams(order: int) -> DataFrame:
         count = F.size("w") - (order - 1)
-        listed = F.transform(F.sequence(F.lit(1), count), lambda i: F.struct(F.array_join(F.slice("w", i, F.lit(order)), " ").alias("gram"), F.lit(order).alias("gram_order")))
-        return F.when(count > 0, listed).otherwise(F.array().cast("array<struct<gram:string,gram_order:int>>"))
+        listed = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice("w", i, F.lit(order)), " "))
+        one = texts.select(T.words(F.col(text)).alias("w")).filter(count > 0)
+        return one.select(F.explode(listed).alias("gram"), F.lit(order).alias("gram_order"))
 
-    each = texts.select(T.words(F.col(text)).alias("w")).select(F.explode(F.concat(*map(grams, orders))).alias("g"))
-    return each.groupBy("g.gram", "g.gram_order").agg(F.count(F.lit(1)).alias("n")).select("gram", "n", "gram_order")
+    each = reduce(DataFrame.unionByName, map(grams, orders))
+    return each.groupBy("gram", "gram_order").agg(F.count(F.lit(1)).alias("n")).select("gram", "n", "gram_order")
 
 
 def digest_tree(lines: DataFrame, line: str, width: int = 6) -> DataFrame:

@@ -25,30 +25,55 @@ def convergence(passes: DataFrame, order: str, total: str, frames: str, threshol
     return passes.withColumn("delta", delta).withColumn("stop", stop)
 
 
-def align(reference: list[str], hypothesis: list[str]) -> list[str]:
-    """The edit operations C, S, D, I of a minimal alignment; ties: match or substitution, deletion, insertion."""
-    n, m = len(reference), len(hypothesis)
-    cost = np.zeros((n + 1, m + 1), dtype=np.int32)
-    cost[:, 0], cost[0, :] = np.arange(n + 1), np.arange(m + 1)
-    ids = {w: k for k, w in enumerate({*reference, *hypothesis})}
-    hyp = np.array([ids[w] for w in hypothesis], dtype=np.int64)
-    steps = np.arange(m + 1)
-    for i in range(1, n + 1):  # a row at a time; insertions run along it as a running minimum
-        free = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (hyp != ids[reference[i - 1]]))
-        row = np.concatenate([[i], free])
-        cost[i] = np.minimum.accumulate(row - steps) + steps
-    out, i, j = [], n, m
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (reference[i - 1] != hypothesis[j - 1]):
+#: Rows times columns of the table of an alignment that is held at once.
+CELLS = 1 << 22
+
+
+def _last_row(ref: np.ndarray, hyp: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The row of costs behind ref, given the one before it: a row at a time, insertions as a running minimum."""
+    steps = np.arange(len(row))
+    for word in ref:
+        free = np.minimum(row[1:] + 1, row[:-1] + (hyp != word))
+        row = np.minimum.accumulate(np.concatenate([[row[0] + 1], free]) - steps) + steps
+    return row
+
+
+def _operations(ref: np.ndarray, hyp: np.ndarray, row: np.ndarray) -> tuple[list[str], int]:
+    """The operations, last one first, that lead from some column of row to the end of both; and that column.
+
+    A table too large is halved: the row in its middle is made first, the lower half followed back to it.
+    """
+    if len(ref) * len(hyp) > CELLS and len(ref) > 1:
+        half = len(ref) // 2
+        lower, column = _operations(ref[half:], hyp, _last_row(ref[:half], hyp, row))
+        upper, column = _operations(ref[:half], hyp[:column], row[: column + 1])
+        return lower + upper, column
+    cost = [row]
+    for word in ref:
+        cost.append(_last_row(np.array([word]), hyp, cost[-1]))
+    out, i, j = [], len(ref), len(hyp)
+    while i:
+        if j and cost[i][j] == cost[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
             i, j = i - 1, j - 1
-            out.append("C" if reference[i] == hypothesis[j] else "S")
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+            out.append("C" if ref[i] == hyp[j] else "S")
+        elif cost[i][j] == cost[i - 1][j] + 1:
             i -= 1
             out.append("D")
         else:
             j -= 1
             out.append("I")
-    return out[::-1]
+    return out, j
+
+
+def align(reference: list[str], hypothesis: list[str]) -> list[str]:
+    """The edit operations C, S, D, I of a minimal alignment; ties: match or substitution, deletion, insertion.
+
+    Long texts take time in proportion to the product of their lengths, but memory of a few rows and CELLS.
+    """
+    ids: dict[str, int] = {}
+    ref, hyp = (np.array([ids.setdefault(w, len(ids)) for w in x], dtype=np.int64) for x in (reference, hypothesis))
+    out, left = _operations(ref, hyp, np.arange(len(hyp) + 1))
+    return ["I"] * left + out[::-1]
 
 
 def word_counts(pairs: DataFrame, ref: str, hyp: str) -> DataFrame:
@@ -107,10 +132,15 @@ def letter_distance(ref: Column, hyp: Column) -> Column:
 
     There are a million of those; a pair of more distinct words would be an error, not a wrong distance.
     """
-    words = F.array_distinct(F.concat(ref, hyp))
-    unit = lambda w: F.lpad(F.hex(F.array_position(words, w) + 0xFFFF), 8, "0")
-    letters = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, unit), "")), "UTF-32")
-    return F.levenshtein(letters(ref), letters(hyp))
+    # Bound once as a struct, so that no lookup makes the words again.
+    bound = F.array(F.struct(ref.alias("ref"), hyp.alias("hyp"), F.array_distinct(F.concat(ref, hyp)).alias("words")))
+
+    def distance(x: Column) -> Column:
+        unit = lambda w: F.lpad(F.hex(F.array_position(x["words"], w) + 0xFFFF), 8, "0")
+        letters = lambda side: F.decode(F.unhex(F.array_join(F.transform(side, unit), "")), "UTF-32")
+        return F.levenshtein(letters(x["ref"]), letters(x["hyp"]))
+
+    return F.get(F.transform(bound, distance), F.lit(0))
 
 
 def bootstrap(scores: DataFrame, stratum: str, errors: str, words: str, draws: int, seed: int = 7, blocks: int = 32) -> DataFrame:

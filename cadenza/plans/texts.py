@@ -218,6 +218,19 @@ EDGE = "'^[\\pP\\pS\\pZ]+|[\\pP\\pS\\pZ]+$'"
 STRIP = f"regexp_replace({{}}, {EDGE}, '', 'g')"
 TURNS = """c AS (SELECT conv_id, turn, text AS t FROM conversations),
 p AS (SELECT a.conv_id, a.turn, a.t AS ref, b.t AS hyp FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+#: Edit operations of each pair by dynamic programming: a row of (cost, operations) a word; ties: match or substitution, deletion, insertion.
+EDITS = f"""{TURNS}, words AS (
+  SELECT conv_id, turn, {WORDS.format('lower(ref)')} AS r, {WORDS.format('lower(hyp)')} AS h FROM p
+), table_ AS (
+  SELECT conv_id, turn, r, h, 0 AS i, list_transform(range(len(h) + 1), lambda j: {{'c': j, 'o': repeat('I', CAST(j AS INTEGER))}}) AS row FROM words
+  UNION ALL
+  SELECT conv_id, turn, r, h, i + 1, list_reduce(
+    list_prepend([{{'c': CAST(i + 1 AS BIGINT), 'o': repeat('D', CAST(i + 1 AS INTEGER))}}], list_transform(range(1, len(h) + 1), lambda j: [
+      {{'c': row[j].c + CASE WHEN h[j] = r[i + 1] THEN 0 ELSE 1 END, 'o': row[j].o || CASE WHEN h[j] = r[i + 1] THEN 'C' ELSE 'S' END}},
+      {{'c': row[j + 1].c + 1, 'o': row[j + 1].o || 'D'}}])),
+    lambda a, x: list_append(a, CASE WHEN x[1].c <= x[2].c AND x[1].c <= a[-1].c + 1 THEN x[1] WHEN x[2].c <= a[-1].c + 1 THEN x[2] ELSE {{'c': a[-1].c + 1, 'o': a[-1].o || 'I'}} END))
+  FROM table_ WHERE i < len(r)
+), edits AS (SELECT conv_id, turn, r, h, row[-1].c AS errors, row[-1].o AS ops FROM table_ WHERE i = len(r))"""
 TREE = """f6 AS (SELECT left(md5(line), 6) AS b, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM f0 GROUP BY 1),
 f4 AS (SELECT left(b, 4) AS b, sha256(string_agg(h, chr(10) ORDER BY b, h)) AS h FROM f6 GROUP BY 1),
 f2 AS (SELECT left(b, 2) AS b, sha256(string_agg(h, chr(10) ORDER BY b, h)) AS h FROM f4 GROUP BY 1)
@@ -317,9 +330,11 @@ SELECT gram, count(*) AS n, gram_order FROM g GROUP BY gram, gram_order""",
         """WITH b AS (SELECT item_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS t FROM benchmark)
 SELECT a.item_id, round(levenshtein(a.t, b.t) / length(a.t), 6) AS cer FROM b a JOIN b ON b.item_id = a.item_id + 1""",
     ),
-    # DuckDB's levenshtein counts bytes, so whole turns have no SQL: the tests hold them against brute force.
-    "wer_total": (wer_total, None),
-    "wer_breakdown": (wer_breakdown, None),
+    "wer_total": (wer_total, f"WITH RECURSIVE {EDITS} SELECT conv_id, turn, CAST(errors AS INTEGER) AS errors FROM edits"),
+    "wer_breakdown": (
+        wer_breakdown,
+        f"""WITH RECURSIVE {EDITS} SELECT conv_id, turn, {', '.join(f"CAST(CASE WHEN len(r) = 0 THEN 0 ELSE length(ops) - length(replace(ops, '{o}', '')) END AS INTEGER) AS {n}" for o, n in zip("CSDI", V.COUNTS, strict=True))} FROM edits""",
+    ),
     "wer_check": (wer_check, f"WITH {TURNS} SELECT CAST(0 AS BIGINT) AS differ, count(*) AS n FROM p"),
     "wer_aggregate": (
         wer_aggregate,
@@ -327,7 +342,14 @@ SELECT a.item_id, round(levenshtein(a.t, b.t) / length(a.t), 6) AS cer FROM b a
 SELECT *, round((subs + dels + ins) / (hits + subs + dels), 6) AS wer, round((subs + dels + ins) / (hits + subs + dels + ins), 6) AS mer,
 round(1 - (hits / (hits + subs + dels)) * (hits / (hits + subs + ins)), 6) AS wil, round((hits / (hits + subs + dels)) * (hits / (hits + subs + ins)), 6) AS wip FROM s""",
     ),
-    "alignment_chunks": (alignment_chunks, None),
+    "alignment_chunks": (
+        alignment_chunks,
+        f"""WITH RECURSIVE {EDITS}, each AS (SELECT conv_id * 1000 + turn AS key, ops, unnest(range(1, length(ops) + 1)) AS n FROM edits),
+o AS (SELECT key, n, substr(ops, CAST(n AS INTEGER), 1) AS kind, CASE WHEN substr(ops, CAST(n AS INTEGER), 1) = substr(ops, CAST(n AS INTEGER) - 1, 1) THEN 0 ELSE 1 END AS new FROM each),
+g AS (SELECT key, n, kind, sum(new) OVER (PARTITION BY key ORDER BY n) AS run, count(*) FILTER (kind <> 'I') OVER (PARTITION BY key ORDER BY n) AS i, count(*) FILTER (kind <> 'D') OVER (PARTITION BY key ORDER BY n) AS j FROM o)
+SELECT key, CAST(run - 1 AS INTEGER) AS seq, kind, CAST(max(i) - CASE WHEN kind = 'I' THEN 0 ELSE count(*) END AS INTEGER) AS ref_start, CAST(max(i) AS INTEGER) AS ref_end,
+CAST(max(j) - CASE WHEN kind = 'D' THEN 0 ELSE count(*) END AS INTEGER) AS hyp_start, CAST(max(j) AS INTEGER) AS hyp_end FROM g GROUP BY key, run, kind""",
+    ),
     "bootstrap_strata": (bootstrap_strata, None),
     "hash_identity": (
         hash_identity,
