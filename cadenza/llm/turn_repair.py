@@ -146,16 +146,17 @@ def faulty(turns: DataFrame) -> DataFrame:
     return slim.join(first, "at", "left").select("conv", "turn", "at", "initial", fault.alias("fault"))
 
 
-def _each(frame: DataFrame, names: list[str], work, schema: str) -> DataFrame:
-    """frame through work, one row at a time inside batches; names: the columns that work takes."""
+def _each(frame: DataFrame, keys: list[str], names: list[str], work, schema: str) -> DataFrame:
+    """The keys (texts and longs) of frame and what work makes of the columns names, row by row inside batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [work(*row) for row in zip(*[batch[n] for n in names], strict=True)]
-            yield pd.concat([batch[["conv", "part"]].reset_index(drop=True), pd.DataFrame(got, columns=fields, dtype=object)], axis=1)
+            yield pd.DataFrame({k: batch[k].to_numpy() for k in keys} | {f: [x[n] for x in got] for n, f in enumerate(fields)})
 
     fields = [x.strip().split(" ")[0] for x in schema.split(";")]
-    return frame.select("conv", "part", *names).mapInPandas(run, f"conv string, part long, {schema.replace(';', ',')}")
+    kept = "".join(f"{k} {frame.schema[k].dataType.simpleString()}, " for k in keys)
+    return frame.select(*keys, *names).mapInPandas(run, kept + schema.replace(";", ","))
 
 
 def _turns(rows) -> list[tuple[str, int]]:
@@ -170,6 +171,28 @@ def _matrix(rows) -> tuple:
     return [columns[to][g] for g in STATES for to in STATES], illegal, turns[0][0], turns[-1][0]
 
 
+def _suffixes(parts) -> tuple:
+    """The costs behind each part of one conversation, from its last part on, with the illegal pairs that end in it; the cost of all."""
+    end, out = END, []
+    for x in reversed(parts):
+        out.append(end)
+        end = inserted([min(x["costs"][g * len(STATES) + to] + end[to] for to in STATES) for g in STATES])
+    before = [None, *(x["tail"] for x in parts[:-1])]
+    pairs = [x["illegal"] + (b is not None and b + x["head"] not in ("su", "ua", "au")) for x, b in zip(parts, before, strict=True)]
+    made = zip(parts, pairs, reversed(out), strict=True)
+    ends = [{"part": int(x["part"]), "illegal": int(n), "end": e, "last": x is parts[-1]} for x, n, e in made]
+    return ends, end[0]
+
+
+def _entries(parts) -> tuple:
+    """The state in which each part of one conversation is entered."""
+    state, out = 0, []
+    for x in parts:
+        out.append({"part": int(x["part"]), "entry": state})
+        state = int(x["exits"][state])
+    return (out,)
+
+
 def _walks(rows, end, last) -> tuple:
     """Labels and last state for each state in which the part may be entered."""
     found = [walk(_turns(rows), list(end), g, last) for g in STATES]
@@ -199,40 +222,24 @@ def repair(rows: DataFrame, part_bits: int = PART_BITS) -> DataFrame:
 
     listed = F.array_sort(F.collect_list(F.struct("at", "initial", "fault")))
     parts = in_small_batches(checkpoint(marked.groupBy("conv", F.shiftright("at", part_bits).alias("part")).agg(listed.alias("rows"))))
-    matrices = _each(parts, ["rows"], _matrix, "costs array<long>; illegal long; head string; tail string")
-
-    def suffixes(found: pd.DataFrame) -> pd.DataFrame:
-        """The costs behind each part of one conversation, from its last part on."""
-        found = found.sort_values("part")
-        end, out = END, []
-        for costs in reversed(found["costs"].tolist()):
-            out.append(end)
-            end = inserted([min(costs[g * len(STATES) + to] + end[to] for to in STATES) for g in STATES])
-        heads, tails = found["head"].tolist(), found["tail"].tolist()
-        between = [int(a + b not in ("su", "ua", "au")) for a, b in zip(tails, heads[1:], strict=False)]
-        known = {"conv": found["conv"], "part": found["part"], "illegal": found["illegal"] + [0, *between]}
-        return pd.DataFrame(known | {"end": out[::-1], "last": [False] * (len(out) - 1) + [True], "cost": end[0]})
-
-    ends = checkpoint(matrices.groupBy("conv").applyInPandas(suffixes, "conv string, part long, illegal long, end array<long>, last boolean, cost long"))
+    matrices = _each(parts, ["conv", "part"], ["rows"], _matrix, "costs array<long>; illegal long; head string; tail string")
+
+    # A conversation's parts become one short row each time: some numbers for a part.
+    of_conv = lambda frame, *names: frame.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("part", *names))).alias("parts"))
+    ends = _each(of_conv(matrices, "costs", "illegal", "head", "tail"), ["conv"], ["parts"], _suffixes, "ends array<struct<part:bigint,illegal:bigint,end:array<bigint>,last:boolean>>; cost long")
+    ends = checkpoint(ends)
     # Both sides of the joins by part have one row for each.
-    open_ = parts.join(ends.select("conv", "part", "end", "last"), ["conv", "part"])
-    walks = checkpoint(_each(open_, ["rows", "end", "last"], _walks, "labels array<string>; exits array<int>"))
-
-    def entries(found: pd.DataFrame) -> pd.DataFrame:
-        """The state in which each part of one conversation is entered."""
-        found, state, out = found.sort_values("part"), 0, []
-        for exits in found["exits"]:
-            out.append(state)
-            state = int(exits[state])
-        return pd.DataFrame({"conv": found["conv"], "part": found["part"], "entry": out})
-
-    chosen = walks.select("conv", "part", "exits").groupBy("conv").applyInPandas(entries, "conv string, part long, entry int")
+    open_ = parts.join(ends.select("conv", F.explode("ends").alias("e")).select("conv", "e.*").drop("illegal"), ["conv", "part"])
+    walks = checkpoint(_each(open_, ["conv", "part"], ["rows", "end", "last"], _walks, "labels array<string>; exits array<int>"))
+    chosen = _each(of_conv(walks, "exits"), ["conv"], ["parts"], _entries, "entries array<struct<part:bigint,entry:int>>")
+    chosen = chosen.select("conv", F.explode("entries").alias("e")).select("conv", "e.*")
     whole = parts.join(chosen, ["conv", "part"]).join(walks.select("conv", "part", "labels"), ["conv", "part"])
-    edited = checkpoint(_each(whole, ["rows", "entry", "labels"], _edits, f"labels string; edits array<{EDIT}>"))
+    edited = checkpoint(_each(whole, ["conv", "part"], ["rows", "entry", "labels"], _edits, f"labels string; edits array<{EDIT}>"))
 
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("part", "labels"))), lambda x: x["labels"])
     audits = edited.groupBy("conv").agg(F.array_join(pieces, "").alias("audit"))
-    costs = ends.groupBy("conv").agg(F.sum("illegal").alias("illegal"), F.max("cost").alias("cost"))
+    illegal = F.aggregate("ends", F.lit(0).cast("long"), lambda n, e: n + e["illegal"])
+    costs = ends.select("conv", illegal.alias("illegal"), "cost")
 
     out = rows.select("conv_id", _conv()).distinct()
     for right in (sums, costs, audits, _digests(turns, edited)):
