@@ -142,21 +142,29 @@ def normalise_line(line: Column) -> Column:
     return F.struct(F.when(marked, built).otherwise(bare).alias("line"), F.coalesce(marked, F.lit(False)).alias("changed"))
 
 
+def csv_fields(line: Column) -> Column:
+    """The fields of a line of comma-separated values: quotes hold commas and doubled quotes; what follows a closing quote belongs to the field."""
+    quoted = r"\"(?:[^\"]|\"\")*+"
+    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(rf"(?s),({quoted}(?:\"[^,]*+|$)|[^,]*+)"), F.lit(1))
+    inner = lambda f: F.regexp_replace(F.regexp_extract(f, rf"(?s)^({quoted})", 1).substr(F.lit(2), F.length(f)), '""', '"')
+    rest = lambda f: F.regexp_extract(f, rf"(?s)^{quoted}\"(.*)$", 1)
+    return F.transform(fields, lambda f: F.when(f.startswith('"'), F.concat(inner(f), rest(f))).otherwise(f))
+
+
 def to_sphinx(line: Column, form: Column) -> Column:
     """A transcript line of a form (sphinx, tsv, csv) as <s> text </s> (id); null for lines that hold none.
 
-    csv: the first field is the id, the rest the text; fields may be quoted.
+    csv: the first field is the id, all others, joined by commas again, the text; fields may be quoted.
     """
     bare = strip(line)
-    tab, comma = F.split(bare, "\t", 2), F.from_csv(line, F.lit("utt_id string, text string"), {"quote": '"', "escape": '"'})
+    tab, fields = F.split(bare, "\t", 2), csv_fields(line)
     built = lambda i, t: F.concat(F.lit("<s> "), strip(t), F.lit(" </s> ("), strip(i), F.lit(")"))
-    unquoted = F.when(line.contains('"'), comma["text"]).otherwise(F.get(F.split(line, ",", 2), F.lit(1)))
-    name = F.when(line.contains('"'), comma["utt_id"]).otherwise(F.get(F.split(line, ",", 2), F.lit(0)))
+    name, text = F.get(fields, F.lit(0)), F.array_join(F.slice(fields, 2, 1 << 30), ",")
     there = (bare != "") & ~bare.startswith("#")
     return (
         F.when((form == "sphinx") & there & bare.rlike(r"^<s>\s+.*\s+</s>\s+\([^)]+\)"), bare)
         .when((form == "tsv") & there & (F.size(tab) == 2), built(F.get(tab, F.lit(0)), F.get(tab, F.lit(1))))
-        .when((form == "csv") & (strip(name) != "") & (strip(unquoted) != ""), built(name, unquoted))
+        .when((form == "csv") & (strip(name) != "") & (strip(text) != ""), built(name, text))
     )
 
 

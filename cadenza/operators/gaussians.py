@@ -7,7 +7,7 @@ model, not of the frames.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -317,63 +317,109 @@ def log_density_full(vectors: DataFrame, model: DataFrame, key: str, vec: str) -
     return vectors.select(*keep, v.alias("v")).crossJoin(book).select(*keep, F.inline(score("v", "book")))
 
 
-def matched_components(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """The column of each row (rows at most columns) in the one-to-one matching of least sum.
+
+    Rows enter one by one; each is placed along the cheapest chain of rows that give way, found by growing the
+    reached columns with reduced costs (dual prices keep those of matched pairs at zero). Cubic time.
+    """
+    rows, columns = cost.shape
+    price_row, price_column = np.zeros(rows), np.zeros(columns)
+    owner = np.full(columns, -1)
+    for new in range(rows):
+        least, via = np.full(columns, np.inf), np.full(columns, -1)
+        done, row, end = np.zeros(columns, dtype=bool), new, -1
+        reached, base = [(new, -1)], 0.0
+        while end < 0:
+            way = base + cost[row] - price_row[row] - price_column
+            better = ~done & (way < least)
+            least[better], via[better] = way[better], row
+            column = int(np.where(done, np.inf, least).argmin())
+            base, done[column] = least[column], True
+            if owner[column] < 0:
+                end = column
+            else:
+                row = owner[column]
+                reached.append((row, column))
+        for r, c in reached:
+            price_row[r] += base - (least[c] if c >= 0 else 0.0)
+        inside = done & (least < base)
+        price_column[inside] -= base - least[inside]
+        while end >= 0:  # hand the columns over along the chain
+            r = int(via[end])
+            at = np.flatnonzero(owner == r)
+            owner[end] = r
+            end = int(at[0]) if r != new else -1
+    out = np.empty(rows, dtype=int)
+    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    return out
+
+
+def matched_components(a: DataFrame, b: DataFrame, by: str, floor: float = 1e-6) -> DataFrame:
     """by, a, b, cost: the one-to-one matching of the densities of two mixtures with the least sum of Bhattacharyya distances.
 
-    a and b: by, component, dim, mean, var; up to 16 components a side, the larger side's rest unmatched.
+    a and b: by, component, dim, mean, var (not below floor); the larger side's rest stays unmatched. A group's
+    table has one number for each pair of components.
     """
-    left = a.select(by, F.col("component").alias("a"), "dim", F.col("mean").alias("ma"), F.col("var").alias("va"))
-    right = b.select(by, F.col("component").alias("b"), "dim", F.col("mean").alias("mb"), F.col("var").alias("vb"))
+    at_least = lambda c: F.greatest(F.col(c), F.lit(floor))
+    left = a.select(by, F.col("component").alias("a"), "dim", F.col("mean").alias("ma"), at_least("var").alias("va"))
+    right = b.select(by, F.col("component").alias("b"), "dim", F.col("mean").alias("mb"), at_least("var").alias("vb"))
     d, both = F.col("ma") - F.col("mb"), (F.col("va") + F.col("vb")) / 2
     costs = left.join(right, [by, "dim"]).groupBy(by, "a", "b").agg(F.sum(d * d / both / 8 + 0.5 * F.log(both / F.sqrt(F.col("va") * F.col("vb")))).alias("cost"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in costs.schema)
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows.pivot(index="a", columns="b", values="cost")
-        if table.shape[0] > table.shape[1]:
-            table = table.T
-        cost, names = table.to_numpy(), (list(table.index), list(table.columns))
-        if len(names[1]) > 16:
-            raise ValueError("more than 16 components")
-        best = {0: (0.0, ())}  # by the set of columns used, rows in order
-        for r in range(len(names[0])):
-            new = {}
-            for used, (total, picked) in best.items():
-                for c in range(len(names[1])):
-                    if not used >> c & 1:
-                        candidate = (total + cost[r, c], (*picked, c))
-                        if used | 1 << c not in new or candidate < new[used | 1 << c]:
-                            new[used | 1 << c] = candidate
-            best = new
-        _, picked = min(best.values())
-        pairs = [(names[0][r], names[1][c], cost[r, c]) for r, c in enumerate(picked)]
-        if table.index.name == "b":
-            pairs = [(y, x, z) for x, y, z in pairs]
-        return pd.DataFrame([(rows[by].iloc[0], *p) for p in pairs], columns=[by, "a", "b", "cost"])
+        table = rows.pivot(index="a", columns="b", values="cost").sort_index().sort_index(axis=1)
+        turned = table.shape[0] > table.shape[1]
+        cost = table.to_numpy().T if turned else table.to_numpy()
+        picked = assignment(cost)
+        pairs = [(c, r) if turned else (r, c) for r, c in enumerate(picked)]
+        return pd.DataFrame([(rows[by].iloc[0], table.index[x], table.columns[y], table.iat[x, y]) for x, y in pairs], columns=[by, "a", "b", "cost"])
 
     return costs.groupBy(by).applyInPandas(match, schema)
 
 
-def monte_carlo_kl(a: DataFrame, b: DataFrame, samples: int = 10_000, seed: int = 7) -> DataFrame:
-    """One row, kl: the mean of ln a(x) - ln b(x) over samples of the mixture a; mixtures are rows (component, weight, mean array, var array)."""
-    def book(m: DataFrame) -> DataFrame:
-        return m.agg(F.array_sort(F.collect_list(F.struct("component", F.col("weight").cast("double").alias("weight"), "mean", "var"))).alias("g"))
-
-    def log_mixture(g: Column) -> Column:
-        each = F.transform(g, lambda c: F.log(c["weight"]) + log_density(F.col("x"), c["mean"], c["var"]))
-        return F.log(F.aggregate(F.transform(each, lambda v: F.exp(v - F.array_max(each))), F.lit(0.0), lambda s, v: s + v)) + F.array_max(each)
-
-    spark, width = a.sparkSession, F.size(F.get("p", F.lit(0))["mean"])
-    drawn = spark.range(samples).select("id", F.rand(seed).alias("u")).crossJoin(book(a).withColumnRenamed("g", "p"))
-    # The component whose share of the cumulated weights holds u.
-    sums = F.transform("p", lambda c, i: F.aggregate(F.slice("p", F.lit(1), i + 1), F.lit(0.0), lambda s, x: s + x["weight"]))
-    at = F.least(F.size(F.filter(sums, lambda s: s < F.col("u"))), F.size("p") - 1)
-    drawn = drawn.withColumn("c", F.get("p", at))
-    noise = drawn.select("id", "p", "c", F.posexplode(F.sequence(F.lit(1), width)).alias("d", "n")).withColumn("z", F.randn(seed + 1))
-    value = F.get("c.mean", F.col("d")) + F.col("z") * F.sqrt(F.get("c.var", F.col("d")))
-    points = noise.select("id", "p", "d", value.alias("v")).groupBy("id").agg(F.first("p").alias("p"), F.array_sort(F.collect_list(F.struct("d", "v"))).alias("vs"))
-    points = points.select("p", F.col("vs.v").alias("x")).crossJoin(book(b).withColumnRenamed("g", "q"))
-    return points.agg(F.avg(log_mixture(F.col("p")) - log_mixture(F.col("q"))).alias("kl"))
+def matched_summary(matched: DataFrame, by: str) -> DataFrame:
+    """by, mean_distance, max_distance, min_distance, n of the matched densities."""
+    return matched.groupBy(by).agg(F.avg("cost").alias("mean_distance"), F.max("cost").alias("max_distance"), F.min("cost").alias("min_distance"), F.count(F.lit(1)).alias("n"))
+
+
+def monte_carlo_kl(a: DataFrame, b: DataFrame, samples: int = 10_000, seed: int = 7, floor: float = 1e-6, block: int = 1024) -> DataFrame:
+    """One row, kl: the mean of ln a(x) - ln b(x) over samples of the mixture a; mixtures are rows (component, weight, mean array, var array).
+
+    Densities of weight 0 take no part, and variances count as floor at least in the logarithms. Samples are
+    drawn in blocks, each with a generator of its own, so they are the same however the blocks are dealt.
+    """
+
+    def book(m: DataFrame, name: str) -> DataFrame:
+        each = F.struct("component", F.col("weight").cast("double").alias("weight"), F.transform("mean", lambda x: x.cast("double")).alias("mean"), F.transform("var", lambda x: x.cast("double")).alias("var"))
+        return m.agg(F.array_sort(F.collect_list(each)).alias(name))
+
+    def parts(g) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        weight = np.array([c["weight"] for c in g])
+        mean, var = (np.array([list(c[n]) for c in g]) for n in ("mean", "var"))
+        return weight[weight > 0], mean[weight > 0], var[weight > 0]
+
+    def log_mixture(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+        total = np.full(len(x), -np.inf)
+        for w, m, v in zip(weight, mean, np.maximum(var, floor), strict=True):
+            total = np.logaddexp(total, np.log(w) - 0.5 * (np.log(2 * np.pi * v).sum() + ((x - m) ** 2 / v).sum(axis=1)))
+        return total
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for n, p, q in zip(batch["id"], batch["p"], batch["q"], strict=True):
+                (weight, mean, var), other = parts(p), parts(q)
+                rng = np.random.default_rng([seed, n])
+                count = min(block, samples - n * block)
+                picked = rng.choice(len(weight), size=count, p=weight / weight.sum())
+                x = mean[picked] + rng.standard_normal((count, mean.shape[1])) * np.sqrt(var[picked])
+                out.append(float((log_mixture(x, weight, mean, var) - log_mixture(x, *other)).sum()))
+            yield pd.DataFrame({"s": out})
+
+    blocks = a.sparkSession.range(-(-samples // block)).crossJoin(book(a, "p")).crossJoin(book(b, "q"))
+    return blocks.mapInPandas(draw, "s double").agg((F.sum("s") / samples).alias("kl"))
 
 
 def tied_variances(sums: DataFrame, tie: str) -> DataFrame:

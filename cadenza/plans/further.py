@@ -171,6 +171,25 @@ def converted_lines(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.to_sphinx(line, kind).alias("line"))
 
 
+def converted_csv(spark, sf_dir):
+    """Texts as quoted CSV lines of several fields, converted to the sphinx form."""
+    text, number = F.regexp_replace("text", r"\s+", " "), F.col("doc_id").cast("string")
+    field = F.concat(F.lit('"'), F.regexp_replace(text, '"', '""'), F.lit('"'))
+    more = F.when(F.col("doc_id") % 3 == 0, F.concat(field, F.lit(',b,"c, ""d""" e'))).otherwise(field)
+    return _t(spark, sf_dir, "documents").select("doc_id", T.to_sphinx(F.concat(F.lit('"u'), number, F.lit('",'), more), F.lit("csv")).alias("line"))
+
+
+def matched_densities(spark, sf_dir):
+    """Each label's vectors as two mixtures, of three parts and of four by vec_id; the parts are matched."""
+    e = _t(spark, sf_dir, "embeddings")
+
+    def parts(n):
+        dims = G.frames(e.select("label", (F.col("vec_id") % n).alias("component"), "embedding"), ["label", "component"], "embedding")
+        return G.estimate(dims, ["label", "component"]).select("label", "component", "dim", "mean", "var")
+
+    return G.matched_components(parts(3), parts(4), "label").withColumn("cost", F.round("cost", 5))
+
+
 def reversed_phone_map(spark, sf_dir):
     """The lexicon, word to letters in the order of words, turned around: every letter's last word."""
     mapping = _lexicon(spark, sf_dir).select(F.col("word").alias("pos"), F.col("word").alias("source"), F.concat_ws(" ", "phones").alias("target"))
@@ -328,6 +347,21 @@ a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\s+''|''\s+', ' ', 'g'),
         decoder_transcripts,
         r"""WITH t AS (SELECT doc_id, regexp_replace(text, '[\s()]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'u' || doc_id END AS utt_id, CASE doc_id % 3 WHEN 0 THEN '<s> ' || t || ' </s>' WHEN 1 THEN trim('a (b) ' || t) END AS text FROM t""",
+    ),
+    "converted_csv": (
+        converted_csv,
+        """WITH d AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM documents), l AS (SELECT doc_id, trim(CASE WHEN doc_id % 3 = 0 THEN t || ',b,c, "d" e' ELSE t END) AS t FROM d)
+SELECT doc_id, CASE WHEN t <> '' THEN '<s> ' || t || ' </s> (u' || doc_id || ')' END AS line FROM l""",
+    ),
+    "matched_densities": (
+        matched_densities,
+        f"""WITH e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings),
+a AS (SELECT label, vec_id % 3 AS c, dim, avg(x) AS m, greatest(var_pop(x), {G.FLOOR}) AS v FROM e GROUP BY ALL),
+b AS (SELECT label, vec_id % 4 AS c, dim, avg(x) AS m, greatest(var_pop(x), {G.FLOOR}) AS v FROM e GROUP BY ALL),
+d AS (SELECT label, a.c AS a, b.c AS b, sum((a.m - b.m) ** 2 / ((a.v + b.v) / 2) / 8 + 0.5 * ln((a.v + b.v) / 2 / sqrt(a.v * b.v))) AS cost FROM a JOIN b USING (label, dim) GROUP BY ALL),
+w AS (SELECT x.label, x.b AS b0, y.b AS b1, z.b AS b2 FROM d x JOIN d y ON y.label = x.label AND y.a = 1 AND y.b <> x.b JOIN d z ON z.label = x.label AND z.a = 2 AND z.b NOT IN (x.b, y.b)
+  WHERE x.a = 0 QUALIFY row_number() OVER (PARTITION BY x.label ORDER BY x.cost + y.cost + z.cost) = 1)
+SELECT label, a, b, round(cost, 5) AS cost FROM d JOIN w USING (label) WHERE b = CASE a WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END""",
     ),
     "converted_lines": (
         converted_lines,

@@ -1,5 +1,7 @@
 """Measures, layouts, parameter files, text conversions and checks on small cases."""
 
+import itertools
+
 import numpy as np
 import pytest
 from cadenza.functions import measures, text
@@ -71,6 +73,7 @@ def test_line_conversions(spark):
     cases = [
         (" u1 \t two\twords ", "tsv", "<s> two\twords </s> (u1)"), ("no tab", "tsv", None), ("# u\tx", "tsv", None),
         ("u2,one, two", "csv", "<s> one, two </s> (u2)"), ('u3,"say ""hi"", now"', "csv", '<s> say "hi", now </s> (u3)'), (",x", "csv", None), ("u,", "csv", None),
+        ('u3,"a",b', "csv", "<s> a,b </s> (u3)"), ('u5,"x, y",z,w', "csv", "<s> x, y,z,w </s> (u5)"), ('"u,6","a"b"c",', "csv", '<s> ab"c", </s> (u,6)'), ('u7,,"open, to the end', "csv", "<s> ,open, to the end </s> (u7)"),
         ("<s> a </s> (u4)", "sphinx", "<s> a </s> (u4)"), ("a (u4)", "sphinx", None),
     ]
     rows = spark.createDataFrame(cases, "l string, k string, want string").select("want", text.to_sphinx(F.col("l"), F.col("k")).alias("got")).collect()
@@ -132,6 +135,23 @@ def test_components_are_matched(spark):
     assert fewer == {(int(order[n]), n) for n in range(2)}
 
 
+def test_assignment_against_all_permutations(spark):
+    rng = np.random.default_rng(3)
+    for n, m in [(1, 1), (2, 5), (4, 4), (5, 6), (6, 6)] * 4:
+        cost = rng.integers(0, 6, size=(n, m)).astype(float) if n % 2 else rng.random((n, m))
+        got = gaussians.assignment(cost)
+        assert len(set(got.tolist())) == n
+        best = min(sum(cost[r, c] for r, c in enumerate(p)) for p in itertools.permutations(range(m), n))
+        assert cost[np.arange(n), got].sum() == pytest.approx(best)
+    many = rng.random((40, 40))
+    assert many[np.arange(40), gaussians.assignment(many)].sum() < np.trace(many)
+    schema = "s string, component int, dim int, mean double, var double"
+    make = lambda order: spark.createDataFrame([("s", i, 0, float(x), 0.0) for i, x in enumerate(order)], schema)
+    matched = gaussians.matched_components(make(range(20)), make(reversed(range(20))), "s")  # more than 16, no variance
+    assert {(r["a"], r["b"]) for r in matched.collect()} == {(n, 19 - n) for n in range(20)}
+    assert tuple(gaussians.matched_summary(matched, "s").first())[1:] == (0.0, 0.0, 0.0, 20)
+
+
 def test_monte_carlo_divergence(spark):
     schema = "component int, weight double, mean array<double>, var array<double>"
     a = spark.createDataFrame([(0, 1.0, [0.0, 0.0], [1.0, 1.0])], schema)
@@ -139,6 +159,12 @@ def test_monte_carlo_divergence(spark):
     assert gaussians.monte_carlo_kl(a, b, 4000).first()["kl"] == pytest.approx(0.5, abs=0.08)
     two = spark.createDataFrame([(0, 0.25, [0.0, 0.0], [1.0, 1.0]), (1, 0.75, [3.0, 0.0], [1.0, 2.0])], schema)
     assert gaussians.monte_carlo_kl(two, two, 500).first()["kl"] == 0.0
+    # A density of weight 0 takes no part; a variance of 0 counts as the floor in the logarithm.
+    zero = spark.createDataFrame([(0, 1.0, [0.0, 0.0], [1.0, 1.0]), (1, 0.0, [9.0, 9.0], [0.0, 1.0])], schema)
+    assert gaussians.monte_carlo_kl(zero, a, 2000).first()["kl"] == 0.0
+    point = spark.createDataFrame([(0, 1.0, [2.0, 0.0], [0.0, 0.0])], schema)
+    exact = -np.log(2 * np.pi * 1e-6) - (-np.log(2 * np.pi) - 2.0)
+    assert gaussians.monte_carlo_kl(point, a, 100).first()["kl"] == pytest.approx(exact)
 
 
 def test_compound_questions(spark):
