@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +40,9 @@ FAR = 1 << 60
 #: Faults by number; 0 is none.
 BLANK, DUPLICATE, CUT = 1, 2, 3
 
+#: Parts of at most SHORT turns are alike so often that each task keeps what it found for KNOWN of them.
+SHORT, KNOWN = 16, 1 << 16
+
 #: How to rewrite one turn: roles inserted before it, whether it stays, its new role if any, roles inserted after it.
 EDIT = "struct<at:bigint,before:array<string>,kept:boolean,role:string,after:array<string>>"
 
@@ -67,7 +71,7 @@ def consumed(costs: list[int], initial: str, fault: int) -> list[int]:
     return [min(cost + costs[to] for _, cost, to in arcs(g, initial, fault)) for g in STATES]
 
 
-def behind(turns: list, end: list[int]) -> list[list[int]]:
+def behind(turns, end: list[int]) -> list[list[int]]:
     """Least costs before each turn and at the end, where they are end."""
     out = [end]
     for initial, fault in reversed(turns):
@@ -79,7 +83,7 @@ def behind(turns: list, end: list[int]) -> list[list[int]]:
 END = inserted([0 if g in FINAL else FAR for g in STATES])
 
 
-def walk(turns: list, end: list[int], state: int, last: bool) -> tuple[str, int]:
+def walk(turns, end: list[int], state: int, last: bool) -> tuple[str, int]:
     """The least label string of the cheapest paths from state over turns, and the state they end in.
 
     What may be inserted behind the turns belongs to the next part, unless this is the last one.
@@ -163,14 +167,26 @@ def _turns(rows) -> list[tuple[str, int]]:
     return [(r["initial"], r["fault"]) for r in rows]
 
 
-def _matrix(rows) -> tuple:
-    """Least costs of the part from each state to each, row by row, and the illegal pairs inside it."""
-    turns = _turns(rows)
+@lru_cache(KNOWN)
+def _matrix_of(turns: tuple) -> tuple:
+    """Least costs of the turns from each state to each, row by row, and the illegal pairs inside them."""
     columns = [behind(turns, [0 if g == to else FAR for g in STATES])[0] for to in STATES]
     illegal = sum(a[0] + b[0] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:], strict=False))
     return [columns[to][g] for g in STATES for to in STATES], illegal, turns[0][0], turns[-1][0]
 
 
+@lru_cache(KNOWN)
+def _walks_of(turns: tuple, end: tuple, last: bool) -> tuple:
+    """Labels and last state for each state in which the turns may be entered."""
+    found = [walk(turns, list(end), g, last) for g in STATES]
+    return [x for x, _ in found], [to for _, to in found]
+
+
+def _matrix(rows) -> tuple:
+    turns = tuple(_turns(rows))
+    return (_matrix_of if len(turns) <= SHORT else _matrix_of.__wrapped__)(turns)
+
+
 def _suffixes(parts) -> tuple:
     """The costs behind each part of one conversation, from its last part on, with the illegal pairs that end in it; the cost of all."""
     end, out = END, []
@@ -194,9 +210,8 @@ def _entries(parts) -> tuple:
 
 
 def _walks(rows, end, last) -> tuple:
-    """Labels and last state for each state in which the part may be entered."""
-    found = [walk(_turns(rows), list(end), g, last) for g in STATES]
-    return [x for x, _ in found], [to for _, to in found]
+    turns, end = tuple(_turns(rows)), tuple(int(x) for x in end)
+    return (_walks_of if len(turns) <= SHORT else _walks_of.__wrapped__)(turns, end, bool(last))
 
 
 def _edits(rows, entry, labels) -> tuple:
@@ -242,7 +257,7 @@ def repair(rows: DataFrame, part_bits: int = PART_BITS) -> DataFrame:
     costs = ends.select("conv", illegal.alias("illegal"), "cost")
 
     out = rows.select("conv_id", _conv()).distinct()
-    for right in (sums, costs, audits, _digests(turns, edited)):
+    for right in (sums, costs, audits, digests(repaired_lines(turns, edited))):
         out = out.join(right, "conv", "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select(
@@ -251,41 +266,51 @@ def repair(rows: DataFrame, part_bits: int = PART_BITS) -> DataFrame:
     )
 
 
-def _lines(edit: Column, role: Column, text: Column) -> Column:
-    """The lines of the repaired conversation that one turn becomes."""
-    empty = lambda roles: F.transform(roles, lambda r: F.concat(r, F.lit(":")))
-    own = F.when(edit["kept"], F.array(F.concat(F.coalesce(edit["role"], role), F.lit(":"), text))).otherwise(F.array().cast("array<string>"))
-    return F.concat(empty(edit["before"]), own, empty(edit["after"]))
+def repaired_lines(turns: DataFrame, edited: DataFrame) -> DataFrame:
+    """conv, line of the repaired conversations, each conversation in one partition, its lines in their order.
 
+    A turn and its edit meet as neighbours in the order of turns, so that texts move once and tasks hold a batch.
+    """
+    edit = edited.select("conv", F.explode("edits").alias("edit")).select("conv", F.col("edit.at").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), "edit")
+    said = turns.select("conv", "at", F.lit(1).alias("side"), "role", "text", F.lit(None).cast(EDIT).alias("edit"))
+    ordered = said.unionByName(edit).repartition("conv").sortWithinPartitions("conv", "at", "side")
 
-def repaired_lines(turns: DataFrame, edited: DataFrame) -> DataFrame:
-    """conv, at, lines: what each turn becomes (an array, empty where it is deleted); turns that keep no line are left out."""
-    each = edited.select(F.explode("edits").alias("edit")).select(F.col("edit.at").alias("at"), "edit")
-    lines = turns.join(each, "at").select("conv", "at", _lines(F.col("edit"), F.col("role"), F.col("text")).alias("lines"))
-    return lines.filter(F.size("lines") > 0)
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = None
+        for batch in batches:
+            lines = []
+            for conv, side, role, text, change in zip(batch["conv"], batch["side"], batch["role"], batch["text"], batch["edit"], strict=True):
+                if not side:
+                    now = change
+                    continue
+                lines += [(conv, f"{r}:") for r in now["before"]]
+                if now["kept"]:
+                    lines.append((conv, f"{role if now['role'] is None else now['role']}:{text}"))
+                lines += [(conv, f"{r}:") for r in now["after"]]
+            yield pd.DataFrame(lines, columns=["conv", "line"], dtype=object)
+
+    return in_small_batches(ordered.select("conv", "side", "role", "text", "edit")).mapInPandas(merge, "conv string, line string")
 
 
-def _digests(turns: DataFrame, edited: DataFrame) -> DataFrame:
-    """conv, repaired_sha256 of the conversations of which a line is left, streamed in the order of their turns."""
+def digests(lines: DataFrame) -> DataFrame:
+    """conv, repaired_sha256 of the conversations of which a line is left, streamed in the order of repaired_lines."""
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state, names = None, None, ["conv", "repaired_sha256"]
         for batch in batches:
             done = []
-            for conv, lines in zip(batch["conv"], batch["lines"], strict=True):
-                text = "\n".join(lines).encode()
+            for conv, line in zip(batch["conv"], batch["line"], strict=True):
                 if conv == now:
-                    state.update(b"\n" + text)
+                    state.update(b"\n" + line.encode())
                     continue
                 if state is not None:
                     done.append((now, state.hexdigest()))
-                now, state = conv, hashlib.sha256(text)
+                now, state = conv, hashlib.sha256(line.encode())
             yield pd.DataFrame(done, columns=names)
         if state is not None:
             yield pd.DataFrame([(now, state.hexdigest())], columns=names)
 
-    ordered = repaired_lines(turns, edited).repartition("conv").sortWithinPartitions("conv", "at")
-    return in_small_batches(ordered.select("conv", "lines")).mapInPandas(digest, "conv string, repaired_sha256 string")
+    return lines.mapInPandas(digest, "conv string, repaired_sha256 string")
 
 
 SQL = """
