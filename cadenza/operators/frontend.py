@@ -22,23 +22,28 @@ BLOCK = 4096
 
 @dataclass(frozen=True)
 class FrontEnd:
-    """Settings: rates in hertz, window in seconds. transform: legacy, dct or htk; output: cepstra, raw or smooth (log spectra)."""
+    """Settings: rates in hertz, window in seconds. transform: legacy, dct or htk; output: cepstra, raw or smooth (log spectra).
+
+    speech_ratio: the log ratio of power to noise that a frame of speech has in some band.
+    """
 
     rate: float = 16000.0
     frame_rate: float = 100.0
     window: float = 0.025625
     fft: int = 512
-    filters: int = 40
-    low: float = 133.33334
-    high: float = 6855.4976
+    filters: int = 25
+    low: float = 130.0
+    high: float = 6800.0
     cepstra: int = 13
     alpha: float = 0.97
-    lifter: int = 0
-    transform: str = "legacy"
+    lifter: int = 22
+    transform: str = "dct"
     output: str = "cepstra"
-    dither: bool = False
+    dither: bool = True
     seed: int = 0
-    remove_dc: bool = False
+    remove_dc: bool = True
+    remove_noise: bool = True
+    speech_ratio: float = 2.0
     rounded: bool = True
     unit_area: bool = True
     double_width: bool = False
@@ -123,13 +128,70 @@ class Analysis:
         spectrum = np.fft.rfft(frames * self.hamming, self.front.fft, axis=1)
         return (spectrum.real**2 + spectrum.imag**2) @ self.bank.T
 
-    def features(self, frames: np.ndarray) -> np.ndarray:
-        logs = np.log(self.mel(frames) + self.front.floor)
+    def features(self, frames: np.ndarray, noise: Noise) -> tuple[np.ndarray, list[bool]]:
+        """Features of frames, and which are speech; noise is what the frames before left."""
+        mel, speech = noise.track(self.mel(frames))
+        logs = np.log(mel + self.front.floor)
         if self.front.output == "raw":
-            return logs
+            return logs, speech
         if self.front.output == "smooth":
-            return logs @ self.smooth.T
-        return logs @ self.wave.T * self.lift
+            return logs @ self.smooth.T, speech
+        return logs @ self.wave.T * self.lift, speech
+
+
+#: Smoothing of power; of the lower envelope where it rises and falls; decay of peaks, where they mask and how low; largest gain;
+#: decay and learning of the loudness peak, and how far below it a frame is quiet: fixed values.
+POWER, RISE, FALL, DECAY, MASKED, GAIN = 0.7, 0.995, 0.5, 0.85, 0.2, 20.0
+FORGET, LEARN, QUIET_RANGE, NEIGHBOURS = 0.9995, 0.9, 8.0, 4
+
+
+def _envelope(x: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The lower envelope, slow to rise and quick to fall."""
+    keep = np.where(x >= low, RISE, FALL)
+    return keep * low + (1 - keep) * x
+
+
+class Noise:
+    """Recursive estimates by band: smoothed power, noise as its lower envelope, floor of the signal above it, peaks that mask; and of the loudness."""
+
+    def __init__(self, front: FrontEnd, state: list[float] | None = None):
+        self.front, self.bands = front, None
+        if state:
+            self.loudness, self.bands = state[0], np.array(state[1:]).reshape(4, -1)
+        n = front.filters
+        low, high = np.maximum(np.arange(n) - NEIGHBOURS, 0), np.minimum(np.arange(n) + NEIGHBOURS, n - 1)
+        self.smooth = ((np.arange(n) >= low[:, None]) & (np.arange(n) <= high[:, None])) / (high - low + 1)[:, None]
+
+    def state(self) -> list[float]:
+        return [] if self.bands is None else [self.loudness, *self.bands.ravel().tolist()]
+
+    def _step(self, mel: np.ndarray) -> tuple[np.ndarray, bool]:
+        if self.bands is None:
+            self.loudness, self.bands = 0.0, np.stack([mel, mel / GAIN, mel / GAIN, np.zeros(len(mel))])
+        power, noise, floor, peak = self.bands
+        power = POWER * power + (1 - POWER) * mel
+        noise = _envelope(power, noise)
+        signal = np.maximum(power - noise, 1.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.log(power / noise)
+        loud = float(np.log(signal.sum()))
+        keep = LEARN if loud > self.loudness else FORGET
+        self.loudness = self.loudness * keep + loud * (1 - keep)
+        speech = bool(max(0.0, float(np.nanmax(ratio, initial=0.0))) >= self.front.speech_ratio and self.loudness - QUIET_RANGE <= loud)
+        floor = _envelope(signal, floor)
+        peak = peak * DECAY
+        masked = np.maximum(np.where(signal < DECAY * peak, peak * MASKED, signal), floor)
+        self.bands = np.stack([power, noise, floor, np.maximum(peak, signal)])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.clip(np.where(masked < GAIN * power, masked / power, GAIN), 1 / GAIN, GAIN)
+        return mel * (self.smooth @ gain), speech
+
+    def track(self, mel: np.ndarray) -> tuple[np.ndarray, list[bool]]:
+        """Mel spectra with the noise taken out, and which frames are speech; without remove_noise all are, as they were."""
+        if not self.front.remove_noise or not len(mel):
+            return mel, [True] * len(mel)
+        steps = [self._step(row) for row in mel]
+        return np.array([m for m, _ in steps]), [s for _, s in steps]
 
 
 def dithered(samples: np.ndarray, first: int, seed: int) -> np.ndarray:
@@ -158,7 +220,7 @@ def cut_frames(samples: np.ndarray, before: float, last: bool, front: FrontEnd)
 
 
 def cepstra(audio: DataFrame, key: str, samples: str, front: FrontEnd) -> DataFrame:
-    """key, frame, vec: the features of every frame of every recording (samples: an array of whole numbers).
+    """key, frame, vec, speech: the features of every frame of every recording (samples: an array of whole numbers).
 
     The last frame is padded with zeros if samples are left for it. A recording without samples has no frame; a
     null sample is an error.
@@ -170,6 +232,7 @@ def cepstra(audio: DataFrame, key: str, samples: str, front: FrontEnd) -> DataFr
             for name, x in zip(batch[key], batch[samples], strict=True):
                 if x is None or not len(x):
                     continue
+                noise = Noise(front)
                 x = np.asarray(x, dtype=float)
                 if np.isnan(x).any():
                     raise ValueError(f"a sample of {name} is null")
@@ -179,11 +242,11 @@ def cepstra(audio: DataFrame, key: str, samples: str, front: FrontEnd) -> DataFr
                     # A block sees as many samples ahead as its last frame needs.
                     b = min(len(x), a + (BLOCK - 1) * front.shift + front.size)
                     frames, _ = cut_frames(x[a:b], x[a - 1] if a else 0.0, b == len(x), front)
-                    vec = analysis.features(frames[:BLOCK])
-                    yield pd.DataFrame({key: name, "frame": np.arange(len(vec), dtype=np.int32) + a // front.shift, "vec": list(vec)})
+                    vec, speech = analysis.features(frames[:BLOCK], noise)
+                    yield pd.DataFrame({key: name, "frame": np.arange(len(vec), dtype=np.int32) + a // front.shift, "vec": list(vec), "speech": speech})
 
     kind = audio.schema[key].dataType.simpleString()
-    return audio.select(key, samples).mapInPandas(run, f"{key} {kind}, frame int, vec array<double>")
+    return audio.select(key, samples).mapInPandas(run, f"{key} {kind}, frame int, vec array<double>, speech boolean")
 
 
 # --- endpoints ---------------------------------------------------------------------------------------
@@ -232,3 +295,63 @@ def endpointed(frames: DataFrame, key: str, speech: str, start: int = 10, stop:
 
     kinds = {c: frames.schema[c].dataType.simpleString() for c in (key, "frame")}
     return frames.select(key, "frame", F.coalesce(F.col(speech), F.lit(False)).alias(speech)).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, frame {kinds['frame']}, segment int")
+
+
+# --- pitch -------------------------------------------------------------------------------------------
+
+
+def normalised_differences(frames: np.ndarray) -> np.ndarray:
+    """The squared difference of the first half of each frame to itself t samples later, over its mean for 1 to t; 1 at t = 0."""
+    n = frames.shape[1] // 2
+    d = np.stack([((frames[:, :n] - frames[:, t : t + n]) ** 2).sum(axis=1) for t in range(n)], axis=1)
+    total = np.cumsum(d, axis=1)
+    out = np.ones_like(d)
+    np.divide(d * np.arange(n), total, out=out, where=total > 0)
+    out[:, 0] = 1.0
+    return out
+
+
+def first_below(d: np.ndarray, threshold: float, begin: int, end: int) -> int:
+    """The first place below the threshold, else the first of the least; 0 where there is none."""
+    part = d[begin:end]
+    if not len(part):
+        return 0
+    below = np.flatnonzero(part < threshold)
+    return begin + int(below[0] if len(below) else part.argmin())
+
+
+def best_periods(d: np.ndarray, threshold: float, reach: float, smooth: int) -> list[tuple[int, float]]:
+    """Period and difference of each frame: its own, unless a frame up to smooth away has a lower difference: then the own one near that period."""
+    own = [first_below(x, threshold, 0, len(x)) for x in d]
+    off = [float(x[p]) for x, p in zip(d, own, strict=True)]
+    out = []
+    for i in range(len(d)):
+        near = range(max(0, i - smooth), min(len(d), i + smooth + 1))
+        k = min([i, *near], key=lambda j: off[j])  # ties: the frame itself, then the first
+        period, best = own[k], off[k]
+        if period != own[i]:
+            width = max(1, int(period * reach))
+            period = first_below(d[i], threshold, max(0, period - width), min(d.shape[1], period + width))
+            best = min(1.0, float(d[i][period]))
+        out.append((period, best))
+    return out
+
+
+def pitch(audio: DataFrame, key: str, samples: str, rate: float, size: int, shift: int, threshold: float = 0.1, reach: float = 0.2, smooth: int = 2) -> DataFrame:
+    """key, frame, period (samples), difference, hertz of whole frames of size samples; hertz is null where no difference is below threshold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, x in zip(batch[key], batch[samples], strict=True):
+                if x is None or len(x) < size:
+                    continue
+                x = np.asarray(x, dtype=float)
+                at = np.arange(1 + (len(x) - size) // shift)
+                # A difference function has half a frame's length, so those of a recording are about as large as itself.
+                parts = [normalised_differences(x[a[:, None] * shift + np.arange(size)]) for a in np.array_split(at, -(-len(at) // BLOCK))]
+                found = best_periods(np.concatenate(parts), threshold, reach, smooth)
+                hertz = [rate / p if p and d < threshold else None for p, d in found]
+                yield pd.DataFrame({key: name, "frame": at.astype(np.int32), "period": [p for p, _ in found], "difference": [d for _, d in found], "hertz": hertz})
+
+    kind = audio.schema[key].dataType.simpleString()
+    return audio.select(key, samples).mapInPandas(run, f"{key} {kind}, frame int, period int, difference double, hertz double")

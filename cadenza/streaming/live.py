@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.frontend import QUIET, Analysis, FrontEnd, cut_frames, dithered, endpoint, seed_of
+from ..operators.frontend import QUIET, Analysis, FrontEnd, Noise, cut_frames, dithered, endpoint, seed_of
 from ..operators.sequences import live_means_of
 
 
@@ -79,14 +79,14 @@ def endpoints(frames: DataFrame, ts: str, key: str, gap: str, late: str) -> Data
 
 
 def live_cepstra(pieces: DataFrame, key: str, samples: str, front: FrontEnd) -> DataFrame:
-    """key, frame, vec of a stream of (key, piece, samples, last): the frames of frontend.cepstra, each as soon as its samples are there.
+    """key, frame, vec, speech of a stream of (key, piece, samples, last): the frames of frontend.cepstra, each as soon as its samples are there.
 
     Pieces of a key may come in any order and are taken by number, from 0 on; last ends the recording and drops
     its state, which holds less than a frame of samples and the pieces that came ahead of their turn.
     """
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        left, before, seen, done, turn, ahead, end = state.get if state.exists else ([], 0.0, 0, 0, 0, [], -1)
+        left, before, seen, done, turn, ahead, end, heard = state.get if state.exists else ([], 0.0, 0, 0, 0, [], -1, [])
         waiting = {p["piece"]: list(p["samples"]) for p in ({"piece": int(x[0]), "samples": x[1:]} for x in ahead)}
         for batch in batches:
             for piece, x, last in batch[["piece", samples, "last"]].itertuples(index=False):
@@ -101,18 +101,19 @@ def live_cepstra(pieces: DataFrame, key: str, samples: str, front: FrontEnd) ->
             x = np.concatenate([x, new])
         closed = 0 <= end < turn
         frames, used = cut_frames(x, before, closed, front)
-        vec = Analysis(front).features(frames) if len(frames) else np.zeros((0, 1))
+        noise = Noise(front, list(heard))
+        vec, speech = Analysis(front).features(frames, noise) if len(frames) else ([], [])
         if closed:
             state.remove()
         else:
             before = float(x[used - 1]) if used else before
-            state.update((x[used:].tolist(), before, seen, done + len(vec), turn, [[float(k), *v] for k, v in sorted(waiting.items())], end))
-        yield pd.DataFrame({key: name[0], "frame": np.arange(done, done + len(vec), dtype=np.int32), "vec": list(vec)})
+            state.update((x[used:].tolist(), before, seen, done + len(vec), turn, [[float(k), *v] for k, v in sorted(waiting.items())], end, noise.state()))
+        yield pd.DataFrame({key: name[0], "frame": np.arange(done, done + len(vec), dtype=np.int32), "vec": list(vec), "speech": speech})
 
     kind = pieces.schema[key].dataType.simpleString()
-    held = "left array<double>, before double, seen long, done int, turn int, ahead array<array<double>>, end_piece int"
+    held = "left array<double>, before double, seen long, done int, turn int, ahead array<array<double>>, end_piece int, heard array<double>"
     return pieces.select(key, "piece", samples, "last").groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, frame int, vec array<double>", held, "append", GroupStateTimeout.NoTimeout
+        step, f"{key} {kind}, frame int, vec array<double>, speech boolean", held, "append", GroupStateTimeout.NoTimeout
     )
 
 
