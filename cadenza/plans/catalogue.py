@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crossword, frontend, further, models, questions, sequences, texts, training, validation
+from . import adaptation, crossword, frontend, further, models, questions, sequences, texts, training, validation
 
-ALL = {**models.QUERIES, **sequences.QUERIES, **texts.QUERIES, **validation.QUERIES, **further.QUERIES, **training.QUERIES, **questions.QUERIES, **frontend.QUERIES, **crossword.QUERIES}
+ALL = {**models.QUERIES, **sequences.QUERIES, **texts.QUERIES, **validation.QUERIES, **further.QUERIES, **training.QUERIES, **questions.QUERIES, **frontend.QUERIES, **crossword.QUERIES, **adaptation.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
