@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import spread
+
 FLOOR = 1e-4
 #: Factor of the least damping that keeps variances positive, and damping for each unit of denominator occupancy.
 SAFE, DAMP = 2.0, 3.0
@@ -73,7 +75,7 @@ def arc_posteriors(arcs: DataFrame, key: str, scale: float = 1.0) -> DataFrame:
             yield pd.DataFrame(made, columns=[key, "arc", "log_posterior", "log_total"], dtype=object)
 
     lattices = arcs.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias("arcs"))
-    return lattices.mapInPandas(run, f"{key} {kinds[key]}, arc {kinds['arc']}, log_posterior double, log_total double")
+    return spread(lattices).mapInPandas(run, f"{key} {kinds[key]}, arc {kinds['arc']}, log_posterior double, log_total double")
 
 
 def occupancies(posteriors: DataFrame, spans: DataFrame, key: str, least: float = 1e-8) -> DataFrame:

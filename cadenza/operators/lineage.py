@@ -1,4 +1,4 @@
-"""Cutting the lineage of tables that iterations build on."""
+"""Cutting the lineage of tables that iterations build on, and spreading rows that cost much each."""
 
 from __future__ import annotations
 
@@ -18,3 +18,9 @@ def cut(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="checkpoints-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores at least: rows of few bytes that cost much time would else be coalesced into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

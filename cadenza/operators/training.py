@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut, spread
+
 SILENCE = "SIL"
 #: States are dropped below this share of a frame's best; a failed utterance is tried again with the wider one.
 BEAM, WIDE = 1e-80, 1e-160
@@ -234,7 +236,7 @@ def expectation(said: DataFrame, model: dict, beam: float = BEAM, wide: float =
         rows += [("total", a, 0, 0, v, None, None) for a, v in enumerate(totals) if v]
         yield pd.DataFrame(rows, columns=["kind", "a", "b", "c", "n", "sums", "squares"])
 
-    each = said.select("words", "frames").mapInPandas(run, STATISTICS)
+    each = spread(said.select("words", "frames")).mapInPandas(run, STATISTICS)
     added = lambda c: F.when(F.col("kind") == "density", F.array(*[F.sum(F.get(c, F.lit(d))) for d in range(dim)])).alias(c)
     return each.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n"), added("sums"), added("squares"))
 
@@ -261,7 +263,7 @@ def maximisation(statistics: DataFrame, model: dict, floor: float = 1e-4, retain
 
 def train(said: DataFrame, model: dict, passes: int, least: int = 1, threshold: float = 0.0, **how) -> tuple[dict, list[dict]]:
     """Passes until the signed gain of the log-likelihood per frame is at most threshold, from the least-th on; the model and telemetry."""
-    telemetry, before = [], None
+    telemetry, before, said = [], None, cut(said.select("words", "frames"))
     for n in range(1, passes + 1):
         model, totals = maximisation(expectation(said, model, **how), model)
         now = totals["total_ll"] / totals["frames"] if totals["frames"] else 0.0
@@ -299,4 +301,4 @@ def align(said: DataFrame, key: str, model: dict, between: bool = False) -> Data
             yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     kind = said.schema[key].dataType.simpleString()
-    return said.select(key, "words", "frames").mapInPandas(run, f"{key} {kind}, seq int, word int, phone string, start_frame int, end_frame int, score double")
+    return spread(said.select(key, "words", "frames")).mapInPandas(run, f"{key} {kind}, seq int, word int, phone string, start_frame int, end_frame int, score double")
