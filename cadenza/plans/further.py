@@ -197,8 +197,11 @@ def reversed_phone_map(spark, sf_dir):
 
 
 def stress_map(spark, sf_dir):
-    vowels = F.array(*map(F.lit, T.VOWELS))
-    return spark.range(1).select(F.explode(T.stress_map(vowels, F.array(*map(F.lit, "012")))).alias("phone", "base"))
+    """The marks of every vowel that two letters of a document spell."""
+    letters = F.regexp_replace(F.upper("text"), "[^A-Z]", "")
+    pairs = F.regexp_extract_all(letters, F.lit("(?=([A-Z]{2}))"), F.lit(1))
+    spelled = _t(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.filter(pairs, lambda p: p.isin(*T.VOWELS)))).alias("v")).distinct()
+    return spelled.select(F.explode(T.stress_map(F.array("v"), F.array(*map(F.lit, "012")))).alias("phone", "base"))
 
 
 def _two_halves(spark, sf_dir):
@@ -374,7 +377,8 @@ SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN '<s>
     ),
     "stress_map": (
         stress_map,
-        """SELECT v || m AS phone, v AS base FROM (SELECT unnest(['AA','AE','AH','AO','AW','AY','EH','ER','EY','IH','IY','OW','OY','UH','UW']) AS v), (SELECT unnest(['0', '1', '2']) AS m)""",
+        """WITH d AS (SELECT regexp_replace(upper(text), '[^A-Z]', '', 'g') AS t FROM documents), p AS (SELECT DISTINCT unnest(list_transform(range(1, length(t)), lambda i: substr(t, CAST(i AS INTEGER), 2))) AS v FROM d)
+SELECT v || m AS phone, v AS base FROM p, (SELECT unnest(['0', '1', '2']) AS m) WHERE v IN ('AA','AE','AH','AO','AW','AY','EH','ER','EY','IH','IY','OW','OY','UH','UW')""",
     ),
     "distance_summary": (
         distance_summary,
