@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 FLOOR = 1e-4
 
 
@@ -176,6 +178,31 @@ def kmeans(vectors: DataFrame, centres: DataFrame, steps: int) -> tuple[DataFram
     return centres, assigned
 
 
+def kmeans_converged(vectors: DataFrame, centres: DataFrame, least: float = 1e-3, most: int = 100) -> tuple[DataFrame, list[dict]]:
+    """Lloyd steps until the squared error falls by at most the share least of the one before, or most of them: centres and telemetry.
+
+    The centres are those of the last assignment. The telemetry has step (moves of the centres so far), error and fell
+    (the relative fall; null for the first). A cluster that no vector chooses is an error. A step is one pass
+    over vectors, and one row a cluster comes to the driver.
+    """
+    telemetry, names = [], {r["k"] for r in centres.select("k").distinct().collect()}
+    while True:
+        dims = F.transform("v", lambda x, i: F.struct(i.alias("dim"), x.alias("x")))
+        # The error stands beside the dimensions of a cluster, so that one aggregation gives both.
+        error_too = F.concat(dims, F.array(F.struct(F.lit(-1).alias("dim"), F.col("d2").alias("x"))))
+        each = nearest(vectors, centres).select("k", F.explode(error_too).alias("e"))
+        sums = cut(each.groupBy("k", "e.dim").agg(F.sum("e.x").alias("s"), F.count(F.lit(1)).alias("n")))
+        errors = {r["k"]: r["s"] for r in sums.filter("dim = -1").collect()}
+        if names - errors.keys():
+            raise ValueError(f"empty clusters: {sorted(names - errors.keys())}")
+        error, before = sum(errors[k] for k in sorted(errors)), telemetry[-1]["error"] if telemetry else None
+        fell = None if before is None else (before - error) / before if before else 0.0
+        telemetry.append({"step": len(telemetry), "error": error, "fell": fell})
+        if (fell is not None and fell <= least) or len(telemetry) > most:
+            return centres, telemetry
+        centres = sums.filter("dim >= 0").select("k", "dim", (F.col("s") / F.col("n")).alias("c"))
+
+
 def adapt(prior: DataFrame, data: DataFrame, key: str, tau: float = 10.0) -> DataFrame:
     """MAP and Bayes means and the MAP variance of data (key, dim, n, mean, var) under a prior of the same form."""
     p = prior.select(key, "dim", F.col("mean").alias("m0"), F.col("var").alias("v0"))

@@ -116,6 +116,16 @@ def kmeans_two_steps(spark, sf_dir):
     return _round(_kmeans(spark, sf_dir, 2)[1], "c")
 
 
+def kmeans_converged(spark, sf_dir):
+    """Order lines in two figures from six centres until the error falls by less than a thousandth."""
+    figures = F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double") * 100)
+    vectors = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(figures.alias("v"))
+    start = spark.range(6).select(F.col("id").alias("k"), F.posexplode(F.array((F.col("id") * 9 + 1).cast("double"), (F.col("id") * 4 % 7).cast("double"))).alias("dim", "c"))
+    centres, telemetry = G.kmeans_converged(vectors, start, 1e-3, 30)
+    last = telemetry[-1]
+    return centres.select("k", "dim", F.round("c", 4).alias("c"), F.lit(last["step"]).alias("steps"), F.round(F.lit(last["error"]), 2).alias("error"))
+
+
 def kmeans_gaussian_init(spark, sf_dir):
     dims, _, assigned = _kmeans(spark, sf_dir, 1)
     labelled = dims.join(assigned.select("vec_id", "k"), "vec_id")
@@ -310,6 +320,20 @@ FROM gammas g JOIN dims d USING (vec_id) GROUP BY ALL""",
 far2 AS (SELECT d.vec_id, s.k, sum((d.x - s.c) * (d.x - s.c)) AS d2 FROM dv d JOIN again s USING (dim) GROUP BY ALL),
 assigned2 AS (SELECT vec_id, arg_min(k, (d2, k)) AS k FROM far2 GROUP BY vec_id)
 SELECT k, dim, round(avg(x), 6) AS c FROM dv JOIN assigned2 USING (vec_id) GROUP BY k, dim""",
+    ),
+    "kmeans_converged": (
+        kmeans_converged,
+        """WITH RECURSIVE v AS (SELECT l_quantity::DOUBLE AS x, l_discount::DOUBLE * 100 AS y FROM lineitem),
+s AS (SELECT 0 AS step, list_transform(range(6), lambda k: (k * 9 + 1)::DOUBLE) AS a, list_transform(range(6), lambda k: (k * 4 % 7)::DOUBLE) AS b, NULL::DOUBLE AS before, NULL::DOUBLE AS error, [0.0::DOUBLE] AS a0, [0.0::DOUBLE] AS b0
+  UNION ALL
+  SELECT step + 1, list(mx ORDER BY k), list(my ORDER BY k), any_value(error), sum(e), any_value(a), any_value(b) FROM (
+    SELECT step, error, a, b, k, avg(x) AS mx, avg(y) AS my, sum(d) AS e FROM (
+      SELECT step, error, a, b, x, y, list_min(ds) AS d, list_position(ds, list_min(ds)) AS k FROM (
+        SELECT step, error, a, b, x, y, list_transform(range(1, 7), lambda j: (x - a[j]) ** 2 + (y - b[j]) ** 2) AS ds FROM s, v
+        WHERE step < 31 AND (before IS NULL OR (before - error) / before > 1e-3)))
+    GROUP BY step, error, a, b, k) GROUP BY step),
+l AS (SELECT * FROM s ORDER BY step DESC LIMIT 1)
+SELECT k, CAST(dim AS INTEGER) AS dim, round(CASE dim WHEN 0 THEN a0[k + 1] ELSE b0[k + 1] END, 4) AS c, step - 1 AS steps, round(error, 2) AS error FROM l, range(6) t(k), range(2) u(dim)""",
     ),
     "kmeans_gaussian_init": (
         kmeans_gaussian_init,
