@@ -29,11 +29,14 @@ def _large_star(edges: DataFrame, hub: float) -> DataFrame:
     return up.join(hubs, "u").unionByName(rest).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """u and its smaller neighbours are moved to the least of them."""
+def _small_star(edges: DataFrame, hub: float) -> DataFrame:
+    """u and its smaller neighbours are moved to the least of them; nodes u of more than hub smaller neighbours are split off as above."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(least.filter(F.col("n") > hub).select("u", "m"))
+    rest = down.join(hubs, "u", "left_anti").join(least.select("u", "m"), "u")
+    both = down.join(hubs, "u").unionByName(rest)
+    moved = both.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -57,7 +60,7 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         # Each edge counts at both of its nodes, so at most 2 * HUBS nodes are beyond this.
         hub = max(HUB, state[0] / HUBS)
-        links = checkpoint(_small_star(checkpoint(_large_star(links, hub))))
+        links = checkpoint(_small_star(checkpoint(_large_star(links, hub)), hub))
         now = _state(links)
         if now == state:
             break
