@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import adaptation, crossword, discriminative, frontend, further, models, pronounce, questions, selection, sequences, texts, training, validation
+from . import adaptation, crossword, discriminative, frontend, further, models, normalisation, pronounce, questions, selection, sequences, texts, training, validation
 
-ALL = {**models.QUERIES, **sequences.QUERIES, **texts.QUERIES, **validation.QUERIES, **further.QUERIES, **training.QUERIES, **questions.QUERIES, **frontend.QUERIES, **crossword.QUERIES, **adaptation.QUERIES, **selection.QUERIES, **discriminative.QUERIES, **pronounce.QUERIES}
+ALL = {**models.QUERIES, **sequences.QUERIES, **texts.QUERIES, **validation.QUERIES, **further.QUERIES, **training.QUERIES, **questions.QUERIES, **frontend.QUERIES, **crossword.QUERIES, **adaptation.QUERIES, **selection.QUERIES, **discriminative.QUERIES, **pronounce.QUERIES, **normalisation.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
