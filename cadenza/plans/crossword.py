@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import crossword as X
+from ..sources.definitions import definition_lines
 from .texts import _t
 
 FILLERS = ["q", "x", "z"]
@@ -50,6 +51,12 @@ def edge_tables(spark, sf_dir):
     return tables.select("base", F.coalesce("inner", F.lit("-")).alias("inner"), F.size("sequences").alias("n"), shown.alias("first_states"), F.size("places").alias("contexts"), places.alias("places"))
 
 
+def definition_file(spark, sf_dir):
+    """The rows of the definition's file, without their places."""
+    d = _definition(spark, sf_dir).withColumns({"attrib": F.when(F.col("base").isin(*FILLERS, "SIL"), "filler"), "tmat": F.ascii("base")})
+    return definition_lines(d).select("line")
+
+
 DEFINITION = """bp AS (SELECT item_id AS key, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')) AS w, unnest(range(len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')))) AS word FROM benchmark),
 bl AS (SELECT key, word, unnest(range(1, length(w) + 1)) AS p, w FROM bp), bh AS (SELECT key, word, p, substr(w, CAST(p AS INTEGER), 1) AS phone FROM bl),
 bc AS (SELECT phone AS base, coalesce(lag(q) OVER k, 'SIL') AS l, coalesce(lead(q) OVER k, 'SIL') AS r, lag(word) OVER k IS DISTINCT FROM word AS f, lead(word) OVER k IS DISTINCT FROM word AS e
@@ -67,6 +74,13 @@ found AS (SELECT w.*, coalesce(
     (SELECT d.id FROM df d WHERE d.base = w.base AND d.l IS NULL)) AS id FROM want w)"""
 
 QUERIES = {
+    "definition_file": (
+        definition_file,
+        f"""WITH {DEFINITION}, r AS (SELECT *, CASE WHEN base IN ('q', 'x', 'z', 'SIL') THEN 'filler' ELSE 'n/a' END AS attrib, ord(base) AS tmat, unnest([state, state + 1, state + 2]) AS s FROM st),
+c AS (SELECT count(*) FILTER (l IS NULL) AS b, count(l) AS t, 4 * count(*) AS m, count(DISTINCT ord(base)) AS k FROM st), e AS (SELECT count(DISTINCT s) AS s, count(DISTINCT s) FILTER (l IS NULL) AS i FROM r)
+SELECT unnest(['0.3', b || ' n_base', t || ' n_tri', m || ' n_state_map', s || ' n_tied_state', i || ' n_tied_ci_state', k || ' n_tied_tmat', '# base lft rt p attrib tmat states']) AS line FROM c, e
+UNION ALL SELECT printf('%5s %3s %3s %1s', base, coalesce(l, '-'), coalesce(r, '-'), coalesce(pos, '-')) || printf(' %6s', CASE WHEN base IN ('q', 'x', 'z', 'SIL') THEN 'filler' ELSE 'n/a' END) || printf(' %4d %6d %6d %6d', ord(base), state, state + 1, state + 2) || ' N' FROM st""",
+    ),
     "triphone_lookup": (
         triphone_lookup,
         f"""WITH {DEFINITION}, cp AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')) AS w, unnest(range(len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')))) AS word FROM conversations),
