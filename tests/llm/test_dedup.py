@@ -204,6 +204,27 @@ def test_recall_against_all_shingles(spark, words, count=2000):
     assert len(near) > 100 and len(near & found) >= 0.94 * len(near)
 
 
+def test_pairs_that_no_band_brings_together(spark, monkeypatch):
+    """Signatures may miss a pair at the threshold; here they miss all, and every link is found all the same."""
+    rng = random.Random(17)
+    lines = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(rng.choice([4, 12, 40]))) for _ in range(60)]
+    lines += [w[: len(w) // 2] + "#" * n + w[len(w) // 2 + n :] for w in lines for n in range(3)] + ["short", "short one"]
+    lines = list(dict.fromkeys(lines))
+    rows = line_dedup.lines_of(frame(spark, list(enumerate(lines))))
+    signed = line_dedup.signatures(rows).join(rows.select("d1", "doc_id"), "d1").select("d1", "d2", F.col("doc_id").alias("lid"), "minima")
+    monkeypatch.setattr(line_dedup, "buckets", lambda signed: signed.select("lid", F.col("lid").alias("bucket")))
+    got = {r["node"]: r["root"] for r in components(line_dedup.connections(rows, signed)).collect()}
+    sets = [shingle_set(line) for line in lines]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(links) > 40
+    assert all(got.get(a, a) == got.get(b, b) for a, b in links)
+    roots = list(range(len(lines)))
+    for _ in lines:
+        for a, b in links:
+            roots[a] = roots[b] = min(roots[a], roots[b])
+    assert {n: got.get(n, n) for n in range(len(lines))} == dict(enumerate(roots))
+
+
 def test_large_buckets_of_lines(spark):
     rng = random.Random(1)
     base = sentence(rng, 40)
