@@ -2,8 +2,9 @@
 
 utterances: key, words (per word its pronunciations, each an array of phones) and frames. A graph strings the
 phones' states together: the pronunciations of a word are alternatives, silence stands before the first word,
-and may stand between words and after the last one. Utterances are rows, so Spark spreads them over tasks; each task
-adds the statistics of its utterances up before it emits them, one row for each density that occurred.
+and may stand between words and after the last one. Utterances are rows, so Spark spreads them over tasks; those of a batch
+that share their words and length are worked on at once. Each task adds the statistics of its utterances up before it
+emits them, one row for each density that occurred.
 
 A model is a dict of small arrays, shipped with the tasks: states (phone to the numbers of its tied states), tmat
 (phone to the number of its transitions), move (tmat, state, next state; the last one leaves the phone), weight (tied
@@ -12,6 +13,7 @@ state, density), mean and var (tied state, density, dimension).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,8 @@ SILENCE = "SIL"
 #: States are dropped below this share of a frame's best; a failed utterance is tried again with the wider one.
 BEAM, WIDE = 1e-80, 1e-160
 FLOOR = 1e-300
+#: Graphs that a task remembers, and numbers of the arrays that it works on at once.
+GRAPHS, CELLS = 4096, 4_000_000
 
 STATISTICS = "kind string, a int, b int, c int, n double, sums array<double>, squares array<double>"
 
@@ -110,88 +114,113 @@ def densities(x: np.ndarray, model: dict, senones: np.ndarray) -> tuple[np.ndarr
     return top + np.log(whole), share / whole[:, :, None]
 
 
-def _arcs_of(graph: Graph, active: np.ndarray) -> np.ndarray:
-    """Numbers of the arcs that leave the active states."""
-    sizes = graph.begin[active + 1] - graph.begin[active]
-    return np.repeat(graph.begin[active] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
+def _gathered(order: np.ndarray, firsts: np.ndarray, at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the arcs' values (rows, arcs) by state; order sorts the arcs by that state, firsts are its first places, at the states."""
+    out = np.zeros((len(rows), size))
+    out[:, at] = np.add.reduceat(rows[:, order], firsts, axis=1)
+    return out
 
 
-def forward_backward(graph: Graph, score: np.ndarray, beam: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Log-likelihood, occupancies (frames, states), expected uses of the arcs and of the final states; None if no path ends.
+def forward_backward(graph: Graph, score: np.ndarray, beam: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of utterances of one graph and length: which have a path, their log-likelihoods, occupancies (utterances, frames, states), expected uses of the arcs and of the final states.
 
-    score: log scores (frames, states). Only arcs out of active states are followed.
+    score: log scores (utterances, frames, states). States that fall below the beam send nothing on.
     """
-    n, size = score.shape
-    best = score.max(axis=1)
-    b = np.exp(score - best[:, None])
-    alpha, scale, used = np.zeros((n, size)), np.ones(n), [None] * n
-    alpha[0, 0] = b[0, 0]
+    many, n, size = score.shape
+    best = score.max(axis=2)
+    b = np.exp(score - best[:, :, None])
+    order = np.argsort(graph.target, kind="stable")
+    targets, into = np.unique(graph.target[order], return_index=True)
+    sources, out = np.unique(graph.source, return_index=True)  # arcs lie by source
+    kept = np.arange(len(graph.source))
+    alpha, scale, alive = np.zeros((many, n, size)), np.ones((many, n)), np.ones(many, dtype=bool)
+    alpha[:, 0, 0] = b[:, 0, 0]
     for t in range(n):
         if t:
-            used[t] = arcs = _arcs_of(graph, np.flatnonzero(alpha[t - 1]))
-            came = alpha[t - 1][graph.source[arcs]] * graph.chance[arcs]
-            alpha[t] = np.bincount(graph.target[arcs], came, size) * b[t]
-        alpha[t][alpha[t] < beam * alpha[t].max()] = 0.0
-        scale[t] = alpha[t].sum()
-        if not scale[t] > 0:
-            return None
-        alpha[t] /= scale[t]
-    end = float(alpha[-1] @ graph.final)
-    if not end > 0:
-        return None
-    beta, uses = graph.final / end, np.zeros(len(graph.source))
-    last = alpha[-1] * beta
-    gamma = np.zeros((n, size))
-    gamma[-1] = last
+            came = alpha[:, t - 1][:, graph.source] * graph.chance
+            alpha[:, t] = _gathered(order, into, targets, came, size) * b[:, t]
+        now = alpha[:, t]
+        now[now < beam * now.max(axis=1, keepdims=True)] = 0.0
+        whole = now.sum(axis=1)
+        alive &= whole > 0
+        scale[:, t] = np.where(whole > 0, whole, 1.0)
+        now /= scale[:, t, None]
+    end = alpha[:, -1] @ graph.final
+    alive &= end > 0
+    beta, uses = graph.final / np.where(end > 0, end, 1.0)[:, None], np.zeros((many, len(graph.source)))
+    last = alpha[:, -1] * beta
+    gamma = np.zeros((many, n, size))
+    gamma[:, -1] = last
     for t in range(n - 1, 0, -1):
-        ahead = np.where(alpha[t] > 0, b[t] * beta, 0.0) / scale[t]
-        arcs = used[t]
-        flow = graph.chance[arcs] * ahead[graph.target[arcs]]
-        np.add.at(uses, arcs, alpha[t - 1][graph.source[arcs]] * flow)
-        beta = np.bincount(graph.source[arcs], flow, size)
-        gamma[t - 1] = alpha[t - 1] * beta
-    return float(np.log(scale).sum() + best.sum() + np.log(end)), gamma, uses, last
-
-
-def best_path(graph: Graph, score: np.ndarray) -> tuple[float, np.ndarray] | None:
-    """Log score and states of the best path; ties go to the arc of the lower source. None if no path ends."""
-    n, size = score.shape
+        ahead = np.where(alpha[:, t] > 0, b[:, t] * beta, 0.0) / scale[:, t, None]
+        flow = graph.chance * ahead[:, graph.target]
+        uses += alpha[:, t - 1][:, graph.source] * flow
+        beta = _gathered(kept, out, sources, flow, size)
+        gamma[:, t - 1] = alpha[:, t - 1] * beta
+    ll = np.log(scale).sum(axis=1) + best.sum(axis=1) + np.log(np.where(end > 0, end, 1.0))
+    return alive, ll, gamma, uses, last
+
+
+def best_path(graph: Graph, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of utterances of one graph and length (score: utterances, frames, states): which have a path, its log scores and states.
+
+    Ties go to the arc of the lower source.
+    """
+    many, n, size = score.shape
     with np.errstate(divide="ignore"):
         chance, final = np.log(graph.chance), np.log(graph.final)
-    now, back = np.full(size, -np.inf), np.zeros((n, size), dtype=np.int32)
-    now[0] = score[0, 0]
+    now, back = np.full((many, size), -np.inf), np.zeros((many, n, size), dtype=np.int32)
+    now[:, 0] = score[:, 0, 0]
     order = np.lexsort((graph.source, graph.target))
+    sources = graph.source[order]
     targets, firsts = np.unique(graph.target[order], return_index=True)
+    arcs, sizes = np.arange(len(order)), np.diff(np.append(firsts, len(order)))
     for t in range(1, n):
-        way = (now[graph.source] + chance)[order]
-        top = np.maximum.reduceat(way, firsts)
+        way = (now[:, graph.source] + chance)[:, order]
+        top = np.maximum.reduceat(way, firsts, axis=1)
         # The first arc that reaches the top of its target.
-        hit = np.flatnonzero(way == np.repeat(top, np.diff(np.append(firsts, len(way)))))
-        at, where = np.unique(graph.target[order][hit], return_index=True)
-        back[t, at] = graph.source[order][hit[where]]
-        now = np.full(size, -np.inf)
-        now[targets] = top + score[t, targets]
+        hit = np.minimum.reduceat(np.where(way == np.repeat(top, sizes, axis=1), arcs, len(arcs) - 1), firsts, axis=1)
+        back[:, t, targets] = sources[hit]
+        now = np.full((many, size), -np.inf)
+        now[:, targets] = top + score[:, t, targets]
     total = now + final
-    state = int(total.argmax())
-    if not np.isfinite(total[state]):
-        return None
-    path = [state]
+    state, each = total.argmax(axis=1), np.arange(many)
+    found = total[each, state]
+    path = np.zeros((many, n), dtype=np.int64)
+    path[:, -1] = state
     for t in range(n - 1, 0, -1):
-        path.append(int(back[t, path[-1]]))
-    return float(total[state]), np.array(path[::-1])
+        path[:, t - 1] = back[each, t, path[:, t]]
+    return np.isfinite(found), found, path
+
 
+def _flat(said: DataFrame, *more: str) -> DataFrame:
+    """words as text, n (frames) and x, all numbers of the frames in one array: cheap to hand to Python."""
+    return said.select(*more, F.to_json("words").alias("words"), F.coalesce(F.size("frames"), F.lit(0)).alias("n"), F.flatten("frames").cast("array<double>").alias("x"))
 
-def _prepared(words, frames, model: dict, between: bool):
-    """The graph, frames, distinct senones and scores of an utterance; None where a part of it is missing or too short."""
-    if words is None or frames is None or not len(words) or not len(frames):
-        return None
-    if any(p not in model["states"] for variants in words for v in variants for p in v):
-        return None
-    graph = Graph(words, model, between)
-    x = np.array([list(v) for v in frames], dtype=float)
-    senones, own = np.unique(graph.senone, return_inverse=True)
-    score, share = densities(x, model, senones)
-    return graph, x, senones, own, score[:, own], share
+
+def _prepared(batch: pd.DataFrame, model: dict, between: bool, graphs: dict):
+    """(rows, graph, frames, distinct senones, place of a state's senone, scores, shares) of utterances of one graph and length at a time.
+
+    Rows that no graph fits, as a part of them is missing, come with None. graphs remembers the graphs of words.
+    """
+    dim = model["mean"].shape[2]
+    for (words, n), some in batch.groupby(["words", "n"], dropna=False, sort=False).indices.items() if len(batch) else ():
+        said = json.loads(words) if isinstance(words, str) else None
+        if not said or not n > 0 or any(p not in model["states"] for variants in said for v in variants for p in v):
+            yield some, *[None] * 6
+            continue
+        if words not in graphs:
+            if len(graphs) >= GRAPHS:
+                graphs.clear()
+            graphs[words] = Graph(said, model, between)
+        graph = graphs[words]
+        senones, own = np.unique(graph.senone, return_inverse=True)
+        step = max(1, CELLS // (int(n) * (len(graph.source) + len(senones) * model["mean"].shape[1] * dim)))
+        for at in range(0, len(some), step):
+            part = some[at : at + step]
+            x = np.concatenate([batch["x"].iloc[i] for i in part]).reshape(len(part) * int(n), dim)
+            score, share = densities(x, model, senones)
+            yield part, graph, x, senones, own, score[:, own].reshape(len(part), int(n), -1), share
 
 
 def expectation(said: DataFrame, model: dict, beam: float = BEAM, wide: float = WIDE, between: bool = False) -> DataFrame:
@@ -208,35 +237,39 @@ def expectation(said: DataFrame, model: dict, beam: float = BEAM, wide: float =
         n = np.zeros(model["weight"].shape)
         sums, squares = np.zeros(model["mean"].shape), np.zeros(model["mean"].shape)
         moves, totals = np.zeros(model["move"].shape), np.zeros(5)
+        graphs: dict = {}
         for batch in batches:
-            for words, frames in zip(batch["words"], batch["frames"], strict=True):
-                made = _prepared(words, frames, model, between)
-                got = None
-                if made is not None:
-                    graph, x, senones, own, score, share = made
-                    got = forward_backward(graph, score, beam)
-                    if got is None:
-                        totals[3] += 1
-                        got = forward_backward(graph, score, wide)
-                if got is None:
-                    totals[4] += 1
+            for some, graph, x, senones, own, score, share in _prepared(batch, model, between, graphs):
+                if graph is None:
+                    totals[4] += len(some)
                     continue
-                ll, gamma, uses, last = got
-                totals[:3] += ll, len(x), 1
-                tied = np.zeros((len(x), len(senones)))
-                np.add.at(tied.T, own, gamma.T)
-                part = tied[:, :, None] * share
-                n[senones] += part.sum(axis=0)
-                sums[senones] += np.einsum("tsm,td->smd", part, x)
-                squares[senones] += np.einsum("tsm,td->smd", part, x * x)
-                np.add.at(moves, (graph.tmat[graph.source], graph.state[graph.source], graph.step), uses)
-                np.add.at(moves, (graph.tmat, graph.state, leave), last)
+                share = share.reshape(*score.shape[:2], *share.shape[1:])
+                x = x.reshape(*score.shape[:2], dim)
+                left = np.arange(len(some))
+                for again, width in enumerate((beam, wide)):
+                    alive, ll, gamma, uses, last = forward_backward(graph, score[left], width)
+                    totals[3] += again * len(left)
+                    who = left[alive]
+                    totals[:3] += ll[alive].sum(), x.shape[1] * len(who), len(who)
+                    tied = np.zeros((len(who), x.shape[1], len(senones)))
+                    for state, place in enumerate(own):
+                        tied[:, :, place] += gamma[alive][:, :, state]
+                    part = tied[:, :, :, None] * share[who]
+                    n[senones] += part.sum(axis=(0, 1))
+                    sums[senones] += np.einsum("utsm,utd->smd", part, x[who])
+                    squares[senones] += np.einsum("utsm,utd->smd", part, x[who] ** 2)
+                    np.add.at(moves, (graph.tmat[graph.source], graph.state[graph.source], graph.step), uses[alive].sum(axis=0))
+                    np.add.at(moves, (graph.tmat, graph.state, leave), last[alive].sum(axis=0))
+                    left = left[~alive]
+                    if not len(left):
+                        break
+                totals[4] += len(left)
         rows = [("density", s, m, 0, n[s, m], sums[s, m], squares[s, m]) for s, m in zip(*np.nonzero(n), strict=True)]
         rows += [("move", *at, moves[at], None, None) for at in zip(*map(np.ndarray.tolist, np.nonzero(moves)), strict=True)]
         rows += [("total", a, 0, 0, v, None, None) for a, v in enumerate(totals) if v]
         yield pd.DataFrame(rows, columns=["kind", "a", "b", "c", "n", "sums", "squares"])
 
-    each = spread(said.select("words", "frames")).mapInPandas(run, STATISTICS)
+    each = spread(_flat(said)).mapInPandas(run, STATISTICS)
     added = lambda c: F.when(F.col("kind") == "density", F.array(*[F.sum(F.get(c, F.lit(d))) for d in range(dim)])).alias(c)
     return each.groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n"), added("sums"), added("squares"))
 
@@ -282,23 +315,30 @@ def align(said: DataFrame, key: str, model: dict, between: bool = False) -> Data
     columns = [key, "seq", "word", "phone", "start_frame", "end_frame", "score"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graphs: dict = {}
         for batch in batches:
-            rows = []
-            for name, words, frames in zip(batch[key], batch["words"], batch["frames"], strict=True):
-                made = _prepared(words, frames, model, between)
-                got = best_path(made[0], made[4]) if made is not None else None
-                if got is None:
-                    rows.append((name, *[None] * 6))
-                    continue
-                graph, (score, path) = made[0], got
-                slot = graph.slot[path]
-                # A slot is entered once; a word said twice has slots of its own.
-                starts = np.append(0, np.flatnonzero(np.diff(slot)) + 1)
-                ends = np.append(starts[1:], len(path)) - 1
-                for seq, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                    word = graph.word[slot[a]]
-                    rows.append((name, seq, word if word >= 0 else None, graph.phones[slot[a]], a, b, score))
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
+            names = batch[key]
+            for some, graph, _, _, _, score, _ in _prepared(batch, model, between, graphs):
+                found = np.zeros(len(some), dtype=bool)
+                if graph is not None:
+                    found, total, path = best_path(graph, score)
+                    slot = graph.slot[path[found]]
+                    # A slot is entered once; a word said twice has slots of its own.
+                    new = np.ones(slot.shape, dtype=bool)
+                    new[:, 1:] = slot[:, 1:] != slot[:, :-1]
+                    who, start = np.nonzero(new)
+                    if len(who):
+                        end = np.append(np.where(who[1:] == who[:-1], start[1:] - 1, slot.shape[1] - 1), slot.shape[1] - 1)
+                        here = slot[who, start]
+                        words = np.array([w if w >= 0 else None for w in graph.word], dtype=object)
+                        as_is = lambda values: pd.Series(values, dtype=object)
+                        yield pd.DataFrame({
+                            key: as_is(names.iloc[some[found][who]].to_numpy()), "seq": new.cumsum(axis=1)[who, start] - 1, "word": as_is(words[here]),
+                            "phone": as_is(np.array(graph.phones, dtype=object)[here]), "start_frame": start, "end_frame": end, "score": total[found][who],
+                        })
+                if not found.all():
+                    lost = names.iloc[some[~found]].to_numpy()
+                    yield pd.DataFrame({c: pd.Series(lost if c == key else [None] * len(lost), dtype=object) for c in columns})
 
     kind = said.schema[key].dataType.simpleString()
-    return spread(said.select(key, "words", "frames")).mapInPandas(run, f"{key} {kind}, seq int, word int, phone string, start_frame int, end_frame int, score double")
+    return spread(_flat(said, key)).mapInPandas(run, f"{key} {kind}, seq int, word int, phone string, start_frame int, end_frame int, score double")

@@ -162,3 +162,24 @@ def test_training_and_alignment(spark):
     stopped = training.train(said, m, 5, threshold=1e9)[1]
     assert len(stopped) == 2
     assert said.filter(F.col("words").isNull()).count() == 1
+
+
+def test_utterances_together_are_as_alone():
+    """Forward-backward and best paths of many utterances of one graph, one of them without a path, against one at a time."""
+    from cadenza.plans.training import _model
+
+    m = _model()
+    graph = training.Graph([[["f"], ["f", "x"]], [["3"]]], m)
+    score = np.random.default_rng(3).normal(size=(5, 6, len(graph.senone))) * 3
+    score[2] = -np.inf
+    score[2, :, 0] = 0.0  # never leaves the first silence
+    alive, ll, gamma, uses, last = training.forward_backward(graph, score, 1e-80)
+    found, total, path = training.best_path(graph, score)
+    assert alive.tolist() == found.tolist() == [True, True, False, True, True]
+    for u in np.flatnonzero(alive):
+        one = training.forward_backward(graph, score[u : u + 1], 1e-80)
+        for a, b in zip((ll, gamma, uses, last), one[1:], strict=True):
+            assert np.allclose(a[u], b[0], atol=1e-12)
+        assert np.allclose(gamma[u].sum(axis=1), 1)
+        _, alone, way = training.best_path(graph, score[u : u + 1])
+        assert total[u] == alone[0] and path[u].tolist() == way[0].tolist()
