@@ -1,6 +1,7 @@
 """Discriminative training on lattices: posteriors of arcs, numerator less denominator statistics, extended Baum-Welch updates.
 
-A lattice is the arcs of one key, its rows gathered into one; tasks run the recursions over lattices, the frames'
+A lattice is the arcs of one key, its rows gathered into one; tasks run the recursions over lattices, at once over those
+of a batch that have the same arcs; the frames'
 statistics are joins and sums of DataFrames, and an update is a column expression over the summed statistics.
 """
 
@@ -20,8 +21,8 @@ FLOOR = 1e-4
 SAFE, DAMP = 2.0, 3.0
 
 
-def posteriors_of(src: np.ndarray, dst: np.ndarray, score: np.ndarray) -> tuple[float, np.ndarray]:
-    """Log total of all paths from nodes without arcs into them to nodes without arcs out of them, and the log posterior of each arc.
+def posteriors_of(src: np.ndarray, dst: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lattices of the same arcs (score: lattices, arcs): log totals of all paths from nodes without arcs into them to nodes without arcs out of them, and the log posteriors of the arcs.
 
     Arcs are taken in a topological order of their nodes; a cycle is an error.
     """
@@ -30,25 +31,25 @@ def posteriors_of(src: np.ndarray, dst: np.ndarray, score: np.ndarray) -> tuple[
     out = [[] for _ in range(n)]
     for i, node in enumerate(a):
         out[node].append(i)
-    waiting, order, alpha = np.bincount(b, minlength=n), [], np.full(n, -np.inf)
+    waiting, order, alpha = np.bincount(b, minlength=n), [], np.full((len(score), n), -np.inf)
     starts = np.flatnonzero(waiting == 0)
     open_ = starts.tolist()
-    alpha[starts] = 0.0
+    alpha[:, starts] = 0.0
     while open_:
         node = open_.pop()
         for i in out[node]:
             order.append(i)
-            alpha[b[i]] = np.logaddexp(alpha[b[i]], alpha[node] + score[i])
+            alpha[:, b[i]] = np.logaddexp(alpha[:, b[i]], alpha[:, node] + score[:, i])
             waiting[b[i]] -= 1
             if not waiting[b[i]]:
                 open_.append(b[i])
     if len(order) < len(src):
         raise ValueError("a lattice with a cycle")
-    beta = np.where(np.bincount(a, minlength=n) == 0, 0.0, -np.inf)
+    beta = np.tile(np.where(np.bincount(a, minlength=n) == 0, 0.0, -np.inf), (len(score), 1))
     for i in reversed(order):
-        beta[a[i]] = np.logaddexp(beta[a[i]], beta[b[i]] + score[i])
-    total = float(np.logaddexp.reduce(beta[starts]))
-    return total, alpha[a] + score + beta[b] - total
+        beta[:, a[i]] = np.logaddexp(beta[:, a[i]], beta[:, b[i]] + score[:, i])
+    total = np.logaddexp.reduce(beta[:, starts], axis=1)
+    return total, alpha[:, a] + score + beta[:, b] - total[:, None]
 
 
 def arc_posteriors(arcs: DataFrame, key: str, scale: float = 1.0) -> DataFrame:
@@ -62,19 +63,22 @@ def arc_posteriors(arcs: DataFrame, key: str, scale: float = 1.0) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = []
-            for name, rows in zip(batch[key], batch["arcs"], strict=True):
-                good = [r for r in rows if r["score"] is not None and r["score"] == r["score"]]
-                found = {}
-                total = None
-                if good:
-                    src, dst = (np.array([r[c] for r in good], dtype=np.int64) for c in ("src", "dst"))
-                    total, log = posteriors_of(src, dst, np.array([r["score"] for r in good], dtype=float))
-                    found = {id(r): float(v) for r, v in zip(good, log, strict=True)}
-                made += [(name, r["arc"], found.get(id(r)), total) for r in rows]
-            yield pd.DataFrame(made, columns=[key, "arc", "log_posterior", "log_total"], dtype=object)
-
-    lattices = arcs.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias("arcs"))
+            alike: dict = {}  # lattices of the same arcs, and of the same arcs without a score, are worked on at once
+            for row, (src, dst, score) in enumerate(zip(batch["src"], batch["dst"], batch["score"], strict=True)):
+                alike.setdefault((src.tobytes(), dst.tobytes(), np.isnan(score).tobytes()), []).append(row)
+            for rows in alike.values():
+                src, dst = batch["src"].iloc[rows[0]], batch["dst"].iloc[rows[0]]
+                score = np.stack([batch["score"].iloc[r] for r in rows])
+                good = ~np.isnan(score[0])
+                total, log = np.full(len(rows), np.nan), np.full(score.shape, np.nan)
+                if good.any():
+                    total, log[:, good] = posteriors_of(src[good], dst[good], score[:, good])
+                names, size = batch[key].iloc[rows].to_numpy().repeat(len(src)), len(src)
+                arc = np.concatenate([batch["arc"].iloc[r] for r in rows])
+                as_is = lambda v: pd.Series(v, dtype=object if v.dtype.kind == "O" else None)
+                yield pd.DataFrame({key: as_is(names), "arc": as_is(arc), "log_posterior": log.ravel(), "log_total": total.repeat(size)})
+
+    lattices = arcs.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias("arcs")).select(key, *[F.col(f"arcs.{c}").alias(c) for c in ("arc", "src", "dst", "score")])
     return spread(lattices).mapInPandas(run, f"{key} {kinds[key]}, arc {kinds['arc']}, log_posterior double, log_total double")
 
 

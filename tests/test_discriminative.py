@@ -89,3 +89,15 @@ def test_updates_keep_variances_positive(spark):
             assert r["mean"] == pytest.approx(new)
             assert r["var"] == pytest.approx(max(1e-4, (q + needed * (var + mean * mean)) / (n + needed) - new * new))
             assert r["var"] > 1e-4
+
+
+def test_lattices_together_are_as_alone():
+    src, dst = np.array([0, 0, 1, 1, 2]), np.array([1, 2, 2, 3, 3])
+    score = np.random.default_rng(5).normal(size=(4, 5))
+    total, log = discriminative.posteriors_of(src, dst, score)
+    assert log.shape == (4, 5)
+    for n in range(4):
+        one, alone = discriminative.posteriors_of(src, dst, score[n : n + 1])
+        assert one[0] == total[n] and alone[0].tolist() == log[n].tolist()
+        paths = [[0, 2, 4], [0, 3], [1, 4]]
+        assert np.isclose(total[n], np.logaddexp.reduce([score[n, p].sum() for p in paths]))
