@@ -87,17 +87,19 @@ def codeword_normalised(utterances: DataFrame, key: str, codebook: dict, passes:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, frames in zip(batch[key], batch["frames"], strict=True):
-                if frames is None or not len(frames):
+            for name, flat, n in zip(batch[key], batch["x"], batch["n"], strict=True):
+                if not n > 0:
                     continue
-                z = np.array([list(f) for f in frames], dtype=float)
+                z = np.asarray(flat, dtype=float).reshape(n, mean.shape[1])
                 noise, tilt, likelihood, _ = estimated(z, prob, mean, var, passes)
                 x = cleaned(z, noise, tilt, prob, mean, var)
                 rows = {key: name, "frame": np.arange(len(z), dtype=np.int32), "vec": list(x)}
                 yield pd.DataFrame(rows).assign(noise=[noise] * len(z), tilt=[tilt] * len(z), likelihood=likelihood)
 
     kind = utterances.schema[key].dataType.simpleString()
-    return utterances.select(key, "frames").mapInPandas(run, f"{key} {kind}, frame int, vec array<double>, noise array<double>, tilt array<double>, likelihood double")
+    # All numbers of the frames in one array: an object for each frame would take many times the memory.
+    flat = utterances.select(key, F.coalesce(F.size("frames"), F.lit(0)).alias("n"), F.flatten("frames").cast("array<double>").alias("x"))
+    return flat.mapInPandas(run, f"{key} {kind}, frame int, vec array<double>, noise array<double>, tilt array<double>, likelihood double")
 
 
 def read_codebook(spark: SparkSession, path: str) -> dict:

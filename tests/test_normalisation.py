@@ -104,3 +104,13 @@ def test_codebook_files(spark, tmp_path):
         normalisation.read_codebook(spark, str(tmp_path / "bad"))
     with pytest.raises(ValueError):
         normalisation.codeword_normalised(model, "code", {c: v[:1] for c, v in CODEBOOK.items()})
+
+
+def test_frames_are_handed_over_flat(spark, capsys):
+    """A Python object a frame takes several times the memory of its numbers."""
+    frames = spark.createDataFrame([(1, [[1.0, 0.5], [4.0, 0.0]]), (2, None)], "utt int, frames array<array<double>>")
+    book = {"prob": [0.5, 0.5], "mean": [[0.0, 0.0], [3.0, 0.0]], "var": [[1.0, 1.0], [1.0, 1.0]]}
+    out = normalisation.codeword_normalised(frames, "utt", book)
+    assert out.count() == 2
+    out.explain()
+    assert "flatten(frames" in capsys.readouterr().out
