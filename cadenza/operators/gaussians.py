@@ -182,16 +182,17 @@ def kmeans_converged(vectors: DataFrame, centres: DataFrame, least: float = 1e-3
     """Lloyd steps until the squared error falls by at most the share least of the one before, or most of them: centres and telemetry.
 
     The centres are those of the last assignment. The telemetry has step (moves of the centres so far), error and fell
-    (the relative fall; null for the first). A cluster that no vector chooses is an error. A step is one pass
-    over vectors, and one row a cluster comes to the driver.
+    (the relative fall; null for the first). A cluster that no vector chooses is an error. Vectors are read once:
+    a step is one pass over the different ones with their numbers, and one row a cluster comes to the driver.
     """
     telemetry, names = [], {r["k"] for r in centres.select("k").distinct().collect()}
+    different = cut(vectors.groupBy("v").agg(F.count(F.lit(1)).alias("w")))
     while True:
         dims = F.transform("v", lambda x, i: F.struct(i.alias("dim"), x.alias("x")))
         # The error stands beside the dimensions of a cluster, so that one aggregation gives both.
         error_too = F.concat(dims, F.array(F.struct(F.lit(-1).alias("dim"), F.col("d2").alias("x"))))
-        each = nearest(vectors, centres).select("k", F.explode(error_too).alias("e"))
-        sums = cut(each.groupBy("k", "e.dim").agg(F.sum("e.x").alias("s"), F.count(F.lit(1)).alias("n")))
+        each = nearest(different, centres).select("k", "w", F.explode(error_too).alias("e"))
+        sums = cut(each.groupBy("k", "e.dim").agg(F.sum(F.col("e.x") * F.col("w")).alias("s"), F.sum("w").alias("n")))
         errors = {r["k"]: r["s"] for r in sums.filter("dim = -1").collect()}
         if names - errors.keys():
             raise ValueError(f"empty clusters: {sorted(names - errors.keys())}")

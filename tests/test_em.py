@@ -50,3 +50,13 @@ def test_kmeans_stops_and_reports_empty_clusters(spark):
     assert len(gaussians.kmeans_converged(frame, seeds(start), 0.0, 1)[1]) == 2
     with pytest.raises(ValueError, match="empty clusters: \\[1\\]"):
         gaussians.kmeans_converged(frame, seeds([[0.0, 0.0], [500.0, 500.0]]))
+
+
+def test_kmeans_reads_equal_vectors_once(spark, monkeypatch):
+    frame = spark.createDataFrame([([float(n % 4), 0.0],) for n in range(200)], "v array<double>")
+    start = spark.createDataFrame([(0, 0, 0.0), (0, 1, 0.0), (1, 0, 3.0), (1, 1, 0.0)], "k int, dim int, c double")
+    seen, nearest = [], gaussians.nearest
+    monkeypatch.setattr(gaussians, "nearest", lambda vectors, centres: seen.append(vectors.count()) or nearest(vectors, centres))
+    got, telemetry = gaussians.kmeans_converged(frame, start)
+    assert set(seen) == {4} and telemetry[-1]["error"] == 50.0
+    assert {(r["k"], r["dim"]): r["c"] for r in got.collect()} == {(0, 0): 0.5, (0, 1): 0.0, (1, 0): 2.5, (1, 1): 0.0}
