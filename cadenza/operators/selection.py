@@ -11,8 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Frames of a block.
-BLOCK = 16384
+from .lineage import cut
+
+#: Frames of a block, blocks of a partition.
+BLOCK, BLOCKS = 16384, 32
 
 
 def boxes(mean: np.ndarray, var: np.ndarray, threshold: float, absolute: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +94,9 @@ def selected_densities(frames: DataFrame, densities: DataFrame, trees: DataFrame
     """
     kind = lambda c: frames.schema[c].dataType.simpleString()
     density_kind = densities.schema["density"].dataType.simpleString()
-    blocks = frames.groupBy(codebook).agg(F.count(F.lit(1)).alias("frames")).select(codebook, F.ceil(F.col("frames") / block).alias("blocks"))
+    blocks = cut(frames.groupBy(codebook).agg(F.count(F.lit(1)).alias("frames")).select(codebook, F.ceil(F.col("frames") / block).alias("blocks")))
+    # Partitions grow with the frames, so that no task reads more of them in a larger table.
+    parts = max(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(blocks.agg(F.sum("blocks")).first()[0] or 0) // BLOCKS))
     dealt = frames.select(*keys, codebook, "vec").join(blocks, codebook).withColumn("block", F.pmod(F.xxhash64(*keys), F.col("blocks"))).drop("blocks")
     model = densities.groupBy(codebook).agg(F.array_sort(F.collect_list(F.struct("density", "mean", "var"))).alias("g"))
     nodes = trees.groupBy(codebook).agg(F.collect_list(F.struct("node", "dim", "plane", "densities")).alias("t"))
@@ -126,4 +130,5 @@ def selected_densities(frames: DataFrame, densities: DataFrame, trees: DataFrame
         return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
     schema = ", ".join(f"{c} {kind(c)}" for c in [*keys, codebook]) + f", rank int, density {density_kind}, score double, scored int"
+    dealt, known = dealt.repartition(parts, codebook, "block"), known.repartition(parts, "own_codebook", "own_block")
     return dealt.groupBy(codebook, "block").cogroup(known.groupBy("own_codebook", "own_block")).applyInPandas(score, schema)

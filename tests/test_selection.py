@@ -64,3 +64,10 @@ def test_thresholds_and_degenerate_models(spark):
     low, high = selection.boxes(np.zeros((1, 2)), np.ones((1, 2)), -5.0, absolute=True)
     at_edge = -0.5 * (2 * np.log(2 * np.pi) + high[0, 0] ** 2)
     assert at_edge == pytest.approx(-5.0) and np.allclose(low, -high)
+
+
+def test_partitions_grow_with_the_frames(spark):
+    x, cb = np.arange(3000.0).reshape(1500, 2) % 7, [0] * 1500
+    model = spark.createDataFrame([(0, 0, [1.0, 1.0], [1.0, 1.0])], "cb int, density int, mean array<double>, var array<double>")
+    got = selection.selected_densities(frames_of(spark, x, cb), model, selection.box_trees(model, "cb"), "cb", ["id"], block=1)
+    assert got.rdd.getNumPartitions() >= 1500 // selection.BLOCKS > int(spark.conf.get("spark.sql.shuffle.partitions")) and got.count() == 1500
