@@ -120,6 +120,16 @@ def contexts(rows: DataFrame, key: str, phone: str, fillers: Sequence[str] = FIL
     return named.filter(~F.col(phone).isin(*fillers))
 
 
+def contexts_of(words: Column, fillers: Sequence[str] = FILLERS) -> Column:
+    """left, phone, right, wpos of all phones of words (an array of arrays of phones), in an array: contexts and word_position within one row, nothing is shuffled."""
+    place = lambda i, n: F.when(n == 1, "s").when(i == 0, "b").when(i == n - 1, "e").otherwise("i")
+    phones = F.flatten(F.transform(words, lambda w: F.transform(w, lambda p, i: F.struct(p.alias("phone"), place(i, F.size(w)).alias("wpos")))))
+    near = lambda c, at: F.coalesce(F.when(F.get(c, at)["phone"].isin(*fillers), "SIL").otherwise(F.get(c, at)["phone"]), F.lit("SIL"))
+    each = lambda c: F.transform(c, lambda p, i: F.struct(near(c, i - 1).alias("left"), p["phone"].alias("phone"), near(c, i + 1).alias("right"), p["wpos"].alias("wpos")))
+    # The lambda over one element has the phones made once.
+    return F.filter(F.flatten(F.transform(F.array(phones), each)), lambda x: ~x["phone"].isin(*fillers))
+
+
 def word_position(rows: DataFrame, key: str, ends_word: str) -> DataFrame:
     """wpos of each phone from the mark on a word's last phone: b begin, i inside, e end, s single."""
     starts = F.coalesce(F.lag(ends_word).over(_line(key)), F.lit(True))

@@ -172,3 +172,14 @@ def test_compound_questions(spark):
     ask = trees.compound([[("l", ["a"], False), ("r", ["x"], False)], [("l", ["b"], False), ("r", ["x"], True)], [("r", ["z"], False)]])
     assert [r["q"] for r in rows.select(ask.alias("q")).collect()] == [True, True, False]
     assert [r["q"] for r in rows.select(trees.compound([]).alias("q"), trees.compound([[]]).alias("w")).collect()] == [False] * 3
+
+
+def test_contexts_within_a_row(spark, capsys):
+    from cadenza.operators import sequences
+    from cadenza.plans import texts
+
+    rows = spark.createDataFrame([([["a", "b"], ["SIL"], ["c"], [], ["d", "e", "f"]],), ([],), (None,)], "w array<array<string>>")
+    got = [[tuple(c) for c in r["c"]] for r in rows.select(sequences.contexts_of(F.col("w")).alias("c")).collect() if r["c"]]
+    assert got == [[("SIL", "a", "b", "b"), ("a", "b", "SIL", "e"), ("SIL", "c", "d", "s"), ("c", "d", "e", "b"), ("d", "e", "f", "i"), ("e", "f", "SIL", "e")]]
+    texts.word_position_contexts(spark, "/root/testdata/sf0.001").explain()
+    assert "Window" not in capsys.readouterr().out
