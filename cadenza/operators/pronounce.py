@@ -1,17 +1,20 @@
 """Grapheme to phoneme: alignment of letters and phones by EM, a joint n-gram model of aligned units, decoding with a beam.
 
 A unit pairs a chunk of letters with a chunk of phones. Words are rows, so expectation, alignment and decoding are spread over
-tasks; each task adds the counts of its words up before they are shuffled. Models are as large as the units that
+tasks; each task works on many words at once and adds their counts up before they are shuffled. Models are as large as the units that
 occur, and are shipped with the tasks up to MODEL units.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,35 +24,144 @@ from .lineage import cut, spread
 LETTERS, PHONES = 2, 2
 #: Units of a model that is shipped with tasks.
 MODEL = 1_000_000
+#: Histories and letters whose units a decoder keeps the chances of.
+KEPT = 100_000
+#: Places of units in words that are worked on at once.
+ARCS = 1 << 21
 #: What may stand for a unit without phones, and between the parts of a chunk, in texts.
 NOTHING, JOIN = "_", "+"
 
 
 def _units(letters: list, phones: list, i: int, j: int, most: tuple[int, int]):
     """(letters, phones, i, j after) of the units that may start at i and j: single ones and one-to-many, many-to-one."""
-    for a in range(1, most[0] + 1):
-        for b in range(0 if a == 1 else 1, most[1] + 1):
-            if (a == 1 or b == 1) and i + a <= len(letters) and j + b <= len(phones):
-                yield JOIN.join(letters[i : i + a]), JOIN.join(phones[j : j + b]) if b else NOTHING, i + a, j + b
-
-
-def word_counts(letters: list, phones: list, chance, most: tuple[int, int] = (LETTERS, PHONES)) -> tuple[float, dict]:
-    """The likelihood of a word and its expected number of each unit; chance: a unit's probability. No alignment: 0 and nothing."""
-    n, m = len(letters), len(phones)
-    alpha, beta = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1))
-    alpha[0, 0] = beta[n, m] = 1.0
-    arcs = [(i, j, x, y, k, q, chance(x, y)) for i in range(n) for j in range(m + 1) for x, y, k, q in _units(letters, phones, i, j, most)]
-    for i, j, _, _, k, q, p in arcs:
-        alpha[k, q] += alpha[i, j] * p
-    for i, j, _, _, k, q, p in reversed(arcs):
-        beta[i, j] += p * beta[k, q]
-    total, counts = float(alpha[n, m]), {}
-    if total > 0:
-        for i, j, x, y, k, q, p in arcs:
-            c = alpha[i, j] * p * beta[k, q] / total
+    for a, b in _sizes(most):
+        if i + a <= len(letters) and j + b <= len(phones):
+            yield JOIN.join(letters[i : i + a]), JOIN.join(phones[j : j + b]) if b else NOTHING, i + a, j + b
+
+
+def _sizes(most: tuple[int, int]) -> list[tuple[int, int]]:
+    """Letters and phones of the kinds of units, in their order."""
+    return [(a, b) for a in range(1, most[0] + 1) for b in range(0 if a == 1 else 1, most[1] + 1) if a == 1 or b == 1]
+
+
+class _Column:
+    """Sequences of texts as numbers: the texts that occur, and the chunks of up to most of them."""
+
+    def __init__(self, column: pa.Array, most: int):
+        flat = column.flatten().dictionary_encode()
+        if flat.null_count:
+            raise ValueError("a letter or phone is null")
+        self.sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        chunk, self.names = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist()
+        single, names, self.at = chunk, self.names, {1: chunk}
+        # A chunk is numbered after all shorter ones; those that reach into the next sequence are made, too, and not used.
+        for n in range(2, most + 1):
+            pairs, found = pd.factorize(self.at[n - 1][:-1] * len(names) + single[n - 1 :])
+            parts = [divmod(int(x), len(names)) for x in found]
+            self.at[n] = pairs + len(self.names)
+            self.names = self.names + [JOIN.join((self.names[x], names[y])) for x, y in parts]
+
+
+def _alike(letters: _Column, phones: _Column, kinds: int) -> Iterator[np.ndarray]:
+    """Numbers of rows with as many letters and as many phones, few enough for about ARCS places at once."""
+    order = np.lexsort((phones.sizes, letters.sizes))
+    n, m = letters.sizes[order], phones.sizes[order]
+    edges = np.flatnonzero(np.r_[True, (n[1:] != n[:-1]) | (m[1:] != m[:-1]), True]) if len(order) else []
+    for a, b in itertools.pairwise(edges):
+        step = max(1, ARCS // int((n[a] + 1) * (m[a] + 1) * kinds))
+        yield from (order[x : min(b, x + step)] for x in range(a, b, step))
+
+
+class Lattices:
+    """The units of many words at once: words of the same sizes are the last axis of every array."""
+
+    def __init__(self, letters: pa.Array, phones: pa.Array, most: tuple[int, int]):
+        self.letters, self.phones, self.kinds = _Column(letters, most[0]), _Column(phones, most[1]), _sizes(most)
+        self.wide = len(self.phones.names) + 1
+
+    def unit(self, code: int) -> tuple[str, str]:
+        x, y = divmod(int(code), self.wide)
+        return self.letters.names[x], self.phones.names[y - 1] if y else NOTHING
+
+    def groups(self) -> Iterator[tuple]:
+        """rows, n, m, and for each kind of unit the codes at i, j (places in front of it) and word; None where it is too long."""
+        for rows in _alike(self.letters, self.phones, len(self.kinds)):
+            n, m = int(self.letters.sizes[rows[0]]), int(self.phones.sizes[rows[0]])
+            made = []
+            for a, b in self.kinds:
+                if n < a or m < b:
+                    made.append(None)
+                    continue
+                x = self.letters.at[a][self.letters.begins[rows] + np.arange(n - a + 1)[:, None]]
+                at = self.phones.begins[rows] + np.arange(m - b + 1)[:, None]
+                y = self.phones.at[b][at] + 1 if b else np.zeros_like(at)
+                made.append(x[:, None] * self.wide + y[None])
+            yield rows, n, m, made
+
+
+def _numbered(groups: list[tuple]) -> tuple[np.ndarray, np.ndarray, Iterator[tuple]]:
+    """The different codes of all groups, their numbers in a row, and the groups with numbers instead of codes."""
+    flat = [c.ravel() for g in groups for c in g[3] if c is not None]
+    numbers, codes = pd.factorize(np.concatenate(flat) if flat else np.zeros(0, dtype=np.int64))
+
+    def again() -> Iterator[tuple]:
+        at = 0
+        for rows, n, m, made in groups:
+            out = []
+            for c in made:
+                out.append(None if c is None else numbers[at : at + c.size].reshape(c.shape))
+                at += 0 if c is None else c.size
+            yield rows, n, m, out
+
+    return codes, numbers, again()
+
+
+def _portions(groups: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """The groups in lists of about ARCS places."""
+    held, size = [], 0
+    for g in groups:
+        held.append(g)
+        size += sum(c.size for c in g[3] if c is not None)
+        if size >= ARCS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def word_counts(letters: pa.Array, phones: pa.Array, chance, most: tuple[int, int] = (LETTERS, PHONES)) -> tuple[np.ndarray, dict]:
+    """The likelihood of each word (arrays of lists), and the expected number of each unit in all of them; chance: a unit's probability.
+
+    A word without an alignment has 0 and adds nothing.
+    """
+    lattices = Lattices(letters, phones, most)
+    likely, counts = np.zeros(len(letters)), {}
+    for portion in _portions(lattices.groups()):
+        codes, numbers, groups = _numbered(portion)
+        units = [lattices.unit(c) for c in codes]
+        p, shares = np.array([chance(*u) for u in units]), [np.zeros(0)]
+        for rows, n, m, at in groups:
+            alpha, beta = np.zeros((n + 1, m + 1, len(rows))), np.zeros((n + 1, m + 1, len(rows)))
+            alpha[0, 0] = beta[n, m] = 1.0
+            arcs = [(a, b, c, p[c]) for (a, b), c in zip(lattices.kinds, at, strict=True) if c is not None]
+            for i in range(n):  # every unit has a letter, so all places of a letter are taken at once
+                for a, b, _, q in arcs:
+                    if i + a <= n:
+                        alpha[i + a, b:] += alpha[i, : m + 1 - b] * q[i]
+            for i in range(n - 1, -1, -1):
+                for a, b, _, q in arcs:
+                    if i + a <= n:
+                        beta[i, : m + 1 - b] += q[i] * beta[i + a, b:]
+            total = alpha[n, m]
+            likely[rows] = total
+            for a, b, _, q in arcs:
+                through = alpha[: n + 1 - a, : m + 1 - b] * q * beta[a:, b:]
+                shares.append(np.divide(through, total, out=np.zeros_like(through), where=total > 0).ravel())
+        for u, c in zip(units, np.bincount(numbers, np.concatenate(shares), len(units)).tolist(), strict=True):
             if c > 0:
-                counts[x, y] = counts.get((x, y), 0.0) + float(c)
-    return total, counts
+                counts[u] = counts.get(u, 0.0) + c
+    return likely, counts
 
 
 def expectation(entries: DataFrame, chance: dict | None, sizes: dict[tuple[int, int], float] | None = None, most: tuple[int, int] = (LETTERS, PHONES)) -> DataFrame:
@@ -62,19 +174,19 @@ def expectation(entries: DataFrame, chance: dict | None, sizes: dict[tuple[int,
             return chance.get((x, y), 0.0)
         return 1.0 if sizes is None else sizes.get((x.count(JOIN) + 1, 0 if y == NOTHING else y.count(JOIN) + 1), 0.0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         lost = 0
         for batch in batches:
-            for letters, phones in zip(batch["letters"], batch["phones"], strict=True):
-                total, counts = word_counts(list(letters), list(phones), of, most)
-                lost += not total > 0
-                for k, v in counts.items():
-                    sums[k] = sums.get(k, 0.0) + v
+            likely, counts = word_counts(batch["letters"], batch["phones"], of, most)
+            lost += int((~(likely > 0)).sum())
+            for k, v in counts.items():
+                sums[k] = sums.get(k, 0.0) + v
         rows = [(*k, v) for k, v in sums.items()] + ([(None, None, float(lost))] if lost else [])
-        yield pd.DataFrame(rows, columns=["letters", "phones", "n"])
+        x, y, n = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(n, pa.float64())], ["letters", "phones", "n"])
 
-    part = spread(entries.select("letters", "phones")).mapInPandas(run, "letters string, phones string, n double")
+    part = spread(entries.select("letters", "phones")).mapInArrow(run, "letters string, phones string, n double")
     return part.groupBy("letters", "phones").agg(F.sum("n").alias("n"))
 
 
@@ -95,34 +207,49 @@ def train(entries: DataFrame, passes: int = 10, most: tuple[int, int] = (LETTERS
     return chance or {}
 
 
+def best_alignments(letters: pa.Array, phones: pa.Array, chance: dict, most: tuple[int, int] = (LETTERS, PHONES)) -> list:
+    """The units of the likeliest alignment of each word; None where there is none. Ties go to the first by place, then kind."""
+    lattices, out = Lattices(letters, phones, most), [None] * len(letters)
+    for portion in _portions(lattices.groups()):
+        codes, _, groups = _numbered(portion)
+        units = [lattices.unit(c) for c in codes]
+        named = [{"letters": x, "phones": y} for x, y in units]
+        log = np.array([math.log(p) if (p := chance.get(u, 0.0)) > 0 else -math.inf for u in units])
+        for rows, n, m, at in groups:
+            score = np.full((n + 1, m + 1, len(rows)), -math.inf)
+            score[0, 0] = 0.0
+            kind = np.full(score.shape, -1, dtype=np.int64)
+            for k in range(1, n + 1):
+                # What starts earlier comes first: longer units before shorter ones.
+                for t in sorted(range(len(at)), key=lambda t: (-lattices.kinds[t][0], -lattices.kinds[t][1])):
+                    (a, b), c = lattices.kinds[t], at[t]
+                    if c is None or a > k:
+                        continue
+                    now = score[k - a, : m + 1 - b] + log[c[k - a]]
+                    better = now > score[k, b:]
+                    score[k, b:][better] = now[better]
+                    kind[k, b:][better] = t
+            for w in np.flatnonzero((score[n, m] > -math.inf) & (n > 0)):
+                i, j, path = n, m, []
+                while i or j:
+                    t = kind[i, j, w]
+                    i, j = i - lattices.kinds[t][0], j - lattices.kinds[t][1]
+                    path.append(named[at[t][i, j, w]])
+                out[rows[w]] = path[::-1]
+    return out
+
+
 def aligned(entries: DataFrame, key: str, chance: dict, most: tuple[int, int] = (LETTERS, PHONES)) -> DataFrame:
     """key, units (array of letters, phones): the likeliest alignment of each entry; null where there is none."""
+    unit = pa.list_(pa.struct([("letters", pa.string()), ("phones", pa.string())]))
 
-    def best(letters: list, phones: list):
-        found = {(0, 0): (0.0, None, None)}
-        for i in range(len(letters)):
-            for j in range(len(phones) + 1):
-                if (i, j) not in found:
-                    continue
-                for x, y, k, q in _units(letters, phones, i, j, most):
-                    p = chance.get((x, y), 0.0)
-                    if p > 0 and (score := found[i, j][0] + math.log(p)) > found.get((k, q), (-math.inf,))[0]:
-                        found[k, q] = (score, (i, j), {"letters": x, "phones": y})
-        at, out = (len(letters), len(phones)), []
-        if at not in found or at == (0, 0):
-            return None
-        while found[at][1] is not None:
-            out.append(found[at][2])
-            at = found[at][1]
-        return out[::-1]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [best(list(x), list(y)) for x, y in zip(batch["letters"], batch["phones"], strict=True)]
-            yield pd.DataFrame({key: batch[key], "units": units})
+            units = best_alignments(batch["letters"], batch["phones"], chance, most)
+            yield pa.RecordBatch.from_arrays([batch[key], pa.array(units, unit)], [key, "units"])
 
     kind = entries.schema[key].dataType.simpleString()
-    return spread(entries.select(key, "letters", "phones")).mapInPandas(run, f"{key} {kind}, units array<struct<letters:string,phones:string>>")
+    return spread(entries.select(key, "letters", "phones")).mapInArrow(run, f"{key} {kind}, units array<struct<letters:string,phones:string>>")
 
 
 def joint_counts(alignments: DataFrame, order: int) -> DataFrame:
@@ -145,11 +272,20 @@ class JointModel:
             self.next.setdefault(gram[:-1], {})[gram[-1]] = n
         self.total = {h: sum(c.values()) for h, c in self.next.items()}
         self.vocabulary = len(self.next.get((), {})) + 1
+        self.kept: dict[tuple, list] = {}
         self.units: dict[str, list[str]] = {}
         for u in self.next.get((), {}):
             if u != "</s>":
                 self.units.setdefault(u.split("}")[0], []).append(u)
 
+    def logs(self, history: tuple, letters: str) -> list[tuple[float, str]]:
+        """The logarithm of the chance of each unit of these letters, with the unit; what was asked is kept, up to KEPT questions."""
+        if (found := self.kept.get((history, letters))) is None:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            found = self.kept[history, letters] = [(math.log(self.chance(history, unit)), unit) for unit in self.units.get(letters, [])]
+        return found
+
     def chance(self, history: tuple, unit: str) -> float:
         p = 1 / self.vocabulary
         for n in range(len(history) + 1):
@@ -168,8 +304,8 @@ class JointModel:
             kept = sorted(heaps[i].items(), key=lambda x: (-x[1][0], x[1][1]))[:beam]
             for history, (score, said) in kept:
                 for a in range(1, min(most, len(letters) - i) + 1):
-                    for unit in self.units.get(JOIN.join(letters[i : i + a]), []):
-                        now = (score + math.log(self.chance(history, unit)), (*said, unit))
+                    for log, unit in self.logs(history, JOIN.join(letters[i : i + a])):
+                        now = (score + log, (*said, unit))
                         after = (*history, unit)[-(self.order - 1) :] if self.order > 1 else ()
                         old = heaps[i + a].get(after)
                         if old is None or (-now[0], now[1]) < (-old[0], old[1]):

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cadenza.operators import pronounce
@@ -103,3 +104,31 @@ def test_unseen_words_are_pronounced(spark):
     errors = sum(got[w] != say(w) for w in held)
     print(f"words with an error: {errors} of {len(held)}")
     assert errors <= 0.05 * len(held)
+
+
+def test_many_words_at_once_give_what_each_gives(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    draw = lambda names, most: list(rng.choice(names, size=rng.integers(0, most)))
+    rows = [(draw(["a", "b", "é", "ch"], 7), draw(["x", "yy", "z"], 7)) for _ in range(400)]
+    chance = {}
+    for letters, phones in rows:
+        for i in range(len(letters)):
+            for j in range(len(phones) + 1):
+                for x, y, _, _ in pronounce._units(letters, phones, i, j, (2, 2)):
+                    chance.setdefault((x, y), float(rng.choice([0.0, 0.25, 0.5, 0.75])))
+    letters, phones = (pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (0, 1))
+    given = lambda x, y: chance.get((x, y), 0.0)
+    each = [pronounce.word_counts(letters[n : n + 1], phones[n : n + 1], given) for n in range(len(rows))]
+    want = {}
+    for _, counts in each:
+        for u, c in counts.items():
+            want[u] = want.get(u, 0.0) + c
+    paths = [pronounce.best_alignments(letters[n : n + 1], phones[n : n + 1], chance)[0] for n in range(len(rows))]
+    for arcs in (1, 5000, 1 << 21):
+        monkeypatch.setattr(pronounce, "ARCS", arcs)
+        likely, counts = pronounce.word_counts(letters, phones, given)
+        assert likely == pytest.approx(np.concatenate([x[0] for x in each]), rel=1e-12) and counts == pytest.approx(want)
+        assert pronounce.best_alignments(letters, phones, chance) == paths
+    calls = []
+    pronounce.word_counts(letters, phones, lambda x, y: calls.append((x, y)) or given(x, y))
+    assert len(calls) == len(set(calls))  # a unit's chance is asked once for all words, not once a place
