@@ -115,19 +115,23 @@ def corpus_part(rows: DataFrame, pos: str, total: int, part: int, parts: int) ->
 
 
 def ngrams(texts: DataFrame, key: str, text: str, *orders: int) -> DataFrame:
-    """gram, n, gram_order of the word n-grams of the given orders: a scan for each order, one aggregation.
+    """gram, n, gram_order of the word n-grams of the given orders: one scan, which makes those of the highest order only.
 
-    The grams of one order are exploded as they are made; all orders of a text in one array are slower.
+    Each place gives the gram that begins there, a shorter one near the end of its text. Grams of a lower order
+    are the first words of these, so their numbers are sums over different grams instead of places.
     """
-
-    def grams(order: int) -> DataFrame:
-        count = F.size("w") - (order - 1)
-        listed = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice("w", i, F.lit(order)), " "))
-        one = texts.select(T.words(F.col(text)).alias("w")).filter(count > 0)
-        return one.select(F.explode(listed).alias("gram"), F.lit(order).alias("gram_order"))
-
-    each = reduce(DataFrame.unionByName, map(grams, orders))
-    return each.groupBy("gram", "gram_order").agg(F.count(F.lit(1)).alias("n")).select("gram", "n", "gram_order")
+    highest, *lower = sorted(set(orders), reverse=True)
+    placed = texts.select(T.words(F.col(text)).alias("w")).select("w", F.posexplode("w").alias("i", "first"))
+    gram = F.concat_ws(" ", "first", *[F.get("w", F.col("i") + k) for k in range(1, highest)])
+    words = F.least(F.size("w") - F.col("i"), F.lit(highest))
+    level = placed.select(gram.alias("gram"), words.alias("k")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"))
+    # k is an aggregate: a filter on a key would be pushed below the shuffle, which could then not be shared.
+    each = [level.filter(F.col("k") == highest)]
+    for order in lower:
+        head = F.substring_index("gram", " ", order).alias("gram")
+        level = level.select(head, "n", F.least("k", F.lit(order)).alias("k")).groupBy("gram").agg(F.sum("n").alias("n"), F.max("k").alias("k"))
+        each.append(level.filter(F.col("k") == order))
+    return reduce(DataFrame.unionByName, each).select("gram", "n", F.col("k").alias("gram_order"))
 
 
 def digest_tree(lines: DataFrame, line: str, width: int = 6) -> DataFrame:

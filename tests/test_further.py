@@ -1,6 +1,7 @@
 """Measures, layouts, parameter files, text conversions and checks on small cases."""
 
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -183,3 +184,27 @@ def test_contexts_within_a_row(spark, capsys):
     assert got == [[("SIL", "a", "b", "b"), ("a", "b", "SIL", "e"), ("SIL", "c", "d", "s"), ("c", "d", "e", "b"), ("d", "e", "f", "i"), ("e", "f", "SIL", "e")]]
     texts.word_position_contexts(spark, "/root/testdata/sf0.001").explain()
     assert "Window" not in capsys.readouterr().out
+
+
+def test_ngrams_read_each_text_once(spark):
+    lines = ["a b c a b", "a  b", "c", "", " ", None, "a b c", "é x y\nz"] * 3
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(line):
+        read.add(1)
+        return line
+
+    texts = spark.createDataFrame(list(enumerate(lines)), "id int, line string")
+    for orders in ((1, 2, 3), (2,), (4, 1), (3, 2)):
+        want = {}
+        for line in lines:
+            w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", line or "") if x]
+            for o in orders:
+                for i in range(len(w) - o + 1):
+                    gram = (" ".join(w[i : i + o]), o)
+                    want[gram] = want.get(gram, 0) + 1
+        before = read.value
+        got = corpus.ngrams(texts.withColumn("text", seen("line")), "id", "text", *orders).collect()
+        assert {(r["gram"], r["gram_order"]): r["n"] for r in got} == want and len(got) == len(want)
+        assert read.value - before == len(lines)
