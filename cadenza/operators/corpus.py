@@ -121,7 +121,8 @@ def ngrams(texts: DataFrame, key: str, text: str, *orders: int) -> DataFrame:
     are the first words of these, so their numbers are sums over different grams instead of places.
     """
     highest, *lower = sorted(set(orders), reverse=True)
-    placed = texts.select(T.words(F.col(text)).alias("w")).select("w", F.posexplode("w").alias("i", "first"))
+    # Outer: else Spark tests for words first and splits each text twice.
+    placed = texts.select(T.words(F.col(text)).alias("w")).select("w", F.posexplode_outer("w").alias("i", "first")).filter("first IS NOT NULL")
     gram = F.concat_ws(" ", "first", *[F.get("w", F.col("i") + k) for k in range(1, highest)])
     words = F.least(F.size("w") - F.col("i"), F.lit(highest))
     level = placed.select(gram.alias("gram"), words.alias("k")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"))
