@@ -153,12 +153,24 @@ def frames_of_segments(segs: DataFrame, key: str, state: str) -> DataFrame:
 
 
 def fill_gaps(intervals: DataFrame, key: str, begin: str, end: str, label: str, to: Column) -> DataFrame:
-    """key, begin, end, label with empty intervals for what [0, to] is not covered by; intervals don't overlap."""
-    before = F.coalesce(F.max(end).over(_line(key, begin).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    gap = intervals.select(key, before.alias("a"), F.col(begin).alias("b"))
-    last = intervals.groupBy(key).agg(F.max(end).alias("a"), F.max(to).alias("b"))
-    empty = gap.unionByName(last).filter("b > a").select(key, F.col("a").alias(begin), F.col("b").alias(end), F.lit("").alias(label))
-    return intervals.select(key, begin, end, label).unionByName(empty)
+    """key, begin, end, label with empty intervals for what [0, to] is not covered by; intervals don't overlap.
+
+    One pass over the intervals: each is returned with the gap in front of it, the last of a key with the gap behind it.
+    """
+    so_far = _line(key, begin).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = intervals.select(key, begin, end, label, to.alias("to"))
+    placed = placed.select("*", F.max(end).over(so_far).alias("done"), F.max("to").over(so_far).alias("until"))
+    before = F.coalesce(F.lag("done").over(_line(key, begin)), F.lit(0.0))
+    last = F.lead(F.lit(True)).over(_line(key, begin)).isNull()
+    row = lambda a, b, name: F.struct(a.alias(begin), b.alias(end), name.alias(label))
+    gap = lambda a, b, there: F.when(there & (b > a), row(a, b, F.lit("")))
+    placed = placed.select("*", before.alias("before"), last.alias("last"))
+    each = F.array(
+        row(F.col(begin), F.col(end), F.col(label)),
+        gap(F.col("before"), F.col(begin), F.lit(True)),
+        gap(F.col("done"), F.col("until"), F.col("last")),
+    )
+    return placed.select(key, F.explode(each).alias("one")).filter("one IS NOT NULL").select(key, "one.*")
 
 
 def transitions(rows: DataFrame, key: str, state: str) -> DataFrame:

@@ -208,3 +208,19 @@ def test_ngrams_read_each_text_once(spark):
         got = corpus.ngrams(texts.withColumn("text", seen("line")), "id", "text", *orders).collect()
         assert {(r["gram"], r["gram_order"]): r["n"] for r in got} == want and len(got) == len(want)
         assert read.value - before == len(lines)
+
+
+def test_gaps_are_filled_in_one_pass(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        read.add(1)
+        return x
+
+    rows = [(1, 0.0, 1.0, "a"), (1, 3.0, 4.0, "b"), (1, 4.0, 4.5, None), (None, 2.0, 3.0, "c"), (2, 5.0, 6.0, "d"), (3, 0.0, 7.0, "e")]
+    frame = spark.createDataFrame(rows, "k int, b double, e double, name string")
+    got = sequences.fill_gaps(frame.withColumn("b", seen("b")), "k", "b", "e", "name", F.lit(6.0)).collect()
+    empty = [(1, 1.0, 3.0, ""), (1, 4.5, 6.0, ""), (None, 0.0, 2.0, ""), (None, 3.0, 6.0, ""), (2, 0.0, 5.0, "")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows + empty))
+    assert read.value == len(rows)
