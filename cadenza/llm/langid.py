@@ -28,6 +28,8 @@ ORDERS, MIN_SHARE, SAMPLE = (2, 3, 4), 2e-5, 1500
 POSITIONS, HASHES = 1 << 20, 3
 #: Fold of the rows that nothing is learned from.
 MODULUS, HELD_OUT = 4, 2
+#: Characters whose n-grams a Python worker holds at once.
+PORTION = 50_000
 #: Prediction for texts without letters.
 UNDETERMINED = "und"
 
@@ -127,7 +129,7 @@ class Filters:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         known = [t or "" for t in texts]
         names, scores = [], np.zeros(len(texts))
-        for a, b in slices(known):
+        for a, b in slices(known, PORTION):
             count, total = self.hits(known[a:b])
             share = count / np.maximum(1, total)[:, None]
             if not self.languages:
@@ -169,14 +171,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Filters:
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
                 texts = rows["text"].tolist()
-                for a, b in slices(texts):
+                for a, b in slices(texts, PORTION):
                     for order, _, h in grams(texts[a:b]):
                         found, n = np.unique(h, return_counts=True)
                         yield pd.DataFrame({"lang": lang, "gram_order": order, "gram": found.view(np.int64), "n": n})
 
     counted = taught.mapInPandas(count, "lang string, gram_order int, gram long, n long")
     summed = counted.groupBy("lang", "gram_order", "gram").agg(F.sum("n").alias("n"))
-    whole = counted.groupBy("lang", "gram_order").agg(F.sum("n").alias("whole"))
+    whole = summed.groupBy("lang", "gram_order").agg(F.sum("n").alias("whole"))  # of the sums, so that texts are counted once
     frequent = summed.join(F.broadcast(whole), ["lang", "gram_order"]).filter(F.col("n") >= F.greatest(F.lit(2), F.col("whole") * MIN_SHARE))
     table = frequent.select("lang", "gram").toArrow().to_pandas()  # at most orders / MIN_SHARE rows a language
     languages = sorted(table["lang"].unique())

@@ -464,3 +464,19 @@ def test_top_k_of_repeated_ids(spark):
         topk_search.LEAF, topk_search.SHARD, topk_search.GROUP = saved
     near = [(20, 1, 20, 4096), (20, 2, 3, 2048), (20, 3, 3, 2048)]
     assert got == sorted(2 * near + [(40, 1, 3, 0), (40, 2, 3, 0), (40, 3, 20, 0)])
+
+
+def test_language_filters_hold_few_characters_at_once(monkeypatch):
+    import tracemalloc
+
+    words = ["alpha", "beta", "gamma", "delta"]
+    texts = [" ".join(words[(n * k) % 4] for k in range(500)) for n in range(400)]
+    filters = langid.Filters(["a", "b"], [h for _, _, h in list(langid.grams(texts[:2]))[:2]])
+    got = []
+    for size in (10**9, langid.PORTION):
+        monkeypatch.setattr(langid, "PORTION", size)
+        tracemalloc.start()
+        names, scores = filters.predict(texts)
+        got.append((tracemalloc.get_traced_memory()[1], names, list(scores)))
+        tracemalloc.stop()
+    assert got[0][1:] == got[1][1:] and got[1][0] < 20e6 < got[0][0]
