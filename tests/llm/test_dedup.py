@@ -225,6 +225,36 @@ def test_pairs_that_no_band_brings_together(spark, monkeypatch):
     assert {n: got.get(n, n) for n in range(len(lines))} == dict(enumerate(roots))
 
 
+@pytest.mark.parametrize("group", [2, 256])
+def test_links_by_neighbours_are_whole_and_few_lines_meet(spark, monkeypatch, group):
+    """Without bands every similar pair is linked, and lines of the same few words that aren't similar are not compared."""
+    rng = random.Random(23)
+    words = ["".join(rng.choices("abcdefgh", k=rng.choice([2, 3, 4, 6]))) for _ in range(60)]
+    lines = [" ".join(rng.choices(words, k=rng.choice([8, 20, 45]))) for _ in range(150)]
+    lines += [" ".join([*x[: len(x) // 2], *rng.choices(words, k=n), *x[len(x) // 2 + n :]]) for x in map(str.split, lines[:40]) for n in (1, 2)]
+    lines += [x + " " + " ".join(rng.choices(words, k=1 + len(x) // 40)) for x in lines[:40]] + ["short", "aaaaaaaaa", "aaaaaaaaaaaa"]
+    lines = list(dict.fromkeys(lines))
+    rows = line_dedup.lines_of(frame(spark, list(enumerate(lines))))
+    signed = line_dedup.signatures(rows).join(rows.select("d1", "doc_id"), "d1").select("d1", "d2", F.col("doc_id").alias("lid"), "minima")
+    compared, similar = [], line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda pairs, *more: compared.append(pairs.select("u", "v").distinct().count()) or similar(pairs, *more))
+    monkeypatch.setattr(line_dedup, "buckets", lambda signed: signed.select("lid", F.col("lid").alias("bucket")))
+    monkeypatch.setattr(line_dedup, "GROUP", group, raising=False)
+    stored, checkpoint = [], line_dedup.checkpoint
+    monkeypatch.setattr(line_dedup, "checkpoint", lambda df: stored.extend(df.columns) or checkpoint(df))
+    got = {r["node"]: r["root"] for r in components(line_dedup.connections(rows, signed)).collect()}
+    sets = [shingle_set(line) for line in lines]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    roots = list(range(len(lines)))
+    for _ in lines:
+        for a, b in links:
+            roots[a] = roots[b] = min(roots[a], roots[b])
+    assert len(links) > 40
+    assert {n: got.get(n, n) for n in range(len(lines))} == dict(enumerate(roots))
+    assert group == 2 or sum(compared) <= 3 * len(links)
+    assert "line" not in stored  # texts are not written once more
+
+
 def test_large_buckets_of_lines(spark):
     rng = random.Random(1)
     base = sentence(rng, 40)
