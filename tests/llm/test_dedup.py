@@ -255,6 +255,59 @@ def test_links_by_neighbours_are_whole_and_few_lines_meet(spark, monkeypatch, gr
     assert "line" not in stored  # texts are not written once more
 
 
+@pytest.mark.parametrize("full", [3.2, 64])
+def test_similar_lines_share_words(spark, monkeypatch, full):
+    """Lines at the threshold share more words than _more, whatever differs; parts of 64 shingles leave too few words, so single ones serve."""
+    rng = random.Random(29)
+    similar = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    near = []
+    for size in [8, 9, 12, 15, 20, 30, 50, 80, 120, 200, 300, 500, 900] * 4:
+        line = "".join(rng.choices("abcde ", k=size))
+        for other in (line, "x" + line[: size // 2]):  # edited all over, or grown at the end only
+            while True:
+                at = rng.randrange(len(line))
+                changed = other[:at] + rng.choice("vwxyz") + other[at + 1 :] if other[0] != "x" else other + rng.choice("vwxyz")
+                if not similar(shingle_set(line), shingle_set(changed)) and (other[0] != "x" or len(other) > len(line)):
+                    break
+                other = changed
+            if other != line and similar(shingle_set(line), shingle_set(other)):
+                near.append((line, other))
+            near.append((line, line + "y" * (len(line) // 9)))
+    near = [p for p in near if similar(*map(shingle_set, p))]
+    assert len(near) > 60
+    monkeypatch.setattr(line_dedup, "FULL", full)
+    lines = sorted({x for p in near for x in p})
+    number = {x: n for n, x in enumerate(lines)}
+    found = {}
+    for r in line_dedup._words(spark.createDataFrame(list(enumerate(lines)), "lid long, line string")).collect():
+        found.setdefault(r["lid"], []).append((r["h"], r["size"]))
+    for n, line in enumerate(lines):
+        size = len(shingle_set(line))
+        assert {s for _, s in found[n]} == {size}
+        assert full > 4 or len(found[n]) <= 2 * 2 * (size // 4 + size // 64 + 1)
+    for a, b in near:
+        shared = {h for h, _ in found[number[a]]} & {h for h, _ in found[number[b]]}
+        assert len(shared) > min(len(shingle_set(a)), len(shingle_set(b))) // 64
+
+
+def test_lines_of_one_passage_are_not_compared(spark, monkeypatch):
+    """Lines of one crowded word that differ in most are ruled out by sketches; similar ones among them are linked."""
+    rng = random.Random(31)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    passage = text(30)
+    lines = [f"{passage} {text(30)}" for _ in range(40)]
+    lines += [x[:-6] + "qrstuv" for x in lines[:5]]
+    rows = line_dedup.lines_of(frame(spark, list(enumerate(lines))))
+    signed = line_dedup.signatures(rows).join(rows.select("d1", "doc_id"), "d1").select("d1", "d2", F.col("doc_id").alias("lid"), "minima")
+    compared, similar = [], line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda pairs, *more: compared.append(pairs.select("u", "v").distinct().count()) or similar(pairs, *more))
+    monkeypatch.setattr(line_dedup, "buckets", lambda signed: signed.select("lid", F.col("lid").alias("bucket")))
+    monkeypatch.setattr(line_dedup, "GROUP", 4)
+    got = {r["node"]: r["root"] for r in components(line_dedup.connections(rows, signed)).collect()}
+    assert {n: got.get(n, n) for n in range(45)} == {n: n % 40 for n in range(45)}
+    assert sum(compared) < 200  # of 990 pairs; with heads, before sketches
+
+
 def test_large_buckets_of_lines(spark):
     rng = random.Random(1)
     base = sentence(rng, 40)
