@@ -1,15 +1,17 @@
 """Grapheme to phoneme: alignment of letters and phones by EM, a joint n-gram model of aligned units, decoding with a beam.
 
 A unit pairs a chunk of letters with a chunk of phones. Words are rows, so expectation, alignment and decoding are spread over
-tasks; each task works on many words at once and adds their counts up before they are shuffled. Models are as large as the units that
-occur, and are shipped with the tasks up to MODEL units.
+tasks; each task works on many words at once and adds their counts up before they are shuffled. A word that is too long for that is
+worked on by itself, a row of its lattice at a time. Models are as large as the units that occur, and are shipped with the tasks up to
+MODEL units.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,9 @@ LETTERS, PHONES = 2, 2
 MODEL = 1_000_000
 #: Histories and letters whose units a decoder keeps the chances of.
 KEPT = 100_000
-#: Places of units in words that are worked on at once.
+#: Totals below this, or above its inverse, are taken in logarithms: products of two of them still are exact.
+SMALL = 1e-150
+#: Places of units in words that are worked on at once; a word of more is worked on by rows.
 ARCS = 1 << 21
 #: What may stand for a unit without phones, and between the parts of a chunk, in texts.
 NOTHING, JOIN = "_", "+"
@@ -63,9 +67,10 @@ class _Column:
             self.names = self.names + [JOIN.join((self.names[x], names[y])) for x, y in parts]
 
 
-def _alike(letters: _Column, phones: _Column, kinds: int) -> Iterator[np.ndarray]:
-    """Numbers of rows with as many letters and as many phones, few enough for about ARCS places at once."""
+def _alike(letters: _Column, phones: _Column, kinds: int, long: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of rows with as many letters and as many phones, few enough for about ARCS places at once; without long ones."""
     order = np.lexsort((phones.sizes, letters.sizes))
+    order = order[~long[order]]
     n, m = letters.sizes[order], phones.sizes[order]
     edges = np.flatnonzero(np.r_[True, (n[1:] != n[:-1]) | (m[1:] != m[:-1]), True]) if len(order) else []
     for a, b in itertools.pairwise(edges):
@@ -79,6 +84,7 @@ class Lattices:
     def __init__(self, letters: pa.Array, phones: pa.Array, most: tuple[int, int]):
         self.letters, self.phones, self.kinds = _Column(letters, most[0]), _Column(phones, most[1]), _sizes(most)
         self.wide = len(self.phones.names) + 1
+        self.long = (self.letters.sizes + 1) * (self.phones.sizes + 1) * len(self.kinds) > ARCS
 
     def unit(self, code: int) -> tuple[str, str]:
         x, y = divmod(int(code), self.wide)
@@ -86,7 +92,7 @@ class Lattices:
 
     def groups(self) -> Iterator[tuple]:
         """rows, n, m, and for each kind of unit the codes at i, j (places in front of it) and word; None where it is too long."""
-        for rows in _alike(self.letters, self.phones, len(self.kinds)):
+        for rows in _alike(self.letters, self.phones, len(self.kinds), self.long):
             n, m = int(self.letters.sizes[rows[0]]), int(self.phones.sizes[rows[0]])
             made = []
             for a, b in self.kinds:
@@ -100,6 +106,129 @@ class Lattices:
             yield rows, n, m, made
 
 
+class _Rows:
+    """The lattice of one word by rows (a row: a place in its letters), in logarithms, so it may be of any length.
+
+    Of the rows only about two times the root of their number are held: the first ones of every block, and those of one block, which are
+    made again on the way back.
+    """
+
+    def __init__(self, lattices: Lattices, row: int, chance: Callable[[str, str], float]):
+        self.lattices, self.chance, self.kept, self.size = lattices, chance, {}, 0
+        x, y = lattices.letters, lattices.phones
+        self.n, self.m, self.at, self.back = int(x.sizes[row]), int(y.sizes[row]), int(x.begins[row]), max(a for a, _ in lattices.kinds)
+        # The different chunks of phones by their size, and the place of each among them.
+        self.phones = {0: (np.zeros(self.m + 1, dtype=np.int64), np.zeros(1, dtype=np.int64))}
+        for b in {b for _, b in lattices.kinds if 0 < b <= self.m}:
+            self.phones[b] = pd.factorize(y.at[b][y.begins[row] : y.begins[row] + self.m - b + 1] + 1)
+
+    def chunk(self, i: int, a: int) -> int:
+        return int(self.lattices.letters.at[a][self.at + i])
+
+    def kinds(self, i: int) -> list[tuple[int, int, int]]:
+        """Numbers and sizes of the kinds of units that may start at letter i."""
+        return [(t, a, b) for t, (a, b) in enumerate(self.lattices.kinds) if i + a <= self.n and b <= self.m]
+
+    def logs(self, i: int, a: int, b: int) -> np.ndarray:
+        """The logarithms of the chances of the units of a letters from i and b phones, by the place of the phones."""
+        x = self.chunk(i, a)
+        if (found := self.kept.get((x, b))) is None:
+            units = [self.lattices.unit(x * self.lattices.wide + y) for y in self.phones[b][1]]
+            found = np.array([math.log(p) if (p := self.chance(*u)) > 0 else -math.inf for u in units])
+            if self.size + len(found) > ARCS:
+                self.kept, self.size = {}, 0
+            self.kept[x, b], self.size = found, self.size + len(found)
+        return found[self.phones[b][0]]
+
+    def after(self, k: int, before: list, best: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Row k from those before it (the last one is row k - 1): of all paths, or of the best one with the kinds of its last units."""
+        score = np.full(self.m + 1, -math.inf)
+        kind = np.full(self.m + 1, -1, dtype=np.int16) if best else None
+        # What starts earlier comes first, as in best_alignments.
+        for t, (a, b) in sorted(enumerate(self.lattices.kinds), key=lambda x: (-x[1][0], -x[1][1])):
+            if a > k or b > self.m:
+                continue
+            now = before[-a][: self.m + 1 - b] + self.logs(k - a, a, b)
+            if best:
+                better = now > score[b:]
+                score[b:][better] = now[better]
+                kind[b:][better] = t
+            else:
+                score[b:] = np.logaddexp(score[b:], now)
+        return score, kind
+
+    def blocks(self, best: bool = False) -> Iterator[tuple[int, list, list]]:
+        """The first row's number, rows and their kinds of one block after the other, from the last one on."""
+        step = max(math.isqrt(self.n), self.back) + 1
+        first = np.full(self.m + 1, -math.inf)
+        first[0] = 0.0
+        heads, before = [], deque([first], self.back)
+        for k in range(1, self.n + 1):
+            if k % step == 1:
+                heads.append((k, list(before)))
+            before.append(self.after(k, before, best)[0])
+        for start, held in reversed(heads):
+            before, rows, kinds = deque(held, self.back), [], []
+            for k in range(start, min(start + step, self.n + 1)):
+                score, kind = self.after(k, before, best)
+                before.append(score)
+                rows.append(score)
+                kinds.append(kind)
+            yield start, rows, kinds
+        yield 0, [first], [None]
+
+    def counts(self) -> tuple[float, dict]:
+        """The logarithm of the likelihood, and the expected number of each unit."""
+        total, sums, size, counts = None, {}, 0, {}
+        last = np.full(self.m + 1, -math.inf)
+        last[self.m] = 0.0
+        betas = deque([], self.back)  # of the rows i + 1, i + 2, ...
+
+        def add_up() -> None:
+            for (x, b), c in sums.items():
+                for y in np.flatnonzero(c > 0):
+                    u = self.lattices.unit(x * self.lattices.wide + int(self.phones[b][1][y]))
+                    counts[u] = counts.get(u, 0.0) + float(c[y])
+            sums.clear()
+
+        for start, rows, _ in self.blocks():
+            for i in range(start + len(rows) - 1, start - 1, -1):
+                alpha = rows[i - start]
+                if i == self.n:
+                    total, beta = alpha[self.m], last
+                    if total == -math.inf:
+                        return total, {}
+                else:
+                    beta = np.full(self.m + 1, -math.inf)
+                for _, a, b in self.kinds(i):
+                    through = self.logs(i, a, b) + betas[a - 1][b:]
+                    beta[: self.m + 1 - b] = np.logaddexp(beta[: self.m + 1 - b], through)
+                    at, different = self.phones[b]
+                    key = self.chunk(i, a), b
+                    if key not in sums:
+                        sums[key], size = np.zeros(len(different)), size + len(different)
+                    sums[key] += np.bincount(at, np.exp(alpha[: self.m + 1 - b] + through - total), len(different))
+                betas.appendleft(beta)
+                if size > ARCS:
+                    add_up()
+                    size = 0
+        add_up()
+        return float(total), counts
+
+    def path(self) -> list | None:
+        """The units of the best path."""
+        j, k, found = self.m, self.n, []
+        for start, rows, kinds in self.blocks(best=True):
+            if start + len(rows) > self.n and (rows[-1][self.m] == -math.inf or not self.n):
+                return None
+            while k and k >= start:
+                a, b = self.lattices.kinds[kinds[k - start][j]]
+                k, j = k - a, j - b
+                x, y = self.lattices.unit(self.chunk(k, a) * self.lattices.wide + int(self.phones[b][1][self.phones[b][0][j]]))
+                found.append({"letters": x, "phones": y})
+        return found[::-1]
+
+
 def _numbered(groups: list[tuple]) -> tuple[np.ndarray, np.ndarray, Iterator[tuple]]:
     """The different codes of all groups, their numbers in a row, and the groups with numbers instead of codes."""
     flat = [c.ravel() for g in groups for c in g[3] if c is not None]
@@ -131,12 +260,13 @@ def _portions(groups: Iterator[tuple]) -> Iterator[list[tuple]]:
 
 
 def word_counts(letters: pa.Array, phones: pa.Array, chance, most: tuple[int, int] = (LETTERS, PHONES)) -> tuple[np.ndarray, dict]:
-    """The likelihood of each word (arrays of lists), and the expected number of each unit in all of them; chance: a unit's probability.
+    """The logarithm of each word's likelihood (arrays of lists), and the expected number of each unit in all of them; chance: a unit's probability.
 
-    A word without an alignment has 0 and adds nothing.
+    A word without an alignment has -inf and adds nothing. Chances are multiplied; a word whose total is too large or too small for
+    that is worked on by rows.
     """
     lattices = Lattices(letters, phones, most)
-    likely, counts = np.zeros(len(letters)), {}
+    likely, counts, by_rows = np.full(len(letters), -np.inf), {}, np.flatnonzero(lattices.long).tolist()
     for portion in _portions(lattices.groups()):
         codes, numbers, groups = _numbered(portion)
         units = [lattices.unit(c) for c in codes]
@@ -145,25 +275,45 @@ def word_counts(letters: pa.Array, phones: pa.Array, chance, most: tuple[int, in
             alpha, beta = np.zeros((n + 1, m + 1, len(rows))), np.zeros((n + 1, m + 1, len(rows)))
             alpha[0, 0] = beta[n, m] = 1.0
             arcs = [(a, b, c, p[c]) for (a, b), c in zip(lattices.kinds, at, strict=True) if c is not None]
-            for i in range(n):  # every unit has a letter, so all places of a letter are taken at once
-                for a, b, _, q in arcs:
-                    if i + a <= n:
-                        alpha[i + a, b:] += alpha[i, : m + 1 - b] * q[i]
-            for i in range(n - 1, -1, -1):
-                for a, b, _, q in arcs:
-                    if i + a <= n:
-                        beta[i, : m + 1 - b] += q[i] * beta[i + a, b:]
+            with np.errstate(over="ignore", invalid="ignore"):  # of words that aren't good
+                for i in range(n):  # every unit has a letter, so all places of a letter are taken at once
+                    for a, b, _, q in arcs:
+                        if i + a <= n:
+                            alpha[i + a, b:] += alpha[i, : m + 1 - b] * q[i]
+                for i in range(n - 1, -1, -1):
+                    for a, b, _, q in arcs:
+                        if i + a <= n:
+                            beta[i, : m + 1 - b] += q[i] * beta[i + a, b:]
             total = alpha[n, m]
-            likely[rows] = total
+            good = (total > SMALL) & (total < 1 / SMALL)
+            if not good.all():
+                by_rows += rows[~good & _reached(n, m, [(a, b, q > 0) for a, b, _, q in arcs], len(rows))].tolist()
+            likely[rows[good]] = np.log(total[good])
             for a, b, _, q in arcs:
-                through = alpha[: n + 1 - a, : m + 1 - b] * q * beta[a:, b:]
-                shares.append(np.divide(through, total, out=np.zeros_like(through), where=total > 0).ravel())
+                with np.errstate(over="ignore", invalid="ignore"):
+                    through = alpha[: n + 1 - a, : m + 1 - b] * q * beta[a:, b:]
+                shares.append(np.divide(through, total, out=np.zeros_like(through), where=good).ravel())
         for u, c in zip(units, np.bincount(numbers, np.concatenate(shares), len(units)).tolist(), strict=True):
             if c > 0:
                 counts[u] = counts.get(u, 0.0) + c
+    for row in by_rows:
+        likely[row], more = _Rows(lattices, row, chance).counts()
+        for u, c in more.items():
+            counts[u] = counts.get(u, 0.0) + c
     return likely, counts
 
 
+def _reached(n: int, m: int, arcs: list[tuple], words: int) -> np.ndarray:
+    """Which of the words have an alignment at all, by whether their units have a chance."""
+    there = np.zeros((n + 1, m + 1, words), dtype=bool)
+    there[0, 0] = True
+    for i in range(n):
+        for a, b, may in arcs:
+            if i + a <= n:
+                there[i + a, b:] |= there[i, : m + 1 - b] & may[i]
+    return there[n, m]
+
+
 def expectation(entries: DataFrame, chance: dict | None, sizes: dict[tuple[int, int], float] | None = None, most: tuple[int, int] = (LETTERS, PHONES)) -> DataFrame:
     """letters, phones, n: expected units of all entries (letters, phones: arrays); one row of nulls counts (n) entries without an alignment.
 
@@ -179,7 +329,7 @@ def expectation(entries: DataFrame, chance: dict | None, sizes: dict[tuple[int,
         lost = 0
         for batch in batches:
             likely, counts = word_counts(batch["letters"], batch["phones"], of, most)
-            lost += int((~(likely > 0)).sum())
+            lost += int((likely == -np.inf).sum())
             for k, v in counts.items():
                 sums[k] = sums.get(k, 0.0) + v
         rows = [(*k, v) for k, v in sums.items()] + ([(None, None, float(lost))] if lost else [])
@@ -236,6 +386,8 @@ def best_alignments(letters: pa.Array, phones: pa.Array, chance: dict, most: tup
                     i, j = i - lattices.kinds[t][0], j - lattices.kinds[t][1]
                     path.append(named[at[t][i, j, w]])
                 out[rows[w]] = path[::-1]
+    for row in np.flatnonzero(lattices.long).tolist():
+        out[row] = _Rows(lattices, row, lambda *u: chance.get(u, 0.0)).path()
     return out
 
 
@@ -263,6 +415,25 @@ def joint_counts(alignments: DataFrame, order: int) -> DataFrame:
     return place.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+class _Path:
+    """Units one after the other, of which paths with the same begin hold it once; compared as the tuples they stand for."""
+
+    __slots__ = ("before", "unit")
+
+    def __init__(self, before: _Path | None, unit: str):
+        self.before, self.unit = before, unit
+
+    def units(self) -> list[str]:
+        found, at = [], self
+        while at is not None:
+            found.append(at.unit)
+            at = at.before
+        return found[::-1]
+
+    def __lt__(self, other: _Path) -> bool:
+        return self.units() < other.units()
+
+
 class JointModel:
     """P(unit | units before) interpolated with shorter histories, each by the number of units that follow it (Witten-Bell)."""
 
@@ -299,13 +470,14 @@ class JointModel:
     def decode(self, letters: list, beam: int, most: int = LETTERS) -> list[str] | None:
         """The phones of the best of the beam's paths; ties go to the first in the order of units. None if no units cover the letters."""
         heaps = [{} for _ in range(len(letters) + 1)]
-        heaps[0][("<s>",)] = (0.0, ())
+        heaps[0][("<s>",)] = (0.0, None)
         for i in range(len(letters)):
             kept = sorted(heaps[i].items(), key=lambda x: (-x[1][0], x[1][1]))[:beam]
+            heaps[i] = {}  # what isn't kept goes
             for history, (score, said) in kept:
                 for a in range(1, min(most, len(letters) - i) + 1):
                     for log, unit in self.logs(history, JOIN.join(letters[i : i + a])):
-                        now = (score + log, (*said, unit))
+                        now = (score + log, _Path(said, unit))
                         after = (*history, unit)[-(self.order - 1) :] if self.order > 1 else ()
                         old = heaps[i + a].get(after)
                         if old is None or (-now[0], now[1]) < (-old[0], old[1]):
@@ -314,7 +486,7 @@ class JointModel:
         if not ends or not letters:
             return None
         said = min(ends, key=lambda x: (-x[0], x[1]))[1]
-        return [p for u in said for p in u.split("}")[1].split(JOIN) if p != NOTHING]
+        return [p for u in said.units() for p in u.split("}")[1].split(JOIN) if p != NOTHING]
 
 
 def joint_model(counts: DataFrame, order: int) -> JointModel:

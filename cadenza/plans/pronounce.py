@@ -14,7 +14,7 @@ SIZES = {(1, 1): 0.5, (1, 0): 0.2, (2, 1): 0.2, (1, 2): 0.1}
 def _entries(spark, sf_dir):
     """word, letters, phones: th and ch are one phone, x is two, a last e is silent, doubled letters are said once."""
     words = F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""))).alias("word")
-    lexicon = _t(spark, sf_dir, "documents").select(words).distinct().filter(F.length("word") <= 12)
+    lexicon = _t(spark, sf_dir, "documents").select(words).distinct()
     said = F.col("word")
     for pattern, new in (("th", "T"), ("ch", "C"), ("([a-z])\\1", "$1"), ("x", "ks"), ("(?<=.)e$", "")):
         said = F.regexp_replace(said, pattern, new)
@@ -40,7 +40,7 @@ def pronunciations(spark, sf_dir):
 
 
 SQL = """WITH RECURSIVE w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')) AS word FROM documents),
-d AS (SELECT word, replace(replace(word, 'th', 'T'), 'ch', 'C') AS s FROM w WHERE length(word) <= 12),
+d AS (SELECT word, replace(replace(word, 'th', 'T'), 'ch', 'C') AS s FROM w),
 e AS (SELECT word, regexp_replace(replace(list_reduce(list_prepend(s, string_split('abcdefghijklmnopqrstuvwxyz', '')), lambda a, c: replace(a, c || c, c)), 'x', 'ks'), '(.)e$', '\\1') AS said FROM d),
 f AS (SELECT word, length(word) AS n, said, length(said) AS m FROM e),
 al AS (SELECT word, n, m, 0 AS i, list_transform(range(m + 1), lambda j: CASE WHEN j = 0 THEN 1.0::DOUBLE ELSE 0 END) AS a, list_transform(range(m + 1), lambda j: 0.0::DOUBLE) AS b FROM f

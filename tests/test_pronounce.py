@@ -2,7 +2,10 @@
 
 import itertools
 import math
+import tracemalloc
+import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -132,3 +135,46 @@ def test_many_words_at_once_give_what_each_gives(spark, monkeypatch):
     calls = []
     pronounce.word_counts(letters, phones, lambda x, y: calls.append((x, y)) or given(x, y))
     assert len(calls) == len(set(calls))  # a unit's chance is asked once for all words, not once a place
+
+
+def test_words_of_any_length(spark, tmp_path):
+    from cadenza.plans import pronounce as plans
+
+    words = ["incomprehensibility", "thxchurchoverthrownness", "cat", "abcdefghijklm", "e" * 40 + "xthe", *("ba" * n + "the" for n in range(1, 40))]
+    spark.createDataFrame([(n, w) for n, w in enumerate(words)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    entries = {r["word"]: r for r in plans._entries(spark, str(tmp_path)).collect()}
+    assert set(entries) == set(words)
+    got = {(r["letters"], r["phones"]): r["n"] for r in plans.unit_expectations(spark, str(tmp_path)).collect()}
+    assert sum((x.count("+") + 1) * n for (x, _), n in got.items()) == pytest.approx(sum(map(len, words)), abs=0.1)
+    sql = duckdb.sql(plans.SQL.replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert {(x, y) for x, y, n in sql if n} == {k for k, n in got.items() if n}
+    assert {(x, y): n for x, y, n in sql if n} == pytest.approx({k: n for k, n in got.items() if n}, abs=2e-4)
+    held = {w for w in words if zlib.crc32(w.encode()) % 5 == 0}
+    assert any(len(w) > 12 for w in held) and {r["word"] for r in plans.pronunciations(spark, str(tmp_path)).collect()} == held
+
+
+def test_a_very_long_word_is_worked_on_by_rows(monkeypatch):
+    rng = np.random.default_rng(11)
+    word, said = list(rng.choice(list("abcd"), size=900)), list(rng.choice(list("xyz"), size=700))
+    letters, phones = (pa.array([w, w[:5]], pa.list_(pa.string())) for w in (word, said))
+    for chance in (lambda x, y: 1.0, lambda x, y: 1e-3 * (1 + len(x) + len(y))):  # totals beyond what a double holds, on either side
+        want = None
+        for arcs in (1, 1 << 21, 1 << 24):  # all by rows, the long one by rows, none before its total fails
+            monkeypatch.setattr(pronounce, "ARCS", arcs)
+            likely, counts = pronounce.word_counts(letters, phones, chance)
+            assert np.isfinite(likely).all() and abs(likely[0]) > 745
+            assert sum((x.count("+") + 1) * n for (x, _), n in counts.items()) == pytest.approx(905)
+            assert sum((0 if y == "_" else y.count("+") + 1) * n for (_, y), n in counts.items()) == pytest.approx(705)
+            want = want or counts
+            assert counts == pytest.approx(want, rel=1e-9)
+    names = {(x, y): 0.5 ** (len(x) + len(y)) for x in ["a", "b", "c", "d", *(f"{p}+{q}" for p in "abcd" for q in "abcd")] for y in ["_", "x", "y", "z", *(f"{p}+{q}" for p in "xyz" for q in "xyz")]}
+    paths = []
+    for arcs in (1, 1 << 24):
+        monkeypatch.setattr(pronounce, "ARCS", arcs)
+        paths.append(pronounce.best_alignments(letters, phones, names))
+    assert paths[0] == paths[1] and "".join(u["letters"].replace("+", "") for u in paths[0][0]) == "".join(word)
+    model = pronounce.JointModel([((u,), 1) for u in ("a}x", "b}y", "a+b}z", "</s>")] + [(("<s>", "a}x"), 1)], 3)
+    tracemalloc.start()
+    assert len(model.decode(list("ab" * 3000), 10)) >= 3000
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20  # paths share what they have in common
+    tracemalloc.stop()
