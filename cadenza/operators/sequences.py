@@ -6,14 +6,18 @@ serves a chain of them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 FILLERS = ("SIL", "+NOISE+", "<s>", "</s>")
+#: Characters of texts whose contexts are counted at once, one text at least; counters of contexts that are held as they are.
+PORTION, COUNTERS = 1 << 20, 1 << 22
 
 
 def number(rows: DataFrame, key: str, *order: str, name: str = "frame") -> DataFrame:
@@ -130,6 +134,61 @@ def contexts_of(words: Column, fillers: Sequence[str] = FILLERS) -> Column:
     return F.filter(F.flatten(F.transform(F.array(phones), each)), lambda x: ~x["phone"].isin(*fillers))
 
 
+def _context_counts(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """left, phone, right (code points, 0 for SIL), place (of PLACES) and n of the contexts of the characters of texts that aren't white space."""
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+    chars = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+    at = np.flatnonzero(~((chars == 32) | ((chars >= 9) & (chars <= 13))))
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[at]
+    # A code point's number among those that occur, from 1.
+    there = np.zeros(0x110000, dtype=bool)
+    there[chars[at]] = True
+    names = np.flatnonzero(there)
+    numbers = np.zeros(0x110000, dtype=np.int64)
+    numbers[names] = np.arange(1, len(names) + 1)
+    phone, wide = numbers[chars[at]], len(names) + 1
+    line = np.concatenate([[True], row[1:] != row[:-1], [True]])[: len(at) + 1]  # before each and after the last
+    word = np.concatenate([[True], at[1:] != at[:-1] + 1, [True]])[: len(at) + 1] | line
+    left, right = np.where(line[:-1], 0, np.roll(phone, 1)), np.where(line[1:], 0, np.roll(phone, -1))
+    key = ((left * wide + phone) * wide + right) * 4 + 2 * word[:-1] + word[1:]
+    if wide**3 * 4 <= COUNTERS:
+        n = np.bincount(key, minlength=1)
+        key = np.flatnonzero(n)
+        n = n[key]
+    else:
+        key, n = np.unique(key, return_counts=True)
+    code = np.concatenate([[0], names])
+    return code[key // (4 * wide * wide)], code[key // (4 * wide) % wide], code[key // 4 % wide], key % 4, n
+
+
+#: Inside, end, begin, single: whether a word begins with the phone (2) and ends with it (1).
+PLACES = ("i", "e", "b", "s")
+
+
+def context_counts(rows: DataFrame, text: str) -> DataFrame:
+    """left, phone, right, wpos, n: how often each context of contexts_of occurs among the characters of the words of all texts.
+
+    Phones are characters, words lie between white space. Tasks count the characters of many texts at once, so only
+    counts are shuffled; a text is held as a whole, others up to PORTION characters.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = np.vectorize(lambda c: chr(c) if c else "SIL", otypes=[object])
+        for batch in batches:
+            column = batch.column(0).drop_null()
+            ends = np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+            a = 0
+            while a < len(column):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PORTION, side="right")))
+                left, phone, right, place, n = _context_counts(column.slice(a, b - a))
+                a = b
+                if len(n):
+                    texts = [pa.array(named(c), pa.string()) for c in (left, phone, right)]
+                    yield pa.RecordBatch.from_arrays([*texts, pa.array(np.array(PLACES)[place], pa.string()), pa.array(n, pa.int64())], ["left", "phone", "right", "wpos", "n"])
+
+    found = rows.select(text).mapInArrow(run, "left string, phone string, right string, wpos string, n long")
+    return found.groupBy("left", "phone", "right", "wpos").agg(F.sum("n").alias("n"))
+
+
 def word_position(rows: DataFrame, key: str, ends_word: str) -> DataFrame:
     """wpos of each phone from the mark on a word's last phone: b begin, i inside, e end, s single."""
     starts = F.coalesce(F.lag(ends_word).over(_line(key)), F.lit(True))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import corpus as C
 from ..operators import evaluation as V
-from ..operators.lineage import spread
 
 
 def _t(spark, sf_dir, name):
@@ -98,10 +97,7 @@ def word_position_contexts(spark, sf_dir):
     """Counts of letters by their place in a word, with neighbours across words, of the documents."""
     from ..operators import sequences as S
 
-    letters = F.transform(T.words(F.col("text")), lambda w: F.filter(F.split(w, ""), lambda c: c != ""))
-    # Texts are spread as they are: a file of few row groups would else be read by few tasks.
-    each = spread(_t(spark, sf_dir, "documents").select("text")).select(F.explode(S.contexts_of(letters)).alias("c")).select("c.*")
-    return each.groupBy("left", "phone", "right", "wpos").agg(F.count(F.lit(1)).alias("n"))
+    return S.context_counts(_t(spark, sf_dir, "documents"), "text")
 
 
 def phone_map_apply(spark, sf_dir):

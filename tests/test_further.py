@@ -4,6 +4,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cadenza.functions import measures, text
 from cadenza.operators import corpus, gaussians, sequences, trees, validation
@@ -186,6 +187,28 @@ def test_contexts_within_a_row(spark, capsys):
     assert "Window" not in capsys.readouterr().out
 
 
+def test_contexts_are_counted_without_a_row_a_letter(spark, monkeypatch):
+    from cadenza.operators import sequences
+    from cadenza.plans import texts
+
+    rng = np.random.default_rng(4)
+    lines = ["", " \n\t", None, "a", " a", "ab\x0bc \x0cd", "é\u3000x \x1fy 𝒳𝒳 \x85z", "aa  aa\raa"] + ["".join(rng.choice(list("abé𝒳 \n"), size=n)) for n in rng.integers(0, 60, size=200)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id int, line string").repartition(3)
+    letters = F.transform(text.words(F.col("line")), lambda w: F.filter(F.split(w, ""), lambda c: c != ""))
+    want = {tuple(r["c"]): r["n"] for r in rows.select(F.explode(sequences.contexts_of(letters)).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for portion in (1 << 20, 50, 1):
+        monkeypatch.setattr(sequences, "PORTION", portion)
+        got = sequences.context_counts(rows, "line").collect()
+        assert {tuple(r)[:4]: r["n"] for r in got} == want and len(got) == len(want)
+    column = pa.array([x for x in lines if x is not None], pa.string())
+    dense = sequences._context_counts(column)
+    monkeypatch.setattr(sequences, "COUNTERS", 1)  # the same by sorting
+    assert all(np.array_equal(x, y) for x, y in zip(dense, sequences._context_counts(column), strict=True))
+    assert dense[4].sum() == sum(want.values()) and len(dense[4]) == len(want)
+    plan = texts.word_position_contexts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Generate" not in plan  # no row for each letter
+
+
 def test_ngrams_read_each_text_once(spark):
     lines = ["a b c a b", "a  b", "c", "", " ", None, "a b c", "é x y\nz"] * 3
     read = spark.sparkContext.accumulator(0)
