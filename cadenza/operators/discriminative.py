@@ -2,7 +2,8 @@
 
 A lattice is the arcs of one key, its rows gathered into one; tasks run the recursions over lattices, at once over those
 of a batch that have the same arcs; the frames'
-statistics are joins and sums of DataFrames, and an update is a column expression over the summed statistics.
+statistics are joins and sums of DataFrames, or, where a key's frames lie beside its arcs, are summed where the posteriors
+are made, so that no arc and no frame is shuffled or stored; and an update is a column expression over the summed statistics.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +102,111 @@ def label_sums(gammas: DataFrame, frames: DataFrame, key: str) -> DataFrame:
     return each.groupBy("label", "dim").agg(F.sum("gamma").alias("n"), F.sum(F.col("gamma") * x).alias("s"), F.sum(F.col("gamma") * x * x).alias("q"))
 
 
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The elements of all lists one after the other, and the begin and size of each list."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten(), np.cumsum(sizes) - sizes, sizes
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each size, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _numbers(structs: pa.Array, name: str, dtype: type = np.int64) -> np.ndarray:
+    """A field as numbers; of floating ones a null is NaN."""
+    field = pc.struct_field(structs, name)
+    if dtype is np.float64:
+        return field.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return field.to_numpy(zero_copy_only=False).astype(dtype)
+
+
+def _flat_posteriors(begins: np.ndarray, sizes: np.ndarray, src: np.ndarray, dst: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The log posteriors of the arcs of all lattices (one after the other); NaN for those without a score."""
+    log = np.full(len(src), np.nan)
+    for size in np.unique(sizes[sizes > 0]):
+        at = begins[sizes == size][:, None] + np.arange(size)
+        kinds, which = np.unique(np.concatenate([src[at], dst[at], np.isnan(score[at])], axis=1), axis=0, return_inverse=True)
+        order = np.argsort(which.ravel(), kind="stable")
+        for kind, rows in zip(kinds, np.split(order, np.cumsum(np.bincount(which.ravel()))[:-1]), strict=True):
+            good = kind[2 * size :] == 0
+            if good.any():
+                some = at[rows][:, good]
+                log[some] = posteriors_of(kind[:size][good], kind[size : 2 * size][good], score[some])[1]
+    return log
+
+
+def _batch_statistics(batch: pa.RecordBatch, scale: float, least: float) -> Iterator[tuple]:
+    """side, label, dim, n, s, q of the lattices of one batch, as lattice_statistics sums them."""
+    arcs, arc_at, arc_n = _lists(batch["arcs"])
+    frames, frame_at, frame_n = _lists(batch["frames"])
+    vecs, vec_at, vec_n = _lists(pc.struct_field(frames, "vec"))
+    # Only a null is left out: NaN is a value.
+    x, there = vecs.cast(pa.float64()).to_numpy(zero_copy_only=False), pc.is_valid(vecs).to_numpy(zero_copy_only=False)
+    score = _numbers(arcs, "acoustic", np.float64) / scale + _numbers(arcs, "language", np.float64)
+    p = np.exp(_flat_posteriors(arc_at, arc_n, _numbers(arcs, "src"), _numbers(arcs, "dst"), score))
+    label, begin, end = (_numbers(arcs, c) for c in ("label", "start_frame", "end_frame"))
+    numerator, lattice = _numbers(arcs, "numerator", bool), np.repeat(np.arange(len(arc_n)), arc_n)
+    dims = int(vec_n.max(initial=0))
+    for side, mask in (("num", numerator), ("den", np.ones(len(p), dtype=bool))):
+        kept = np.flatnonzero(mask & ~np.isnan(p) & (end >= begin))
+        arc = np.repeat(kept, (end - begin + 1)[kept])
+        frame, of = _ranges(begin[kept], (end - begin + 1)[kept]), lattice[arc]
+        inside = (frame >= 0) & (frame < frame_n[of])
+        arc, frame = arc[inside], (frame_at[of] + frame)[inside]
+        labels, named = np.unique(label[arc], return_inverse=True)
+        pair, which = np.unique(frame * max(len(labels), 1) + named, return_inverse=True)
+        gamma = np.bincount(which, p[arc], len(pair))
+        pair, gamma = pair[gamma >= least], gamma[gamma >= least]
+        frame, named = np.divmod(pair, max(len(labels), 1))
+        value = _ranges(vec_at[frame], vec_n[frame])
+        cell = np.repeat(named, vec_n[frame]) * dims + _ranges(np.zeros_like(frame), vec_n[frame])
+        weight, v = np.repeat(gamma, vec_n[frame]), np.where(there[value], x[value], 0.0)
+        sums = [np.bincount(cell, w, len(labels) * dims) for w in (weight, weight * v, weight * v * v)]
+        for c in np.unique(cell):
+            yield side, int(labels[c // dims]), int(c % dims), *(float(w[c]) for w in sums)
+    labels, named = np.unique(_numbers(frames, "label"), return_inverse=True)
+    cell = (np.repeat(named, vec_n) * dims + _ranges(np.zeros_like(vec_n), vec_n))[there]
+    n = np.bincount(cell, minlength=len(labels) * dims)
+    mean = np.bincount(cell, x[there], len(n)) / np.maximum(n, 1)
+    off = np.bincount(cell, (x[there] - mean[cell]) ** 2, len(n))
+    for c in np.flatnonzero(n):
+        yield "all", int(labels[c // dims]), int(c % dims), float(n[c]), float(mean[c]), float(off[c])
+
+
+def lattice_statistics(lattices: DataFrame, scale: float = 1.0, least: float = 1e-8) -> DataFrame:
+    """side, label, dim, n, s, q of all lattices, whose rows hold a key's arcs and frames.
+
+    arcs: array of src, dst, acoustic, language as in arc_posteriors, label, start_frame, end_frame (inclusive) as in
+    occupancies, numerator; frames: array of label, vec, by their numbers. Sides num (of the numerator's arcs) and den (of
+    all) are what label_sums gives of the occupancies; side all has the number, mean and sum of squares about it of the frames
+    of each label. Each batch of a task gives a few sums; sides num and den are added up, side all has a row for each batch.
+    """
+    names = ["side", "label", "dim", "n", "s", "q"]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*_batch_statistics(batch, scale, least), strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+
+    return lattices.select("arcs", "frames").mapInArrow(run, "side string, label long, dim int, n double, s double, q double")
+
+
+def side_sums(statistics: DataFrame, side: str) -> DataFrame:
+    """label, dim, n, s, q: one side of lattice_statistics added up, as label_sums has them."""
+    return statistics.filter(F.col("side") == side).groupBy("label", "dim").agg(*[F.sum(c).alias(c) for c in "nsq"])
+
+
+def frame_moments(statistics: DataFrame) -> DataFrame:
+    """label, dim, mean, var of all frames, from the parts that lattice_statistics gives."""
+    parts = statistics.filter("side = 'all'").select("label", "dim", "n", F.col("s").alias("part"), "q")
+    means = parts.groupBy("label", "dim").agg((F.sum(F.col("n") * F.col("part")) / F.sum("n")).alias("mean"))
+    off = F.col("part") - F.col("mean")
+    return parts.join(means, ["label", "dim"]).groupBy("label", "dim", "mean").agg((F.sum(F.col("q") + F.col("n") * off * off) / F.sum("n")).alias("var"))
+
+
 def _largest_root(x: Column, y: Column, z: Column) -> Column:
     """The largest real root of x d^2 + y d + z; a slightly negative discriminant counts as 0; null without a root."""
     inside = y * y - 4 * x * z

@@ -101,3 +101,46 @@ def test_lattices_together_are_as_alone():
         assert one[0] == total[n] and alone[0].tolist() == log[n].tolist()
         paths = [[0, 2, 4], [0, 3], [1, 4]]
         assert np.isclose(total[n], np.logaddexp.reduce([score[n, p].sum() for p in paths]))
+
+
+def test_statistics_are_summed_where_posteriors_are_made(spark):
+    from cadenza.operators.lineage import gathered
+    from cadenza.plans import discriminative as plans
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    arcs, frames, rows = [], [], []
+    for u in range(40):
+        own, n = [], int(rng.integers(1, 6))
+        for node in range(n):
+            for size in (1, 2, 1):
+                if node + size <= n:
+                    acoustic = None if rng.random() < 0.15 else float(rng.normal()) * 9
+                    own.append((f"u{u}", len(own), node, node + size, acoustic, float(rng.normal()), int(rng.integers(0, 3)), node, node + size - 1 + int(rng.integers(0, 2)), bool(rng.random() < 0.5)))
+        vecs = [[None if rng.random() < 0.1 else float(rng.normal()) + 100, float(rng.normal())] for _ in range(n)]
+        arcs += own
+        frames += [(f"u{u}", k, k % 2, v) for k, v in enumerate(vecs)]
+        rows.append(([tuple(a[2:]) for a in own], [(k % 2, v) for k, v in enumerate(vecs)]))
+    rows += [([], []), (None, None), ([], [(0, [1.0, None])])]
+    frames.append(("x", 0, 0, [1.0, None]))
+    span = "label long, start_frame long, end_frame long, numerator boolean"
+    lattices = spark.createDataFrame(rows, f"arcs array<struct<src: long, dst: long, acoustic: double, language: double, {span.replace(' ', ': ').replace(',:', ',')}>>, frames array<struct<label: long, vec: array<double>>>")
+    found = discriminative.lattice_statistics(lattices, 3.0).cache()
+    flat, vecs = spark.createDataFrame(arcs, f"{ARCS}, {span}"), spark.createDataFrame(frames, "utt string, frame int, label int, vec array<double>")
+    posteriors = discriminative.arc_posteriors(flat, "utt", 3.0)
+    as_dict = lambda df: {(r[0], r[1]): pytest.approx(tuple(r)[2:], rel=1e-9) for r in df.collect()}
+    for side, some in (("num", flat.filter("numerator")), ("den", flat)):
+        want = discriminative.label_sums(discriminative.occupancies(posteriors, some, "utt"), vecs.drop("label"), "utt")
+        got = {(r[0], r[1]): tuple(r)[2:] for r in discriminative.side_sums(found, side).collect()}
+        assert got == as_dict(want) and len(got) == 6
+    want = vecs.select("label", F.posexplode("vec").alias("dim", "x")).groupBy("label", "dim").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+    assert {(r[0], r[1]): tuple(r)[2:] for r in discriminative.frame_moments(found).collect()} == as_dict(want)
+    # The lines are shuffled once, and nothing of an arc or a frame is.
+    kept, cut = [], plans.cut
+    plans.cut = lambda df: kept.append(df) or cut(df)
+    try:
+        plans.discriminative_update(spark, "/root/testdata/sf0.001")
+    finally:
+        plans.cut = cut
+    assert len(kept) == 1 and kept[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    assert gathered(vecs, "utt").rdd.getNumPartitions() >= 4
