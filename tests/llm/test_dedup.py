@@ -397,3 +397,35 @@ def test_no_checkpoint_is_local():
     for path in Path(line_dedup.__file__).parent.glob("*.py"):
         assert "localCheckpoint" not in path.read_text()
     assert F is not None
+
+
+def test_pairs_share_what_their_sizes_ask_for(spark, monkeypatch):
+    """Lines of one size differ in less than the most that similar lines can, so they must share more words; those that share too few don't meet."""
+    rng = random.Random(41)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    lines = []
+    for size in (60, 130, 400, 900):
+        for grown in (0, size // 20, size // 9, size // 5):
+            x = text(size + 7)
+            lines += [x, x[: size // 2] + "#" * max(1, size // 80) + x[size // 2 + max(1, size // 80) :] + text(grown)]
+        x = text(size // 2 + 7)
+        lines += [x + text(size // 2) for _ in range(4)]  # half in common
+    rows = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    sets = [shingle_set(x) for x in lines]
+    words = {}
+    for r in line_dedup._words(rows).collect():
+        words.setdefault(r["lid"], set()).add(r["h"])
+    need = spark.createDataFrame([(a, b, len(sets[a]), len(sets[b])) for a in range(len(sets)) for b in range(a + 1, len(sets))], "u long, v long, m int, n int")
+    need = {(r["u"], r["v"]): r["k"] for r in need.select("u", "v", line_dedup._needed(F.col("m"), F.col("n")).alias("k")).collect()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    similar = {p for p in need if alike(*p)}
+    assert len(similar) >= 8 and all(len(words[a] & words[b]) >= need[a, b] for a, b in similar)
+    assert need[similar and min(similar)] > min(len(sets[x]) for x in min(similar)) // 64 + 1
+    sizes_match = lambda a, b: min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b]))
+    want = {(a, b) for (a, b), k in need.items() if sizes_match(a, b) and len(words[a] & words[b]) >= k}
+    assert {(r["u"], r["v"]) for r in line_dedup._met(rows).collect()} == want and similar <= want
+    sketches = line_dedup._sketches(rows).collect()
+    assert {r["lid"]: r["n"] for r in sketches} == {n: len(x) for n, x in enumerate(sets)} and all(len(r["sketch"]) == 8 for r in sketches)
+    monkeypatch.setattr(line_dedup, "GROUP", 1)  # every shared word is one of more lines
+    crowd = {(r["h"], r["u"]) for r in line_dedup._met(rows).collect()}
+    assert crowd == {(h, n) for n in words for h in words[n] if sum(h in w for w in words.values()) > 1}
